@@ -424,8 +424,8 @@ def retrieve_hybrid(lake: Lake):
 
 
 ADVANCED_SQL = {
-    **mmr_parts("reranked", "rerank / 10", "adv"),
-    "adv_hits": "SELECT p.qid, p.chunk_id, p.pick AS rank, r.rerank AS signal FROM adv_picked p JOIN reranked r USING (qid, chunk_id)",
+    **mmr_parts("reranked", "rerank / 10", "adv", "rerank"),
+    "adv_hits": "SELECT qid, chunk_id, pick AS rank, carried AS signal FROM adv_picked",
     "adv_context": """
         SELECT qid, chunk_id, rank, signal FROM (SELECT *, max(signal) OVER (PARTITION BY qid) AS best FROM adv_hits)
         WHERE best >= 5 AND signal >= 5""",

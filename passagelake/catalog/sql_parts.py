@@ -164,11 +164,111 @@ PARTS: dict[str, str] = {
 }
 
 
-def mmr_parts(source: str, relevance: str, prefix: str, k: int = 5, lam: float = 0.75) -> dict[str, str]:
+PARTS.update(
+    {
+        # ---- evidence and recorded runs
+        "item_words": f"SELECT item_id, text, {words_of('text')} AS words FROM benchmark",
+        "item_grams": f"SELECT item_id, text, {grams_of('words')} AS grams FROM item_words",
+        "doc_words": f"SELECT doc_id, lang, {words_of('text')} AS words FROM documents",
+        "doc_grams": f"SELECT doc_id, lang, unnest({grams_of('words')}) AS gram FROM doc_words",
+        "span_cover": """
+            SELECT i.item_id, d.doc_id, d.lang, any_value(i.text) AS span, count(*) / any_value(i.n) AS coverage
+            FROM (SELECT item_id, text, len(grams) AS n, unnest(grams) AS gram FROM item_grams) i JOIN doc_grams d ON i.gram = d.gram
+            GROUP BY i.item_id, d.doc_id, d.lang""",
+        "gold": """
+            SELECT item_id || '@' || lang AS qid, doc_id AS gold_no, CAST(doc_id AS VARCHAR) AS source, span FROM span_cover
+            WHERE coverage >= 0.8""",
+        "dataset": """
+            SELECT q.qid, q.item_id AS position, q.question, CASE WHEN length(q.question) < 240 THEN 'direct' ELSE 'paraphrase' END || '-' || q.course AS category,
+                   g.qid IS NOT NULL AS answerable FROM questions q LEFT JOIN (SELECT DISTINCT qid FROM gold) g ON g.qid = q.qid""",
+        "split_dataset": """
+            SELECT *, CASE WHEN (row_number() OVER (PARTITION BY category ORDER BY position) - 1) % 5 < 2 THEN 'dev' ELSE 'test' END AS split
+            FROM dataset""",
+        "ranked": """
+            SELECT 'basic' AS experiment, 'dense' AS signal_kind, t.qid, t.rank, t.score AS signal, CAST(c.doc_id AS VARCHAR) AS source, c.text
+            FROM dense_top t JOIN chunks c ON c.chunk_id = t.chunk_id WHERE t.rank <= 5
+            UNION ALL
+            SELECT 'advanced', 'rerank', t.qid, t.rank, least(t.score / 8.0, 10), CAST(c.doc_id AS VARCHAR), c.text
+            FROM bm25_top t JOIN chunks c ON c.chunk_id = t.chunk_id WHERE t.rank <= 5""",
+        "records": """
+            SELECT e.experiment, e.signal_kind, q.qid, e.model_calls, length(q.question) * e.pace AS latency_ms
+            FROM questions q, (VALUES ('basic', 'dense', 0, 1.5), ('advanced', 'rerank', 1, 4.0)) e(experiment, signal_kind, model_calls, pace)""",
+        "near_gold": f"""
+            SELECT r.experiment, r.qid, r.rank, r.signal, g.gold_no, {words_of('r.text')} AS words, i.grams AS wanted
+            FROM ranked r JOIN gold g ON g.qid = r.qid AND g.source = r.source JOIN item_grams i ON i.text = g.span""",
+        "near_grams": f"SELECT experiment, qid, rank, signal, gold_no, wanted, {grams_of('words')} AS have FROM near_gold",
+        "covers": """
+            SELECT experiment, qid, rank, signal, gold_no FROM near_grams WHERE len(list_intersect(wanted, have)) / len(wanted) >= 0.8""",
+        "gold_sizes": "SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid",
+        "first_cover": "SELECT experiment, qid, gold_no, min(rank) AS first_rank FROM covers GROUP BY ALL",
+        "gains": """
+            SELECT experiment, qid, sum(1 / log2(first_rank + 1)) AS dcg, min(first_rank) AS first
+            FROM (SELECT DISTINCT experiment, qid, first_rank FROM first_cover) GROUP BY ALL""",
+        "metric_rows": """
+            SELECT r.experiment, r.qid, CAST(coalesce(n.first, 99) <= 1 AS DOUBLE) AS hit1, CAST(coalesce(n.first, 99) <= 3 AS DOUBLE) AS hit3,
+                   CAST(coalesce(n.first, 99) <= 5 AS DOUBLE) AS hit5, coalesce(s.c3, 0) / z.n_gold AS recall3, coalesce(s.c5, 0) / z.n_gold AS recall5,
+                   coalesce(1 / n.first, 0) AS mrr,
+                   coalesce(n.dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, CAST(least(z.n_gold, 5) AS BIGINT) + 1)]) AS ndcg5,
+                   coalesce(p.relevant / r.returned, 0) AS precision5
+            FROM (SELECT experiment, qid, count(*) AS returned FROM ranked GROUP BY ALL) r JOIN gold_sizes z USING (qid)
+            LEFT JOIN gains n USING (experiment, qid)
+            LEFT JOIN (SELECT experiment, qid, count(*) FILTER (WHERE first_rank <= 3) AS c3, count(*) AS c5 FROM first_cover GROUP BY ALL) s USING (experiment, qid)
+            LEFT JOIN (SELECT experiment, qid, count(DISTINCT rank) AS relevant FROM covers GROUP BY ALL) p USING (experiment, qid)""",
+        "kept": """
+            SELECT *, best < t AS abstain, best >= t AND signal >= f AS in_context FROM (
+              SELECT *, max(signal) OVER (PARTITION BY experiment, qid) AS best, CASE WHEN experiment = 'basic' THEN 0.5 ELSE 5.0 END AS t,
+                     CASE WHEN experiment = 'basic' THEN 0.5 ELSE 3.0 END AS f FROM ranked)""",
+        "context_rows": """
+            SELECT k.experiment, k.qid, coalesce(c.covered, 0) / z.n_gold AS context_recall,
+                   coalesce(c.relevant / nullif(k.size, 0), 0) AS context_precision, k.size AS context_size
+            FROM (SELECT experiment, qid, count(*) FILTER (WHERE in_context) AS size FROM kept GROUP BY ALL) k JOIN gold_sizes z USING (qid)
+            LEFT JOIN (SELECT v.experiment, v.qid, count(DISTINCT v.gold_no) AS covered, count(DISTINCT v.rank) AS relevant FROM covers v
+                       JOIN kept USING (experiment, qid, rank) WHERE in_context GROUP BY ALL) c USING (experiment, qid)""",
+        "scored_rows": """
+            SELECT r.experiment, r.qid, d.category, d.split, d.answerable, d.position, coalesce(a.abstain, true) AS abstain, r.model_calls, r.latency_ms,
+                   CASE WHEN d.answerable THEN coalesce(m.hit1, 0) END AS hit1, CASE WHEN d.answerable THEN coalesce(m.recall5, 0) END AS recall5,
+                   CASE WHEN d.answerable THEN coalesce(m.mrr, 0) END AS mrr, CASE WHEN d.answerable THEN coalesce(m.ndcg5, 0) END AS ndcg5,
+                   CASE WHEN d.answerable THEN coalesce(m.precision5, 0) END AS precision5,
+                   CASE WHEN d.answerable THEN coalesce(c.context_recall, 0) END AS context_recall,
+                   CASE WHEN d.answerable THEN coalesce(c.context_precision, 0) END AS context_precision,
+                   CASE WHEN d.answerable THEN coalesce(c.context_size, 0) END AS context_size
+            FROM records r JOIN split_dataset d USING (qid)
+            LEFT JOIN (SELECT experiment, qid, bool_and(abstain) AS abstain FROM kept GROUP BY ALL) a USING (experiment, qid)
+            LEFT JOIN metric_rows m USING (experiment, qid) LEFT JOIN context_rows c USING (experiment, qid)""",
+    }
+)
+
+MASK = 4294967295
+
+
+def _mul32(a: str, b: str) -> str:
+    return f"CAST((CAST({a} AS HUGEINT) * ({b})) & {MASK} AS BIGINT)"
+
+
+def bootstrap_parts(values: str, prefix: str, seed: int, resamples: int = 2000) -> dict[str, str]:
+    """Draws for ``values(key, pos, ...)`` with positions from 1: ``{prefix}_draws(key, r, pos)``."""
+    state = f"(({seed} + (CAST(r AS BIGINT) * n + i + 1) * 1831565813) & {MASK})"
+    return {
+        f"{prefix}_n": f"SELECT key, count(*) AS n FROM {values} GROUP BY key",
+        f"{prefix}_a": f"""
+            SELECT key, n, r, {state} AS a FROM {prefix}_n, (SELECT unnest(range({resamples})) AS r), LATERAL (SELECT unnest(range(n)) AS i)""",
+        f"{prefix}_t": f"SELECT key, n, r, {_mul32('xor(a, a >> 15)', 'a | 1')} AS t FROM {prefix}_a",
+        f"{prefix}_u": f"SELECT key, n, r, xor(t, (t + {_mul32('xor(t, t >> 7)', 't | 61')}) & {MASK}) AS u FROM {prefix}_t",
+        f"{prefix}_draws": f"SELECT key, r, CAST(floor(xor(u, u >> 14) / 4294967296.0 * n) AS BIGINT) + 1 AS pos FROM {prefix}_u",
+    }
+
+
+def floor_percentile(values: str, p: float) -> str:
+    """sorted[min(n-1, floor(p*n))] of an aggregate expression."""
+    listed = f"list_sort(list({values}) FILTER (WHERE {values} IS NOT NULL))"
+    return f"{listed}[CAST(least(count({values}), floor({p} * count({values})) + 1) AS INT)]"
+
+
+def mmr_parts(source: str, relevance: str, prefix: str, carry: str = "NULL", k: int = 5, lam: float = 0.75) -> dict[str, str]:
     """The greedy selection unrolled: one block per pick over ``source(qid, chunk_id, rank)``."""
     pool, pairs = f"{prefix}_pool", f"{prefix}_pairs"
     parts = {
-        pool: f"SELECT qid, chunk_id, rank AS pos, {relevance} AS rel FROM {source} WHERE rank <= {2 * k}",
+        pool: f"SELECT qid, chunk_id, rank AS pos, {relevance} AS rel, {carry} AS carried FROM {source} WHERE rank <= {2 * k}",
         f"{prefix}_sets": f"SELECT chunk_id, list_distinct(terms) AS s FROM chunk_terms WHERE chunk_id IN (SELECT chunk_id FROM {pool})",
         pairs: f"""
             SELECT a.qid, a.pos AS pa, b.pos AS pb, CASE WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0 ELSE
@@ -179,19 +279,22 @@ def mmr_parts(source: str, relevance: str, prefix: str, k: int = 5, lam: float =
     picked = []
     for n in range(1, k + 1):
         if picked:
-            before = " UNION ALL ".join(f"SELECT qid, pos FROM {p}" for p in picked)
-            overlap = f"""coalesce((SELECT max(sim) FROM {pairs} r WHERE r.qid = p.qid AND r.pa = p.pos
-                AND (r.qid, r.pb) IN ({before})), 0)"""
-            rest = f"WHERE (p.qid, p.pos) NOT IN ({before})"
+            parts[f"{prefix}_before{n}"] = " UNION ALL ".join(f"SELECT qid, pos FROM {p}" for p in picked)
+            parts[f"{prefix}_overlap{n}"] = f"""
+                SELECT r.qid, r.pa AS pos, max(r.sim) AS sim FROM {pairs} r
+                JOIN {prefix}_before{n} s ON s.qid = r.qid AND s.pos = r.pb GROUP BY ALL"""
+            overlap = "coalesce(o.sim, 0)"
+            rest = f"""LEFT JOIN {prefix}_overlap{n} o ON o.qid = p.qid AND o.pos = p.pos
+                LEFT JOIN {prefix}_before{n} x ON x.qid = p.qid AND x.pos = p.pos WHERE x.pos IS NULL"""
         else:
             overlap, rest = "0", ""
         parts[f"{prefix}_gain{n}"] = f"""
-            SELECT p.qid, p.chunk_id, p.pos, round({lam} * p.rel - (1 - {lam}) * {overlap}, 12) AS gain FROM {pool} p {rest}"""
+            SELECT p.qid, p.chunk_id, p.pos, p.carried, round({lam} * p.rel - (1 - {lam}) * {overlap}, 12) AS gain FROM {pool} p {rest}"""
         parts[f"{prefix}_pick{n}"] = f"""
-            SELECT qid, chunk_id, pos, {n} AS pick FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, pos) AS n
+            SELECT qid, chunk_id, pos, carried, {n} AS pick FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC, pos) AS n
             FROM {prefix}_gain{n}) WHERE n = 1"""
         picked.append(f"{prefix}_pick{n}")
-    parts[f"{prefix}_picked"] = " UNION ALL ".join(f"SELECT qid, chunk_id, pick FROM {p}" for p in picked)
+    parts[f"{prefix}_picked"] = " UNION ALL ".join(f"SELECT qid, chunk_id, pick, carried FROM {p}" for p in picked)
     return parts
 
 

@@ -13,9 +13,15 @@ from passagelake.functions.text import strip_blanks
 EXTRACTABLE = ("application/pdf", "text/plain", "text/markdown")
 TEXT_TYPES = ("text/plain", "text/markdown")
 
-QUESTION_SCHEMA = T.StructType.fromDDL(
-    "id string, category string, question string, answerable boolean, "
-    "history array<struct<question:string,answer:string>>, gold array<struct<lesson:string,span:string>>"
+TURN = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
+GOLD = T.StructType([T.StructField("lesson", T.StringType()), T.StructField("span", T.StringType())])
+QUESTION_SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "category", "question")]
+    + [
+        T.StructField("answerable", T.BooleanType()),
+        T.StructField("history", T.ArrayType(TURN)),
+        T.StructField("gold", T.ArrayType(GOLD)),
+    ]
 )
 
 
