@@ -261,11 +261,13 @@ def paired_bootstrap(lake: Lake):
 
 
 COMPARED = {
-    "compared": """
-        SELECT m.metric AS key, m.a, m.b, row_number() OVER (PARTITION BY m.metric ORDER BY a.position, ascii(split_part(a.qid, '@', 2)) * 256 + ascii(substr(split_part(a.qid, '@', 2), 2))) AS pos
-        FROM scored_rows a JOIN scored_rows z ON z.qid = a.qid AND z.experiment = 'basic',
-        LATERAL (VALUES ('mrr', z.mrr, a.mrr), ('recall5', z.recall5, a.recall5), ('precision5', z.precision5, a.precision5)) m(metric, a, b)
-        WHERE a.experiment = 'advanced' AND a.answerable""",
+    "both_runs": f"""
+        SELECT qid, any_value(position) AS position, {', '.join(f"max({m}) FILTER (WHERE experiment = '{e}') AS {m}_{n}" for m in ('mrr', 'recall5', 'precision5') for e, n in (('basic', 'a'), ('advanced', 'b')))}
+        FROM scored_rows WHERE answerable GROUP BY qid""",
+    "long_runs": " UNION ALL ".join(
+        f"SELECT '{m}' AS key, position, split_part(qid, '@', 2) AS lang, {m}_a AS a, {m}_b AS b FROM both_runs" for m in ("mrr", "recall5", "precision5")
+    ),
+    "compared": "SELECT key, a, b, row_number() OVER (PARTITION BY key ORDER BY position, ascii(lang) * 256 + ascii(substr(lang, 2))) AS pos FROM long_runs",
 }
 
 
@@ -377,13 +379,12 @@ def parity(lake: Lake):
 
 @query(
     "E21_missing_experiments",
-    "SELECT DISTINCT l_returnflag || '-' || l_linestatus AS experiment FROM lineitem WHERE l_returnflag || '-' || l_linestatus NOT IN (SELECT l_returnflag || '-' || l_linestatus FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')",
+    "SELECT DISTINCT p_brand || '-' || p_type AS experiment FROM part WHERE p_brand || '-' || p_type NOT IN (SELECT p_brand || '-' || p_type FROM part WHERE p_size > 45)",
 )
 def missing_experiments(lake: Lake):
-    """Every flag/status pair should have a run (a shipment before a date); those without are reported."""
-    pair = lake.table("lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("experiment"), "l_shipdate")
-    runs = pair.where(F.col("l_shipdate") < F.lit("1995-03-01").cast("timestamp_ntz"))
-    return ev.missing_experiments(pair.select("experiment").distinct(), runs)
+    """Brand and type as expected experiments; only those with a large part have a run."""
+    parts = lake.table("part").select(F.concat_ws("-", "p_brand", "p_type").alias("experiment"), "p_size")
+    return ev.missing_experiments(parts.select("experiment").distinct(), parts.where(F.col("p_size") > 45))
 
 
 GUARD_SQL = """

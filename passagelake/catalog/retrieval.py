@@ -264,7 +264,7 @@ def rerank_merge(lake: Lake):
 @query(
     "R17_rejected_response",
     """
-    SELECT qid, chunk_id, rank, CASE WHEN 2 * (n // 3) >= n THEN 1.0 END AS rerank
+    SELECT qid, chunk_id, rank, CASE WHEN 2 * greatest(n // 3, 1) >= n THEN CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END END AS rerank
     FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM bm25_top)""",
 )
 def rejected_response(lake: Lake):

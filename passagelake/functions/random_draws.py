@@ -6,7 +6,7 @@ distributed range produces exactly the value a sequential generator would have p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the generator.
@@ -21,10 +21,17 @@ def _mul32(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(F.lit(MASK).cast("long"))
 
 
-def uniform_draw(j: Column, seed: int) -> Column:
-    mask = F.lit(MASK).cast("long")
-    state = (F.lit(seed).cast("long") + (j.cast("long") + 1).bitwiseAND(mask) * F.lit(STEP).cast("long")).bitwiseAND(mask)
-    t = _mul32(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1).cast("long")))
-    mixed = (t + _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask)
-    t2 = t.bitwiseXOR(mixed)
-    return t2.bitwiseXOR(F.shiftright(t2, 14)) / F.lit(4294967296.0)
+def with_uniform_draw(df: DataFrame, number: Column, seed: int, name: str) -> DataFrame:
+    """Add draw ``number`` (0-based) in [0, 1) as column ``name``.
+
+    Each mixing step is a column of its own, because a step uses its input several times.
+    """
+    mask, one, bits = (F.lit(v).cast("long") for v in (MASK, 1, 61))
+    state = F.lit(seed).cast("long") + (number.cast("long") + 1).bitwiseAND(mask) * F.lit(STEP).cast("long")
+    a, t, u = F.col("_a"), F.col("_t"), F.col("_u")
+    staged = (
+        df.withColumn("_a", state.bitwiseAND(mask))
+        .withColumn("_t", _mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(one)))
+        .withColumn("_u", t.bitwiseXOR((t + _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(bits))).bitwiseAND(mask)))
+    )
+    return staged.withColumn(name, u.bitwiseXOR(F.shiftright(u, 14)) * F.lit(2.0**-32)).drop("_a", "_t", "_u")

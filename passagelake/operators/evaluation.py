@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passagelake.functions.random_draws import uniform_draw
+from passagelake.functions.random_draws import with_uniform_draw
 from passagelake.functions.ranks import floor_percentiles, ordinals, running_sums
 from passagelake.functions.text import match_words, word_grams
 
@@ -273,7 +273,10 @@ def _resampled(values: DataFrame, keys: list[str], sums: dict[str, str], resampl
     within = F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1)
     draws = blocks.select(*keys, "_r", "_n", F.explode(within).alias("_i"))
     number = F.col("_r").cast("long") * F.col("_n") + F.col("_i")
-    drawn = draws.select(*keys, "_r", (F.floor(uniform_draw(number, seed) * F.col("_n")) + 1).alias("_pos"))
+    uniform = with_uniform_draw(draws, number, seed, "_draw")
+    # never null: for a nullable key the join would infer a not-null filter that repeats the whole draw expression
+    position = F.coalesce(F.floor(F.col("_draw") * F.col("_n")) + 1, F.lit(0).cast("long"))
+    drawn = uniform.select(*keys, "_r", position.alias("_pos"))
     return drawn.join(values, [*keys, "_pos"]).groupBy(*keys, "_r").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], F.count("*").alias("_n")
     )

@@ -92,7 +92,7 @@ def paraphrase_list(parsed: Column, original: Column, most: int = 3) -> Column:
     listed = F.when(parsed.startswith("["), F.from_json(parsed, "array<string>")).otherwise(
         F.from_json(parsed, "struct<queries:array<string>>")["queries"]
     )
-    cleaned = F.filter(F.transform(listed, single_line), lambda q: (q != "") & (q != original))
+    cleaned = F.filter(F.transform(listed, lambda q: single_line(q)), lambda q: (q != "") & (q != original))
     return F.coalesce(F.slice(F.array_distinct(cleaned), 1, most), F.array().cast("array<string>"))
 
 
