@@ -40,8 +40,8 @@ def dataset(lake: Lake, evidence=None):
 
 def ranked(lake: Lake):
     """Two recorded runs: dense as ``basic``, BM25 with a 0..10 signal as ``advanced``."""
-    chunks, questions = lake.chunks(), lake.questions()
-    d = dense.dense_top_k(standins.embed(chunks), standins.embed(questions, text="question"), 5)
+    chunks, questions = materialise(standins.embed(lake.chunks()), "chunks"), lake.questions()
+    d = dense.dense_top_k(chunks, standins.embed(questions, text="question"), 5)
     b = lexical.bm25_top_k(chunks, questions, 5, stem=False)
     columns = lambda df, name, kind, signal: df.select(
         F.lit(name).alias("experiment"), F.lit(kind).alias("signal_kind"), "qid", "rank", signal.alias("signal"), "chunk_id"

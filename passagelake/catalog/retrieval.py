@@ -12,6 +12,7 @@ from passagelake.config import preset
 from passagelake.functions import text as tx
 from passagelake.operators import dense, fusion, lexical, passages
 from passagelake.plans.retrieve import Models, frozen_baseline, retrieve
+from passagelake.sources.stores import materialise
 from passagelake.sources.tables import Lake
 
 K = 20
@@ -154,12 +155,13 @@ def approximate_recall(lake: Lake):
 
 
 def embedded_chunks(lake: Lake):
-    return standins.embed(lake.chunks())
+    """The stored chunk table: chunked and embedded once, read by column afterwards."""
+    return materialise(standins.embed(lake.chunks()), "chunks")
 
 
-def two_lists(lake: Lake):
-    chunks, questions = lake.chunks(), lake.questions()
-    d = dense.dense_top_k(standins.embed(chunks), standins.embed(questions, text="question"), K)
+def two_lists(lake: Lake, chunks=None):
+    chunks, questions = chunks or embedded_chunks(lake), lake.questions()
+    d = dense.dense_top_k(chunks, standins.embed(questions, text="question"), K)
     b = lexical.bm25_top_k(chunks, questions, K, stem=False)
     return d, b
 
@@ -225,7 +227,7 @@ def asked(lake: Lake):
 @query("R16_candidate_pool", "SELECT qid, chunk_id, rank, round(rrf, 6) AS rrf, round(dense, 6) AS dense, round(bm25, 6) AS bm25 FROM pool")
 def candidate_pool(lake: Lake):
     chunks, questions = embedded_chunks(lake), lake.questions()
-    d, b = two_lists(lake)
+    d, b = two_lists(lake, chunks)
     fused = fusion.reciprocal_rank_fusion(fusion.ranked_list(d, 0, 1.0).unionByName(fusion.ranked_list(b, 1, 1.0)))
     size = fusion.pool_size(preset("hybrid"))
     own = dense.score_pairs(fused.where(F.col("rank") <= size).select("qid", "chunk_id"), chunks, standins.embed(questions, text="question"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from passagelake.functions.text import terms
 from passagelake.operators.blocks import (
-    CELL, CHUNK_BLOCK, HITS, QUESTION_BLOCK, best, cell_counts, chunk_cells, hits_table, keep_best, question_cells,
+    CELL, CHUNK_BLOCK, HITS, QUESTION_BLOCK, best, chunk_cells, hits_table, keep_best, question_cells,
 )
+from passagelake.sources.stores import materialise
 
 K1 = 1.2
 B = 0.75
@@ -59,6 +60,11 @@ def lexical_index(chunks: DataFrame, header: bool = False, stem: bool = True) ->
     return LexicalIndex(postings)
 
 
+def stored_index(index: LexicalIndex) -> LexicalIndex:
+    """The same index with its postings written once, so statistics and search read columns instead of tokenising again."""
+    return LexicalIndex(materialise(index.postings, "postings"))
+
+
 def idf(docs: Column, df: Column) -> Column:
     return F.when(df > 0, F.log1p((docs - df + 0.5) / (df + 0.5))).otherwise(F.lit(0.0))
 
@@ -107,7 +113,7 @@ def bm25_top_k(
     index: LexicalIndex | None = None, chunk_block: int = CHUNK_BLOCK, question_block: int = QUESTION_BLOCK,
 ) -> DataFrame:
     """Best ``k`` chunks per question among those sharing a term, scored with statistics of the question's course."""
-    index = index or lexical_index(chunks, header, stem)
+    index = index or stored_index(lexical_index(chunks, header, stem))
     stats = index.course_stats()
     asked = question_terms(questions, stem)
     vocabulary = asked.select("course", "term").distinct()
@@ -136,5 +142,3 @@ def bm25_top_k(
     )
     return keep_best(scored, k)
 
-
-__all__ = ["LexicalIndex", "bm25_top_k", "idf", "lexical_index", "question_terms", "search_text", "term_weight", "cell_counts"]

@@ -13,7 +13,7 @@ from passagelake.functions.text import terms
 from passagelake.operators import fusion
 from passagelake.operators.dense import dense_top_k, score_pairs
 from passagelake.operators.indexing import course_routes
-from passagelake.operators.lexical import bm25_top_k, lexical_index, search_text
+from passagelake.operators.lexical import bm25_top_k, lexical_index, search_text, stored_index
 from passagelake.operators.model_stages import (
     hypothetical_passage, loose_json, question_variants, rerank_prompt, stage_responses, standalone_questions,
 )
@@ -81,7 +81,7 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
     own_dense = dense.where(F.col("variant") == 0)
     own_bm25 = own_dense.limit(0)
     if hybrid:
-        index = lexical_index(chunks, config["indexing"]["header"], models.stem)
+        index = stored_index(lexical_index(chunks, config["indexing"]["header"], models.stem))
         worded = keyed.withColumnRenamed("text", "question")
         bm25 = lists(bm25_top_k(chunks, worded, r["candidate_k"], stem=models.stem, index=index), 1, r["bm25_weight"])
         all_lists = all_lists.unionByName(bm25.select(*columns))

@@ -10,6 +10,15 @@ from passagelake.operators.chunking import paragraph_chunks
 CHUNKS_PER_DOCUMENT = 1_000_000
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that is read in fewer splits than there are cores.
+
+    A large table already comes in many splits and is left alone, so no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 class Lake:
     """Lazy access to the tables of one folder."""
 
@@ -159,7 +168,7 @@ class Lake:
     # ---- corpus
 
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"), "doc_id")
 
     def chunks(self) -> DataFrame:
         """Paragraph chunks of every document as a chunk table; the course is the language."""
