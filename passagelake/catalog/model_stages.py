@@ -214,7 +214,7 @@ def answer_records(lake: Lake):
 JUDGED = {
     "judged_docs": """
         SELECT CAST(doc_id AS VARCHAR) AS qid, doc_id, lang, quality = 1 AS answerable, n_chars % 5 = 0 AS judge_failed,
-               (n_chars % 3) / 2.0 AS faithfulness, (n_chars % 2) * 1.0 AS correctness, toxic = 1 AS refused
+               (n_chars % 3) / 2.0 AS faithfulness, CAST(n_chars % 2 AS DOUBLE) AS correctness, toxic = 1 AS refused
         FROM labels JOIN documents USING (doc_id)""",
 }
 

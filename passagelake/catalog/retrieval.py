@@ -266,7 +266,7 @@ def rerank_merge(lake: Lake):
 @query(
     "R17_rejected_response",
     """
-    SELECT qid, chunk_id, rank, CASE WHEN 2 * greatest(n // 3, 1) >= n THEN CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END END AS rerank
+    SELECT qid, chunk_id, rank, CASE WHEN 2 * greatest(n // 3, 1) >= n THEN CAST(rank = 1 AS DOUBLE) END AS rerank
     FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM bm25_top)""",
 )
 def rejected_response(lake: Lake):
@@ -319,7 +319,7 @@ def signal(lake: Lake):
 @query(
     "R21_fallback_thresholds",
     """
-    SELECT DISTINCT qid, CASE WHEN length(qid) % 2 = 0 THEN 5.0 ELSE 0.682 END AS threshold, CASE WHEN length(qid) % 2 = 0 THEN 5.0 END AS floor
+    SELECT DISTINCT qid, CAST(CASE WHEN length(qid) % 2 = 0 THEN 5.0 ELSE 0.682 END AS DOUBLE) AS threshold, CAST(CASE WHEN length(qid) % 2 = 0 THEN 5.0 END AS DOUBLE) AS floor
     FROM questions""",
 )
 def fallback_thresholds(lake: Lake):

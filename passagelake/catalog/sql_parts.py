@@ -191,7 +191,7 @@ PARTS.update(
             SELECT 'advanced', 'rerank', t.qid, t.rank, least(t.score / 8.0, 10), CAST(c.doc_id AS VARCHAR), c.text
             FROM bm25_top t JOIN chunks c ON c.chunk_id = t.chunk_id WHERE t.rank <= 5""",
         "records": """
-            SELECT e.experiment, e.signal_kind, q.qid, e.model_calls, length(q.question) * e.pace AS latency_ms
+            SELECT e.experiment, e.signal_kind, q.qid, e.model_calls, length(q.question) * CAST(e.pace AS DOUBLE) AS latency_ms
             FROM questions q, (VALUES ('basic', 'dense', 0, 1.5), ('advanced', 'rerank', 1, 4.0)) e(experiment, signal_kind, model_calls, pace)""",
         "near_gold": f"""
             SELECT r.experiment, r.qid, r.rank, r.signal, g.gold_no, {words_of('r.text')} AS words, i.grams AS wanted
