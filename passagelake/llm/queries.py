@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from passagelake.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY}
+ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op8_line_dedup": sql.LINE_DEDUP}
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -46,3 +46,43 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from passagelake.llm.packing import digest, pack
 
     return digest(pack(_table(spark, folder, "documents"), tokenizer_path()))
+
+
+@_query("op8_line_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from passagelake.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(_table(spark, folder, "documents"))
+    return done.select(
+        "doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), "text"
+    )
+
+
+@_query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.decontamination import decontaminate
+
+    return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, folder, "documents"))
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op5_license_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, folder, "documents"))

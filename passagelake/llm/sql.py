@@ -41,3 +41,23 @@ select *, not base_failed and {every} as kept from j
 
 
 QUALITY = _quality()
+
+LINE_DEDUP = """
+with l as (select rid, doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place
+           from (select row_number() over (order by doc_id) as rid, doc_id, text from documents)),
+w as (select *, row_number() over (partition by rid order by place) - 1 as pos from l
+      where length(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ')) > 0),
+g as (select rid, doc_id, pos, [line, lead(line, 1) over v, lead(line, 2) over v] as win, [place, lead(place, 1) over v, lead(place, 2) over v] as places
+      from w window v as (partition by rid order by pos)),
+f as (select *, count(*) over (partition by win) as n, row_number() over (partition by win order by doc_id, pos) as k,
+        first_value(rid) over (partition by win order by doc_id, pos) as frid, first_value(pos) over (partition by win order by doc_id, pos) as fat
+      from g where win[3] is not null),
+c as (select distinct rid, unnest(places) as place from f where k > 1 and (rid <> frid or pos >= fat + 3)),
+s as (select l.rid, string_agg(l.line, chr(10) order by l.place) as text from l left join c using (rid, place) where c.rid is null group by l.rid),
+t as (select rid, count(*) as n from w group by rid),
+r as (select rid, count(*) as n from c group by rid)
+select d.doc_id, coalesce(t.n, 0)::bigint as n_lines, coalesce(r.n, 0)::bigint as n_removed,
+  case when d.text is null then null else coalesce(s.text, '') end as text
+from (select row_number() over (order by doc_id) as rid, doc_id, text from documents) d
+left join s using (rid) left join t using (rid) left join r using (rid)
+"""
