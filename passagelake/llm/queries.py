@@ -86,3 +86,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from passagelake.llm.license_scan import license_scan
 
     return license_scan(_table(spark, folder, "documents"))
+
+
+@_query("op6_lm_scoring")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.lm_scoring import lm_scores
+
+    return lm_scores(_table(spark, folder, "documents"))
