@@ -93,3 +93,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from passagelake.llm.lm_scoring import lm_scores
 
     return lm_scores(_table(spark, folder, "documents"))
+
+
+@_query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.pii import digest, personal_data
+
+    return digest(personal_data(_table(spark, folder, "documents")))
