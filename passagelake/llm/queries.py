@@ -100,3 +100,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from passagelake.llm.pii import digest, personal_data
 
     return digest(personal_data(_table(spark, folder, "documents")))
+
+
+@_query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, folder, "documents"))
