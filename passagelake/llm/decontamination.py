@@ -197,4 +197,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage:
 def without_benchmark(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text, with all their columns."""
     found = tiled(_with_row(docs), items, seed, coverage).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left_anti")
+    own = docs.select(F.struct("*").alias("_all"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row"))
+    kept = own.join(materialise(found, "contaminated"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left_anti")
+    return kept.select("_all.*")

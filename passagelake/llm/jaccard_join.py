@@ -234,5 +234,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: i
 def one_per_group(docs: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
     """The rows of ``docs`` that have the smallest doc_id of their component, one row each; rows without doc_id stay."""
     kept = jaccard_components(docs, words, top, bottom).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("_d"), "left_semi")
-    return known.unionByName(docs.where("doc_id is null"))
+    own = docs.select(F.struct("*").alias("_all"), F.col("doc_id").cast("long").alias("_doc"))
+    known = own.where("_doc is not null").join(materialise(kept, "kept"), F.col("_doc") == F.col("_d"), "left_semi")
+    return known.unionByName(own.where("_doc is null")).select("_all.*")

@@ -38,17 +38,13 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
     return held.select("doc_id", "row", F.explode(F.transform(starts, marked)).alias("w")).select("w.*", "doc_id", "row")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, a hash that tells apart rows of one doc_id with different texts."""
-    return docs.withColumn("row", F.xxhash64("text"))
-
-
 def covered_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, row, covered``: sorted numbers of the lines to remove, for documents that have any.
+    """``doc_id, row, covered``: sorted places of the lines to remove, for documents that have any; ``row`` is the text's hash.
 
     A later window in the same document counts only where it does not overlap the first, so ``a a a a`` keeps three lines.
     """
-    windows = materialise(_windows(_numbered(docs.select("doc_id", "text")), size), "line-windows")
+    own = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    windows = materialise(_windows(own, size), "line-windows")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("n > 1")
     later = (
         windows.join(first, ["h1", "h2"])
@@ -68,16 +64,15 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Rows that repeat both doc_id and text are one document to this operator and are all treated alike. Lines without a word
     are never windows' lines and stay.
     """
-    covered = covered_lines(docs, size).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("covered").alias("_covered"))
-    joined = docs.withColumn("_r0", F.xxhash64("text")).join(
-        covered, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_r0") == F.col("_r")), "left"
-    )
+    own = docs.select(F.struct("*").alias("_all"), "doc_id", "text", F.xxhash64("text").alias("_row"))
+    covered = covered_lines(own.select("doc_id", "text"), size).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("covered").alias("_covered"))
+    joined = own.join(covered, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(_word_lines(F.col("text"))))
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_covered")
     left = F.array_join(F.get(F.transform(F.array(lines), lambda x: F.transform(stay, lambda i: F.get(x, i))), F.lit(0)), "\n")
     text = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(left)
-    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
+    others = [F.col(f"_all.`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     return joined.select(*others, count.alias("_n_lines"), F.coalesce(F.size("_covered"), F.lit(0)).alias("_n_removed"))
 
 

@@ -161,5 +161,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
 def reject_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose score stays below the threshold."""
     model = model or ToxicityModel.fit(docs, labels)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
     return model.score(own).where(F.col("score") < THRESHOLD).select("_row.*")
