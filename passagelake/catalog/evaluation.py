@@ -17,7 +17,7 @@ from passagelake.sources.tables import Lake
 # ---------------------------------------------------------------- inputs
 
 
-def gold(lake: Lake):
+def _gold(lake: Lake):
     """Benchmark passages found in documents: the document is the source, the passage the span."""
     items = lake.table("benchmark").select("item_id", F.col("text").alias("span"))
     docs = lake.documents().select("doc_id", "lang", "text")
@@ -28,6 +28,10 @@ def gold(lake: Lake):
     )
 
 
+def gold(lake: Lake):
+    return lake.once("gold", lambda: _gold(lake))
+
+
 def dataset(lake: Lake, evidence=None):
     answerable = (gold(lake) if evidence is None else evidence).select("qid").distinct().withColumn("_a", F.lit(True))
     kind = F.when(F.length("question") < 240, F.lit("direct")).otherwise(F.lit("paraphrase"))
@@ -40,7 +44,7 @@ def dataset(lake: Lake, evidence=None):
 
 def ranked(lake: Lake):
     """Two recorded runs: dense as ``basic``, BM25 with a 0..10 signal as ``advanced``."""
-    chunks, questions = materialise(standins.embed(lake.chunks()), "chunks"), lake.questions()
+    chunks, questions = lake.once("embedded", lambda: standins.embed(lake.chunks())), lake.questions()
     d = dense.dense_top_k(chunks, standins.embed(questions, text="question"), 5)
     b = lexical.bm25_top_k(chunks, questions, 5, stem=False)
     columns = lambda df, name, kind, signal: df.select(
@@ -72,7 +76,7 @@ def thresholds(lake: Lake):
 
 
 def scored(lake: Lake):
-    evidence = materialise(gold(lake), "gold")
+    evidence = gold(lake)
     data = dataset(lake, evidence)
     rows = ev.score_runs(records(lake), ranked(lake), data, evidence, thresholds(lake))
     return materialise(rows.join(data.select("qid", "position"), "qid"), "scored")

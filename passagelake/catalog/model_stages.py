@@ -129,7 +129,7 @@ def source_descriptions(lake: Lake):
 
 
 def found_passages(lake: Lake):
-    return build_passages(decided_hits(lake).where("in_context"), lake.chunks(), 1, 6000)
+    return build_passages(decided_hits(lake).where("in_context"), lake.stored_chunks(), 1, 6000)
 
 
 @query(

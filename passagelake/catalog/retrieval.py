@@ -12,7 +12,6 @@ from passagelake.config import preset
 from passagelake.functions import text as tx
 from passagelake.operators import dense, fusion, lexical, passages
 from passagelake.plans.retrieve import Models, frozen_baseline, retrieve
-from passagelake.sources.stores import materialise
 from passagelake.sources.tables import Lake
 
 K = 20
@@ -70,13 +69,13 @@ def idf(lake: Lake):
 
 @query("R5_bm25_top_k", "SELECT course, qid, chunk_id, round(score, 6) AS score, rank FROM bm25_top")
 def bm25(lake: Lake):
-    hits = lexical.bm25_top_k(lake.chunks(), lake.questions(), K, stem=False)
+    hits = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), K, stem=False)
     return hits.select("course", "qid", "chunk_id", r6("score").alias("score"), "rank")
 
 
 @query("R5_bm25_stemmed")
 def bm25_stemmed(lake: Lake):
-    hits = lexical.bm25_top_k(lake.chunks(), lake.questions(), K)
+    hits = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), K)
     return hits.select("course", "qid", "chunk_id", r6("score").alias("score"), "rank")
 
 
@@ -128,7 +127,7 @@ def dense_top_k(lake: Lake):
 @query("R9_pair_scores", "SELECT b.qid, b.chunk_id, round(d.score, 6) AS dense FROM bm25_top b JOIN dense_all d USING (qid, chunk_id)")
 def pair_scores(lake: Lake):
     """Dense scores of the pairs BM25 found."""
-    chunks, questions = lake.chunks(), lake.questions()
+    chunks, questions = lake.stored_chunks(), lake.questions()
     pairs = lexical.bm25_top_k(chunks, questions, K, stem=False).select("qid", "chunk_id")
     used = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
     scored = dense.score_pairs(pairs, standins.embed(used), standins.embed(questions, text="question"))
@@ -156,7 +155,7 @@ def approximate_recall(lake: Lake):
 
 def embedded_chunks(lake: Lake):
     """The stored chunk table: chunked and embedded once, read by column afterwards."""
-    return materialise(standins.embed(lake.chunks()), "chunks")
+    return lake.once("embedded", lambda: standins.embed(lake.chunks()))
 
 
 def two_lists(lake: Lake, chunks=None):
@@ -237,8 +236,8 @@ def candidate_pool(lake: Lake):
 
 def lexical_pool(lake: Lake):
     """A candidate pool from BM25 alone, with texts."""
-    b = lexical.bm25_top_k(lake.chunks(), lake.questions(), K, stem=False)
-    texts = lake.chunks().select("chunk_id", "text", "context_header")
+    b = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), K, stem=False)
+    texts = lake.stored_chunks().select("chunk_id", "text", "context_header")
     asked_ = lake.questions().select("qid", F.col("question").alias("standalone"))
     pool = b.select("qid", "chunk_id", "rank", (1 / (60.0 + F.col("rank"))).alias("rrf"))
     return pool.join(texts, "chunk_id").join(asked_, "qid")
@@ -311,7 +310,7 @@ def mmr(lake: Lake):
     "SELECT qid, chunk_id, CASE WHEN rank % 2 = 0 THEN 'rerank' ELSE 'dense' END AS signal_kind, CASE WHEN rank % 2 = 0 THEN 7.0 ELSE round(score, 6) END AS signal FROM bm25_top",
 )
 def signal(lake: Lake):
-    b = lexical.bm25_top_k(lake.chunks(), lake.questions(), K, stem=False)
+    b = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), K, stem=False)
     rows = b.select("qid", "chunk_id", F.col("score").alias("dense"), F.lit(7.0).alias("rerank"), (F.col("rank") % 2 == 0).alias("rerank_ok"))
     return fusion.with_signal(rows, "rerank").select("qid", "chunk_id", "signal_kind", r6("signal").alias("signal"))
 
@@ -336,7 +335,7 @@ DECIDED = {
 
 
 def decided_hits(lake: Lake):
-    b = lexical.bm25_top_k(lake.chunks(), lake.questions(), 10, stem=False)
+    b = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), 10, stem=False)
     signalled = b.withColumn("signal", F.when(F.col("rank") % 7 != 0, F.col("score")))
     return fusion.decide(signalled, F.lit(12.0), F.lit(9.0))
 
@@ -359,12 +358,12 @@ CONTEXT = {
 
 @query("R23_neighbours", "SELECT qid, chunk_id FROM ctx_near", CONTEXT)
 def neighbours(lake: Lake):
-    return passages.expand_neighbours(decided_hits(lake).where("in_context"), lake.chunks(), 1).select("qid", "chunk_id")
+    return passages.expand_neighbours(decided_hits(lake).where("in_context"), lake.stored_chunks(), 1).select("qid", "chunk_id")
 
 
 @query("R24_runs", "SELECT qid, doc_id, min(chunk_index) AS first_index, count(*) AS pieces FROM ctx_runs GROUP BY qid, doc_id, run", CONTEXT)
 def runs(lake: Lake):
-    near = passages.expand_neighbours(decided_hits(lake).where("in_context"), lake.chunks(), 1)
+    near = passages.expand_neighbours(decided_hits(lake).where("in_context"), lake.stored_chunks(), 1)
     merged = passages.merge_runs(near).groupBy("qid", "group_key", "run").agg(F.min("chunk_index").alias("first_index"), F.count("*").alias("pieces"))
     return merged.select("qid", F.split("group_key", ":")[0].cast("long").alias("doc_id"), "first_index", "pieces")
 
@@ -381,12 +380,12 @@ PASSAGE_SELECT = "SELECT qid, position, doc_id, chunk_index, round(score, 6) AS
 
 @query("R25_passages", PASSAGE_SELECT.replace("position,", "CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS position,") + "ctx_all WHERE rank IS NOT NULL", CONTEXT)
 def all_passages(lake: Lake):
-    return passage_rows(passages.build_passages(decided_hits(lake).where("in_context"), lake.chunks(), 1, 10**9))
+    return passage_rows(passages.build_passages(decided_hits(lake).where("in_context"), lake.stored_chunks(), 1, 10**9))
 
 
 @query("R26_context_budget", PASSAGE_SELECT + "ctx_passages", CONTEXT)
 def context_budget(lake: Lake):
-    return passage_rows(passages.build_passages(decided_hits(lake).where("in_context"), lake.chunks(), 1, 6000))
+    return passage_rows(passages.build_passages(decided_hits(lake).where("in_context"), lake.stored_chunks(), 1, 6000))
 
 
 # ---------------------------------------------------------------- the whole pipeline

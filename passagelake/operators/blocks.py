@@ -14,22 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CHUNK_BLOCK = 50_000
-QUESTION_BLOCK = 2_000
+from passagelake.sources.stores import materialise
+
+# Equal sides: with n chunks and q questions, each chunk is sent q / 20 000 times and each question n / 20 000 times.
+CHUNK_BLOCK = 20_000
+QUESTION_BLOCK = 20_000
+STRIPE_BYTES = 32_000_000
 CELL = ["course", "block", "question_block"]
 
 
 def cell_counts(
     chunks: DataFrame, questions: DataFrame, chunk_block: int = CHUNK_BLOCK, question_block: int = QUESTION_BLOCK
 ) -> DataFrame:
-    """``course, blocks, question_blocks`` for every course that has both chunks and questions."""
+    """``course, blocks, question_blocks`` for every course that has both chunks and questions.
+
+    Written once: its size is known when the chunks are joined with it, so the planner need not shuffle them by course.
+    """
     have = chunks.groupBy("course").agg(F.count("*").alias("n"))
     asked = questions.groupBy("course").agg(F.count("*").alias("q"))
-    return have.join(asked, "course").select(
+    counted = have.join(asked, "course").select(
         "course",
         F.ceil(F.col("n") / chunk_block).cast("int").alias("blocks"),
         F.ceil(F.col("q") / question_block).cast("int").alias("question_blocks"),
     )
+    return materialise(counted, "cells")
 
 
 def chunk_cells(chunks: DataFrame, cells: DataFrame) -> DataFrame:

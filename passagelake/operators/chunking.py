@@ -42,7 +42,7 @@ class PackLimits:
 def paragraph_pieces(text: Column, limit: int = PARAGRAPH_LIMIT, overlap: int = PARAGRAPH_OVERLAP) -> Column:
     """``array<string>`` of packed paragraphs; blank text gives one empty piece."""
     step = limit - overlap
-    paragraphs = F.filter(F.transform(F.split(text, "\\n\\s*\\n"), strip_blanks), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, f"\\n{BLANK}*\\n"), strip_blanks), lambda p: p != "")
 
     def slices(p: Column) -> Column:
         # cut once into steps, then let each slice borrow the overlap from the next step: linear in the text
@@ -97,10 +97,10 @@ def normalised(text: Column) -> Column:
 
 def sentences(paragraph: Column) -> Column:
     """Sentence pieces; a boundary right after a known abbreviation does not split."""
-    after_abbreviation = f"(?i:\\b({ABBREVIATIONS})\\.)\\s+(?={SENTENCE_OPENERS})"
+    after_abbreviation = f"(?i:\\b({ABBREVIATIONS})\\.){BLANK}+(?={SENTENCE_OPENERS})"
     # the leading look-ahead lets the engine skip every position that is not a blank
     boundary = (
-        f"(?=\\s)(?<=[.!?][\"')\\]]?)(?<!(?i:\\b(?:{ABBREVIATIONS}))\\.)\\s+(?={SENTENCE_OPENERS})"
+        f"(?={BLANK})(?<=[.!?][\"')\\]]?)(?<!(?i:\\b(?:{ABBREVIATIONS}))\\.){BLANK}+(?={SENTENCE_OPENERS})"
     )
     pieces = F.split(F.regexp_replace(paragraph, after_abbreviation, "$1. "), boundary)
     return F.filter(F.transform(pieces, strip_blanks), lambda s: s != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagelake.functions.text import cosine, norm
 from passagelake.operators.blocks import (
-    CELL, CHUNK_BLOCK, HITS, QUESTION_BLOCK, best, cell_counts, chunk_cells, hits_table, keep_best, question_cells,
+    CELL, CHUNK_BLOCK, HITS, QUESTION_BLOCK, STRIPE_BYTES, best, cell_counts, chunk_cells, hits_table, keep_best, question_cells,
 )
 
 
@@ -45,15 +47,19 @@ def _score_cell(k: int):
             stored = {size: (at, _unit(m)) for size, (at, m) in _matrices(chunks).items()}
             names = questions.column("qid").to_pylist()
             for size, (at, asked) in _matrices(questions).items():
-                scores = np.zeros((len(at), len(ids)))  # other lengths and zero vectors keep score 0
-                if size in stored:
-                    where, matrix = stored[size]
-                    scores[:, where] = _unit(asked) @ matrix.T
-                scores = np.round(scores, 12)
-                for row, q in enumerate(at):
-                    top = best(np.round(scores[row], 9), k)
-                    qids.append(names[q])
-                    picks.append((top, scores[row][top]))
+                # a stripe of questions at a time, so that a cell's scores never stand in memory together
+                stripe = max(1, STRIPE_BYTES // (8 * len(ids)))
+                for first in range(0, len(at), stripe):
+                    part = at[first : first + stripe]
+                    scores = np.zeros((len(part), len(ids)))  # other lengths and zero vectors keep score 0
+                    if size in stored:
+                        where, matrix = stored[size]
+                        scores[:, where] = _unit(asked[first : first + stripe]) @ matrix.T
+                    np.round(scores, 12, out=scores)
+                    for row, q in enumerate(part):
+                        top = best(np.round(scores[row], 9), k)
+                        qids.append(names[q])
+                        picks.append((top, scores[row][top]))
         return hits_table(key[0].as_py(), qids, picks, ids)
 
     return cell
@@ -88,30 +94,37 @@ def score_pairs(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> Da
     )
 
 
+def plane(table: int, bit: int, size: int, seed: int) -> list[float]:
+    """A random hyperplane of +1 and -1, from the first hexadecimal digit of a digest, so SQL can make the same one."""
+    digests = (hashlib.md5(f"{seed}:{table}:{bit}:{i}".encode()).hexdigest() for i in range(size))
+    return [1.0 if d[0] >= "8" else -1.0 for d in digests]
+
+
+def _signatures(df: DataFrame, key: str, size: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """``course, key, table, signature``: one bit per hyperplane, the side on which the vector lies."""
+
+    def side(table: int, bit: int):
+        signs = F.array(*[F.lit(v) for v in plane(table, bit, size, seed)])
+        product = F.aggregate(F.zip_with("embedding", signs, lambda v, s: v * s), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+        return (product > 0).cast("long") * (1 << bit)
+
+    marks = F.array(*[sum((side(t, b) for b in range(1, bits)), side(t, 0)) for t in range(tables)])
+    return df.select("course", key, F.posexplode(marks).alias("table", "signature"))
+
+
 def approximate_top_k(
-    chunks: DataFrame, questions: DataFrame, k: int,
-    tables: int = 4, bucket_length: float = 1.0, distance: float = 1.4, seed: int = 7,
+    chunks: DataFrame, questions: DataFrame, k: int, size: int = 64, tables: int = 12, bits: int = 4, salts: int = 8, seed: int = 7
 ) -> DataFrame:
-    """Locality-sensitive candidates on unit vectors, re-scored exactly; course must match."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
-        scaled = df.withColumn("_n", length).where(F.col("_n") > 0)
-        return scaled.select(
-            "course", key, array_to_vector(F.transform("embedding", lambda v: (v / F.col("_n")).cast("double"))).alias("unit")
-        )
-
-    stored, asked = unit(chunks, "chunk_id"), unit(questions, "qid")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    )
-    near = lsh.fit(stored).approxSimilarityJoin(asked, stored, distance, "distance")
-    hits = near.where(F.col("datasetA.course") == F.col("datasetB.course")).select(
-        F.col("datasetA.course").alias("course"),
-        F.col("datasetA.qid").alias("qid"),
-        F.col("datasetB.chunk_id").alias("chunk_id"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("score"),
-    )
-    return keep_best(hits, k)
+    """Best ``k`` of the chunks that share a signature with the question in its course, scored exactly.
+
+    Signatures are the sides of random hyperplanes, ``bits`` per table; vectors have ``size`` components. Candidates meet on
+    (course, table, signature), so pairs of other courses are never formed; chunks are salted, so a hot bucket is spread over
+    ``salts`` tasks. Candidate ids are deduplicated before any vector is joined. All candidates are scored, and a zero vector
+    scores 0, as in the exact search.
+    """
+    stored = _signatures(chunks, "chunk_id", size, tables, bits, seed).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    asked = _signatures(questions, "qid", size, tables, bits, seed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = stored.join(asked, ["course", "table", "signature", "salt"]).select("course", "qid", "chunk_id").distinct()
+    vectors = questions.select("course", "qid", F.col("embedding").alias("_q"))
+    near = pairs.join(vectors, ["course", "qid"]).join(chunks.select("course", "chunk_id", F.col("embedding").alias("_c")), ["course", "chunk_id"])
+    return keep_best(near.select("course", "qid", "chunk_id", cosine(F.col("_q"), F.col("_c")).alias("score")), k)

@@ -118,7 +118,9 @@ def cover_pairs(ranked: DataFrame, gold: DataFrame) -> DataFrame:
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """Per (experiment, question with gold): hit, recall, mrr, ndcg with novelty gain, precision."""
     top = ranked.where(F.col("rank") <= k)
-    pairs = cover_pairs(top, gold)
+    from passagelake.sources.stores import materialise
+
+    pairs = materialise(cover_pairs(top, gold), "covers")
     novelty = pairs.groupBy("experiment", "qid", "gold_no").agg(F.min("rank").alias("first_rank"))
     spans = novelty.groupBy("experiment", "qid").agg(
         F.count_if(F.col("first_rank") <= 3).alias("covered3"), F.count("*").alias("covered5")
@@ -143,9 +145,9 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame
     return joined.select(
         "experiment",
         "qid",
-        (F.coalesce("first", F.lit(99)) <= 1).cast("double").alias("hit1"),
-        (F.coalesce("first", F.lit(99)) <= 3).cast("double").alias("hit3"),
-        (F.coalesce("first", F.lit(99)) <= k).cast("double").alias("hit5"),
+        F.coalesce(F.col("first") <= 1, F.lit(False)).cast("double").alias("hit1"),
+        F.coalesce(F.col("first") <= 3, F.lit(False)).cast("double").alias("hit3"),
+        F.coalesce(F.col("first") <= k, F.lit(False)).cast("double").alias("hit5"),
         (F.coalesce("covered3", none) / F.col("n_gold")).alias("recall3"),
         (F.coalesce("covered5", none) / F.col("n_gold")).alias("recall5"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
@@ -258,12 +260,15 @@ def _positions(pairs: DataFrame, keys: list[str], order: str, width: int) -> Dat
 
 
 def _resampled(values: DataFrame, keys: list[str], sums: dict[str, str], resamples: int, seed: int) -> DataFrame:
-    """Sums per (key, resample) over positions drawn by the seeded generator.
+    """Sums per (key, resample) over positions drawn by the seeded generator; the numbered values and the sums are stored once.
 
     Draw ``r·n + i`` is computed from its own number, so draws are generated in independent blocks spread over the
     cluster; after the join on (key, position) the sums are pre-aggregated by resample before anything is shuffled.
     """
+    from passagelake.sources.stores import materialise
+
     block = 65_536
+    values = materialise(values, "numbered")
     sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
     blocks = (
         sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
@@ -277,9 +282,10 @@ def _resampled(values: DataFrame, keys: list[str], sums: dict[str, str], resampl
     # never null: for a nullable key the join would infer a not-null filter that repeats the whole draw expression
     position = F.coalesce(F.floor(F.col("_draw") * F.col("_n")) + 1, F.lit(0).cast("long"))
     drawn = uniform.select(*keys, "_r", position.alias("_pos"))
-    return drawn.join(values, [*keys, "_pos"]).groupBy(*keys, "_r").agg(
+    added = drawn.join(values, [*keys, "_pos"]).groupBy(*keys, "_r").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], F.count("*").alias("_n")
     )
+    return materialise(added, "resamples")
 
 
 def bootstrap_mean(values: DataFrame, keys: list[str], value: str, order: str, resamples: int = 2000, seed: int = 7, width: int = 65_536) -> DataFrame:

@@ -42,18 +42,18 @@ def candidate_pool(fused: DataFrame, dense: DataFrame, bm25: DataFrame, size: in
     )
 
 
-JUDGED = "array<struct<id:string,score:string>>"
-
-
 def judged_scores(responses: DataFrame) -> DataFrame:
     """``responses(qid, json)`` to ``qid, number, score``; the last of repeated numbers wins, scores clamp to 0..10."""
-    plain = F.from_json("json", JUDGED)
-    wrapped = F.from_json("json", f"struct<scores:{JUDGED}>")["scores"]
-    items = responses.select(
-        "qid", F.posexplode(F.when(F.col("json").startswith("["), plain).otherwise(wrapped)).alias("at", "item")
-    ).select(
-        "qid", "at", F.col("item.id").try_cast("double").alias("number"), F.col("item.score").try_cast("double").alias("score")
-    )
+    # every item is parsed on its own, so one that is no object does not take the others with it
+    plain = F.from_json("json", "array<string>")
+    wrapped = F.from_json("json", "struct<scores:array<string>>")["scores"]
+    listed = responses.select(
+        "qid", F.posexplode(F.when(F.col("json").startswith("["), plain).otherwise(wrapped)).alias("at", "text")
+    ).select("qid", "at", F.from_json("text", "map<string,string>").alias("item"))
+    value = F.trim(F.col("item")["score"])
+    # a score that is given as null or blank counts as 0, a missing one is no score
+    given = F.when(F.map_contains_key("item", F.lit("score")), F.when(F.coalesce(value, F.lit("")) == "", 0.0).otherwise(value.try_cast("double")))
+    items = listed.where(F.col("item").isNotNull()).select("qid", "at", F.col("item")["id"].try_cast("double").alias("number"), given.alias("score"))
     whole = F.col("number") == F.floor("number")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     return (

@@ -114,26 +114,29 @@ def bm25_top_k(
 ) -> DataFrame:
     """Best ``k`` chunks per question among those sharing a term, scored with statistics of the question's course."""
     index = index or stored_index(lexical_index(chunks, header, stem))
-    stats = index.course_stats()
+    # statistics and the asked terms are written once: their sizes are known when the postings are joined with them
+    stats = materialise(index.course_stats(), "course-stats")
     asked = question_terms(questions, stem)
-    vocabulary = asked.select("course", "term").distinct()
+    vocabulary = materialise(asked.select("course", "term").distinct(), "asked-terms")
     needed = index.postings.join(vocabulary, ["course", "term"], "left_semi")
     weighted = needed.join(stats, "course").select(
         "course", "chunk_id", "term", term_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len")).alias("weight")
     )
+    frequency = needed.groupBy("course", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     valued = (
-        asked.join(index.document_frequency(), ["course", "term"])
+        asked.join(frequency, ["course", "term"])
         .join(stats, "course")
         .select("course", "qid", "term", idf(F.col("docs"), F.col("df")).alias("idf"))
     )
     sizes = stats.select("course", "docs").join(
         questions.groupBy("course").agg(F.count("*").alias("asked")), "course"
     )
-    cells = sizes.select(
+    counted = sizes.select(
         "course",
         F.ceil(F.col("docs") / chunk_block).cast("int").alias("blocks"),
         F.ceil(F.col("asked") / question_block).cast("int").alias("question_blocks"),
     )
+    cells = materialise(counted, "cells")
     scored = (
         chunk_cells(weighted, cells)
         .groupBy(*CELL)

@@ -37,6 +37,10 @@ REFUSAL = (
 )
 
 
+# Fixed value: paraphrases used of a response.
+MOST_PARAPHRASES = 3
+
+
 # ---------------------------------------------------------------- conversation
 
 
@@ -87,7 +91,7 @@ def standalone_questions(questions: DataFrame, responses: DataFrame) -> DataFram
     )
 
 
-def paraphrase_list(parsed: Column, original: Column, most: int = 3) -> Column:
+def paraphrase_list(parsed: Column, original: Column, most: int = MOST_PARAPHRASES) -> Column:
     """Clean paraphrases from ``[...]`` or ``{"queries": [...]}``; anything else gives an empty list."""
     listed = F.when(parsed.startswith("["), F.from_json(parsed, "array<string>")).otherwise(
         F.from_json(parsed, "struct<queries:array<string>>")["queries"]
@@ -96,31 +100,39 @@ def paraphrase_list(parsed: Column, original: Column, most: int = 3) -> Column:
     return F.coalesce(F.slice(F.array_distinct(cleaned), 1, most), F.array().cast("array<string>"))
 
 
-def question_variants(questions: DataFrame, responses: DataFrame | None, weight: float) -> DataFrame:
-    """``qid, variant, question, weight``: variant 0 is the question itself, paraphrases follow."""
-    base = questions.withColumn("_texts", F.array("standalone"))
-    if responses is not None:
-        parsed = loose_json(F.col("paraphrase_response"))
-        base = questions.join(stage_responses(responses, "paraphrase"), "qid", "left").withColumn(
-            "_texts", F.concat(F.array("standalone"), paraphrase_list(parsed, F.col("standalone")))
-        )
+def with_paraphrases(questions: DataFrame, responses: DataFrame) -> DataFrame:
+    """Add ``paraphrases``; the call is counted, and counted as failed when the response holds no list."""
+    parsed = loose_json(F.col("paraphrase_response"))
+    listed = F.coalesce(parsed.startswith("["), F.lit(False)) | F.from_json(parsed, "struct<queries:array<string>>")["queries"].isNotNull()
+    return (
+        questions.join(stage_responses(responses, "paraphrase"), "qid", "left")
+        .withColumn("paraphrases", paraphrase_list(parsed, F.col("standalone")))
+        .withColumn("model_calls", F.col("model_calls") + 1)
+        .withColumn("model_failures", F.col("model_failures") + (~F.coalesce(listed, F.lit(False))).cast("int"))
+        .drop("paraphrase_response")
+    )
+
+
+def question_variants(questions: DataFrame, weight: float) -> DataFrame:
+    """``course, qid, variant, text, weight`` from ``standalone`` and ``paraphrases``: variant 0 is the question itself."""
+    base = questions.withColumn("_texts", F.concat(F.array("standalone"), "paraphrases"))
     return base.select("course", "qid", F.posexplode("_texts").alias("variant", "text")).withColumn(
         "weight", F.when(F.col("variant") == 0, F.lit(1.0)).otherwise(F.lit(float(weight)))
     )
 
 
-def hypothetical_passage(text: Column) -> Column:
+def hypothetical_passage(text: Column, least: int = 20, most: int = 800) -> Column:
     passage = strip_blanks(F.coalesce(text, F.lit("")))
-    return F.when(F.length(passage) < 20, F.lit("")).otherwise(head(passage, 800))
+    return F.when(F.length(passage) < least, F.lit("")).otherwise(head(passage, most))
 
 
-def context_note(text: Column) -> Column:
-    return head(collapse_blanks(strip_blanks(F.coalesce(text, F.lit("")))), 300)
+def context_note(text: Column, most: int = 300) -> Column:
+    return head(collapse_blanks(strip_blanks(F.coalesce(text, F.lit("")))), most)
 
 
-def note_prompt(title: Column, document: Column, chunk: Column) -> Column:
+def note_prompt(title: Column, document: Column, chunk: Column, document_chars: int = 12_000) -> Column:
     return F.concat(
-        F.lit('<document title="'), title, F.lit('">\n'), head(document, 12000),
+        F.lit('<document title="'), title, F.lit('">\n'), head(document, document_chars),
         F.lit("\n</document>\n\n<chunk>\n"), chunk, F.lit("\n</chunk>"),
     )
 
@@ -184,7 +196,8 @@ def rerank_prompt(pool: DataFrame, questions: DataFrame, passage_chars: int = 70
 
 
 def source_description() -> Column:
-    section = F.array_join(F.slice(F.split(F.coalesce("context_header", F.lit("")), " > "), 2, 10_000), " > ")
+    parts = F.split(F.coalesce("context_header", F.lit("")), " > ")
+    section = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " > ")
     section_part = F.when(section == "", F.lit("")).otherwise(F.concat(F.lit(', section "'), section, F.lit('"')))
     page_part = F.when(F.coalesce("page", F.lit(0)) == 0, F.lit("")).otherwise(
         F.concat(F.lit(", page "), F.col("page").cast("string"))

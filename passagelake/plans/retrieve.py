@@ -15,7 +15,7 @@ from passagelake.operators.dense import dense_top_k, score_pairs
 from passagelake.operators.indexing import course_routes
 from passagelake.operators.lexical import bm25_top_k, lexical_index, search_text, stored_index
 from passagelake.operators.model_stages import (
-    hypothetical_passage, loose_json, question_variants, rerank_prompt, stage_responses, standalone_questions,
+    MOST_PARAPHRASES, hypothetical_passage, loose_json, question_variants, rerank_prompt, stage_responses, standalone_questions, with_paraphrases,
 )
 from passagelake.operators.passages import build_passages
 from passagelake.sources.stores import materialise
@@ -51,18 +51,18 @@ def _prepare(questions: DataFrame, models: Models, config: dict) -> DataFrame:
     base = questions.select(
         "course", "qid", "question", "history", F.lit(0).alias("model_calls"), F.lit(0).alias("model_failures")
     )
-    if config["query"]["rewrite"]:
-        recorded = models.responses if models.responses is not None else questions.sparkSession.createDataFrame([], NO_RESPONSES)
-        return standalone_questions(base, recorded)
-    return base.withColumn("standalone", F.col("question"))
+    recorded = models.responses if models.responses is not None else questions.sparkSession.createDataFrame([], NO_RESPONSES)
+    ready = standalone_questions(base, recorded) if config["query"]["rewrite"] else base.withColumn("standalone", F.col("question"))
+    if config["query"]["multi_query"]:
+        return with_paraphrases(ready, recorded)
+    return ready.withColumn("paraphrases", F.array().cast("array<string>"))
 
 
 def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config: dict):
     """Fused pool with raw scores, and the questions for which the hypothetical passage was used."""
     r = config["retrieval"]
     hybrid = r["mode"] == "hybrid"
-    multi = models.responses if config["query"]["multi_query"] else None
-    variants = question_variants(prepared, multi, r["multi_query_weight"])
+    variants = question_variants(prepared, r["multi_query_weight"])
     keyed = variants.withColumn("base_qid", F.col("qid")).withColumn("qid", F.concat_ws("~", "qid", F.col("variant").cast("string")))
     mode = "query" if config["indexing"]["task_types"] else ""
     asked = models.embed(keyed, mode)
@@ -94,7 +94,7 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
             "course", "qid", hypothetical_passage(F.col("hyde_response")).alias("text")
         )
         imagined = models.embed(weak.where(F.col("text") != ""), "document" if config["indexing"]["task_types"] else "")
-        extra = fusion.ranked_list(dense_top_k(chunks, imagined, r["candidate_k"]), 1_000_000, r["hyde_weight"])
+        extra = fusion.ranked_list(dense_top_k(chunks, imagined, r["candidate_k"]), 2 * (MOST_PARAPHRASES + 1), r["hyde_weight"])
         all_lists = all_lists.unionByName(extra)
         weak = weak.select("qid", (F.col("text") != "").alias("hyde"))
     fused = fusion.reciprocal_rank_fusion(all_lists, r["rrf_k"]).where(F.col("rank") <= fusion.pool_size(config))
@@ -146,14 +146,17 @@ def _run(questions: DataFrame, chunks: DataFrame, models: Models, config: dict)
         trace = trace.withColumn("hyde", F.lit(None).cast("boolean"))
     hyde_asked, failed = F.col("hyde").isNotNull().cast("int"), F.lit(judged) & ~F.coalesce("rerank_ok", F.lit(False))
     has_rows = F.col("retrieved").isNotNull()
+    # a question of a course without chunks is answered before any model is asked
     trace = trace.select(
-        "qid", F.lit(config["name"]).alias("pipeline"), "standalone",
+        "qid", F.lit(config["name"]).alias("pipeline"),
+        F.when(has_rows, F.col("standalone")).otherwise(F.col("question")).alias("standalone"),
+        F.when(has_rows, F.col("paraphrases")).otherwise(F.array().cast("array<string>")).alias("paraphrases"),
         F.coalesce("retrieved", F.lit(0)).alias("retrieved"),
         F.coalesce("abstain", F.lit(True)).alias("abstain"),
-        (F.col("model_calls") + hyde_asked + (F.lit(judged) & has_rows).cast("int")
-         + F.lit(int(config["query"]["multi_query"]))).alias("model_calls"),
-        (F.col("model_failures") + (F.col("hyde").isNotNull() & ~F.coalesce("hyde", F.lit(False))).cast("int")
-         + (failed & has_rows).cast("int")).alias("model_failures"),
+        F.when(has_rows, F.col("model_calls") + hyde_asked + int(judged)).otherwise(0).alias("model_calls"),
+        F.when(
+            has_rows, F.col("model_failures") + (F.col("hyde").isNotNull() & ~F.coalesce("hyde", F.lit(False))).cast("int") + failed.cast("int")
+        ).otherwise(0).alias("model_failures"),
         F.coalesce("hyde", F.lit(False)).alias("hyde"), (failed & has_rows).alias("rerank_failed"),
     )
     return Retrieval(ranked, passages, trace)

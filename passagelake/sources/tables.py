@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagelake.operators.chunking import paragraph_chunks
+from passagelake.sources.stores import materialise
 
 CHUNKS_PER_DOCUMENT = 1_000_000
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is read in fewer splits than there are cores.
-
-    A large table already comes in many splits and is left alone, so no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+#: Session setting: deal the documents to this many tasks after reading. Only for tables that lie in one row group, which
+#: Spark cannot read in parallel; unset, as it should be on a cluster, documents are used in the splits they come in.
+DEAL = "passagelake.documents.tasks"
 
 
 class Lake:
@@ -24,6 +23,14 @@ class Lake:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._stored: dict[str, DataFrame] = {}
+        self._courses: list[str] | None = None
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps of one query read: written on first use, read by column afterwards."""
+        if name not in self._stored:
+            self._stored[name] = materialise(build(), name)
+        return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -168,13 +175,19 @@ class Lake:
     # ---- corpus
 
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        docs, tasks = self.table("documents"), self.spark.conf.get(DEAL, None)
+        return docs.repartition(int(tasks), "doc_id") if tasks else docs
+
+    def stored_chunks(self) -> DataFrame:
+        return self.once("chunks", self.chunks)
 
     def chunks(self) -> DataFrame:
         """Paragraph chunks of every document as a chunk table; the course is the language."""
         docs = self.documents().select("doc_id", F.col("lang").alias("course"), "text")
         doc = F.col("doc_id").cast("string")
-        return paragraph_chunks(docs).select(
+        # ids of two documents never meet: a document with more chunks than its range of ids fails
+        fits = F.assert_true(F.col("chunk_index") < CHUNKS_PER_DOCUMENT, F.lit("too many chunks in one document")).isNull()
+        return paragraph_chunks(docs).where(fits).select(
             "course",
             doc.alias("lesson"),
             (F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"),
@@ -194,10 +207,12 @@ class Lake:
 
     def questions(self) -> DataFrame:
         """Every benchmark text asked in every course: ``course, qid, item_id, question``."""
-        courses = self.documents().select(F.col("lang").alias("course")).distinct()
-        asked = courses.groupBy().agg(F.collect_set("course").alias("courses"))  # one row per language, a handful
-        items = self.table("benchmark").withColumn("_one", F.lit(1)).join(asked.withColumn("_one", F.lit(1)), "_one")
-        return items.select(F.explode("courses").alias("course"), "item_id", F.col("text").alias("question")).withColumn(
+        if self._courses is None:
+            rows = self.table("documents").select("lang").distinct().where("lang is not null").collect()  # one per language, a handful
+            self._courses = sorted(r["lang"] for r in rows)
+        courses = F.array(*[F.lit(c) for c in self._courses]).cast("array<string>")
+        items = self.table("benchmark").select(F.explode(courses).alias("course"), "item_id", F.col("text").alias("question"))
+        return items.withColumn(
             "qid", F.concat_ws("@", F.col("item_id").cast("string"), "course")
         )
 

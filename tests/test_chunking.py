@@ -120,3 +120,13 @@ def test_pack_bounds_against_brute_force():
             assert total <= limits.most
             repeated = sum(sizes[carry:first]) + sum(seps[carry + 1 : first])
             assert repeated <= limits.overlap and not any(codes[carry:first])
+
+
+def test_unicode_blank_lines_part_paragraphs(spark):
+    first, second = "a" * 500, "b" * 500
+    text = first + "\n\u00a0\u2003\n" + second
+    got = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    from passagelake.operators.chunking import paragraph_chunks
+
+    pieces = [r.text for r in paragraph_chunks(got).orderBy("chunk_index").collect()]
+    assert [len(p) for p in pieces] == [500, 652] and pieces[1] == first[-150:] + "\n\n" + second

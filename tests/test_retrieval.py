@@ -145,6 +145,9 @@ def pool(spark, n):
         (3, '{"scores":[{"id":99,"score":8},{"id":"x","score":1}]}', None),
         (3, "{}", None),
         (2, '[{"id":1,"score":2},{"id":1,"score":7},{"id":2,"score":1}]', {1: 7.0, 2: 1.0}),
+        (4, '[{"id":1,"score":null},{"id":2,"score":5}]', {1: 0.0, 2: 5.0, 3: 0.0, 4: 0.0}),
+        (4, '[{"id":1,"score":7},"junk",{"id":2,"score":5}]', {1: 7.0, 2: 5.0, 3: 0.0, 4: 0.0}),
+        (4, '{"scores":[{"id":1,"score":7},null,[3],{"id":2}]}', None),
     ],
 )
 def test_rerank_merge(spark, n, text, expected):
@@ -225,3 +228,43 @@ def test_presets():
     assert index_signature(preset("basic")["indexing"]) == "basic.h0.t0.c0"
     with pytest.raises(ValueError):
         preset("nope")
+
+
+def test_trace_counts_paraphrase_calls(spark):
+    questions = spark.createDataFrame([("c", f"q{i}", "what is it") for i in range(3)] + [("none", "q3", "what")], "course string, qid string, standalone string")
+    base = questions.withColumns({"model_calls": F.lit(0), "model_failures": F.lit(0)})
+    recorded = spark.createDataFrame(
+        [("q0", "paraphrase", '{"queries":["other words","other words"]}'), ("q1", "paraphrase", "no list here"), ("q2", "paraphrase", "[]")], "qid string, stage string, text string"
+    )
+    got = {r.qid: (r.paraphrases, r.model_calls, r.model_failures) for r in ms.with_paraphrases(base, recorded).collect()}
+    assert got == {"q0": (["other words"], 1, 0), "q1": ([], 1, 1), "q2": ([], 1, 0), "q3": ([], 1, 1)}
+
+
+def test_course_without_chunks_asks_no_model(spark):
+    from passagelake.catalog import standins
+    from passagelake.plans.retrieve import Models, retrieve
+
+    history = "array<struct<question:string,answer:string>>"
+    questions = spark.createDataFrame([("c", "q0", "green apples"), ("empty", "q1", "green apples")], "course string, qid string, question string")
+    questions = questions.withColumn("history", F.array().cast(history))
+    row = ("c", "l", 0, 0, "green apples grow on trees", "Lesson", "content", "", None, "", "", None, 0, "v", "l:content")
+    names = "course string, lesson string, chunk_id long, chunk_index int, text string, lesson_title string, source string, source_label string, attachment_id string, context_header string, context_note string, page int, overlap_len int, index_version string, group_key string"
+    recorded = spark.createDataFrame([(q, "paraphrase", '["apples that are green"]') for q in ("q0", "q1")], "qid string, stage string, text string")
+    config = preset("multiquery", {"query": {"rewrite": False}, "indexing": {"chunker": "basic", "header": False}})
+    out = retrieve(questions, standins.embed(spark.createDataFrame([row], names)), Models(standins.embed, responses=recorded, stem=False), config)
+    got = {r.qid: (r.paraphrases, r.model_calls, r.model_failures) for r in out.trace.collect()}
+    assert got == {"q0": (["apples that are green"], 1, 0), "q1": ([], 0, 0)}
+
+
+def test_approximate_search_keeps_courses_apart_and_finds_most(spark):
+    rng = random.Random(9)
+    near = lambda centre: [c + rng.gauss(0, 0.25) for c in centre]
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    stored = [("ab"[i % 2], i, near(centres[i % 12])) for i in range(240)] + [("a", 900, [0.0] * 16)]
+    chunks = spark.createDataFrame(stored, "course string, chunk_id long, embedding array<float>")
+    questions = spark.createDataFrame([("ab"[i % 2], f"q{i}", near(centres[i % 12])) for i in range(24)], "course string, qid string, embedding array<float>")
+    exact = {(h.qid, h.chunk_id) for h in dense.dense_top_k(chunks, questions, 5).collect()}
+    got = dense.approximate_top_k(chunks, questions, 5, size=16).collect()
+    course = {i: c for c, i, _ in stored}
+    assert all(course[h.chunk_id] == h.course for h in got)
+    assert len({(h.qid, h.chunk_id) for h in got} & exact) >= 0.9 * len(exact)
