@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from passagelake.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op8_line_dedup": sql.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op8_line_dedup": sql.LINE_DEDUP, "op1_ngram_jaccard_join": sql.JACCARD}
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 

@@ -61,3 +61,20 @@ select d.doc_id, coalesce(t.n, 0)::bigint as n_lines, coalesce(r.n, 0)::bigint a
 from (select row_number() over (order by doc_id) as rid, doc_id, text from documents) d
 left join s using (rid) left join t using (rid) left join r using (rid)
 """
+
+JACCARD = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') as ws from documents),
+s as (
+  select distinct doc_id, sh from (
+    select doc_id, array_to_string(ws[i + 1 : i + 4], ' ') as sh from (select doc_id, ws, unnest(range(0, len(ws) - 3)) as i from w where len(ws) >= 4)
+    union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 3)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r(node, root) as (select a, a from l union select l.b, r.root from r join l on l.a = r.node),
+c as (select node, min(root) as root from r group by node)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.root, w.doc_id) as component_id
+from w left join n using (doc_id) left join c on c.node = w.doc_id
+"""
