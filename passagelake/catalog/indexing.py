@@ -199,8 +199,9 @@ def headed_docs(lake: Lake):
         F.split("text", "\n"),
         lambda s: F.when(short(s), F.concat(F.repeat(F.lit("#"), 1 + F.length(F.trim(s)) % 3), F.lit(" "), F.trim(s))).otherwise(s),
     )
-    return structured_docs(lake).drop("pages").join(lake.documents().select("doc_id", "text"), "doc_id").select(
-        "doc_id", "title", "source_label", "plain", F.array(F.array_join(marked, "\n")).alias("pages")
+    return lake.documents().select(
+        "doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("source_label"),
+        F.lit(False).alias("plain"), F.array(F.array_join(marked, "\n")).alias("pages"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagelake.catalog.registry import query
 from passagelake.operators import learning as le
+from passagelake.operators.chunking import paragraph_chunks
 from passagelake.sources.tables import Lake
 
 
@@ -319,6 +320,7 @@ def all_courses(lake: Lake):
 def cascade(lake: Lake):
     tables = {
         "lessons": lake.lessons(), "quizzes": lake.quizzes(), "attempts": lake.attempts(), "enrolments": lake.enrolments(),
+        "chunks": paragraph_chunks(lake.lessons().select("course_id", "lesson_id", F.col("content").alias("text"))),
         "chat": lake.chat_turns().withColumn("course_id", F.col("conv_id")),
     }
     doomed = lake.courses().where(~F.col("published"))
@@ -328,7 +330,7 @@ def cascade(lake: Lake):
 @query(
     "L25_cascade_counts",
     """
-    SELECT c.course_id, count(l.lesson_id) AS deleted_lessons, 1 AS deleted_quizzes FROM courses c LEFT JOIN lessons l USING (course_id)
+    SELECT c.course_id, count(l.lesson_id) AS deleted_lessons, 1 AS deleted_quizzes, count(l.lesson_id) AS deleted_chunks FROM courses c LEFT JOIN lessons l USING (course_id)
     WHERE NOT published GROUP BY c.course_id""",
 )
 def cascade_counts(lake: Lake):

@@ -290,8 +290,10 @@ def _chunk_of(units: Column, bound: Column) -> Column:
 def document_lines(docs: DataFrame, key: str) -> DataFrame:
     """``docs(key, pages array<string>, plain boolean)`` to one classified row per line.
 
-    ``fallback`` carries the raw text only for documents in which no line can become a unit.
+    ``fallback`` carries the raw text only for documents in which no line can become a unit; ``about`` carries title and source
+    label, where there are any, on a document's first line.
     """
+    named = F.struct("title", "source_label") if {"title", "source_label"} <= set(docs.columns) else F.lit(None).cast("struct<title:string,source_label:string>")
     pages = F.col("pages")
     cleaned = F.transform(pages, lambda p: F.split(normalised(p), "\\n"))
     solid = F.exists(
@@ -304,11 +306,14 @@ def document_lines(docs: DataFrame, key: str) -> DataFrame:
         docs.select(
             key,
             "plain",
+            named.alias("named"),
             (F.size(pages) > 1).alias("paged"),
             F.when(~solid, strip_blanks(F.array_join(pages, "\n"))).alias("fallback"),
             F.posexplode(cleaned).alias("page_no", "lines"),
         )
-        .select(key, "plain", "paged", "fallback", "page_no", F.posexplode("lines").alias("line_no", "line"))
+        .select(key, "plain", "paged", "fallback", "named", "page_no", F.posexplode("lines").alias("line_no", "line"))
+        .withColumn("about", F.when((F.col("page_no") == 0) & (F.col("line_no") == 0), F.col("named")))
+        .drop("named")
         .repartition(key)
     )
     in_page = Window.partitionBy(key, "page_no").orderBy("line_no")
@@ -382,23 +387,26 @@ def document_sections(lines: DataFrame, key: str) -> DataFrame:
         F.max("title").alias("title"),
         F.first("paged").alias("paged"),
         F.max("fallback").alias("fallback"),
+        F.max("about").alias("about"),
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias("lines"),
     )
     page = F.when(F.col("paged"), F.col("page_no") + 1)
     with_units = blocks.select(
-        key, "section", "page_no", "at", "level", "title", "fallback",
+        key, "section", "page_no", "at", "level", "title", "fallback", "about",
         block_units(F.col("lines"), F.col("kind"), page).alias("units"),
     )
     sections = with_units.groupBy(key, "section").agg(
         F.max("level").alias("level"),
         F.max("title").alias("title"),
         F.max("fallback").alias("fallback"),
+        F.max("about").alias("about"),
         F.flatten(
             F.transform(F.sort_array(F.collect_list(F.struct("page_no", "at", "units"))), lambda b: b["units"])
         ).alias("units"),
     )
     documents = sections.groupBy(key).agg(
         F.max("fallback").alias("fallback"),
+        F.max("about").alias("about"),
         F.sort_array(F.collect_list(F.struct("section", "level", "title", "units"))).alias("parts"),
     )
     paths = heading_paths(F.transform("parts", lambda p: F.struct(p["level"].alias("level"), p["title"].alias("title"))))
@@ -407,7 +415,7 @@ def document_sections(lines: DataFrame, key: str) -> DataFrame:
         paths,
         lambda p, path: F.struct(path.alias("path"), p["units"].alias("units")),
     )
-    return documents.select(key, "fallback", F.filter(zipped, lambda s: F.size(s["units"]) > 0).alias("sections"))
+    return documents.select(key, "fallback", "about", F.filter(zipped, lambda s: F.size(s["units"]) > 0).alias("sections"))
 
 
 def structured_chunks(docs: DataFrame, key: str, limits: PackLimits = PackLimits()) -> DataFrame:
@@ -467,19 +475,19 @@ def structured_chunks(docs: DataFrame, key: str, limits: PackLimits = PackLimits
             ).alias("chunk"),
         )
     )
-    chunks = bounded.select(key, "fallback", packed.alias("packed")).select(
+    chunks = bounded.select(key, "fallback", "about", packed.alias("packed")).select(
         key,
+        "about",
         F.posexplode(
             F.when((F.size("packed") == 0) & (F.col("fallback") != ""), whole).otherwise(F.col("packed"))
         ).alias("chunk_index", "piece"),
     )
-    titles = docs.select(key, "title", "source_label")
-    return chunks.join(titles, key).select(
+    return chunks.select(
         key,
         "chunk_index",
         F.col("piece.chunk.text").alias("text"),
         F.col("piece.path").alias("heading_path"),
-        context_header(F.col("title"), F.col("source_label"), F.col("piece.path")).alias("context_header"),
+        context_header(F.col("about.title"), F.col("about.source_label"), F.col("piece.path")).alias("context_header"),
         F.col("piece.chunk.overlap_len").alias("overlap_len"),
         F.col("piece.chunk.page").alias("page"),
     )

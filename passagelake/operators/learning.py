@@ -298,8 +298,11 @@ def cascade_delete(doomed: DataFrame, tables: dict[str, DataFrame]) -> tuple[dic
         left["attempts"] = tables["attempts"].join(gone.select("quiz_id"), "quiz_id", "left_anti")
     lessons = tables["lessons"].join(ids, "course_id", "left_semi").groupBy("course_id").agg(F.count("*").alias("deleted_lessons"))
     quizzes = gone.groupBy("course_id").agg(F.count("*").alias("deleted_quizzes"))
-    counts = ids.join(lessons, "course_id", "left").join(quizzes, "course_id", "left").na.fill(0)
-    return left, counts
+    counts = ids.join(lessons, "course_id", "left").join(quizzes, "course_id", "left")
+    if "chunks" in tables:
+        chunks = tables["chunks"].join(ids, "course_id", "left_semi").groupBy("course_id").agg(F.count("*").alias("deleted_chunks"))
+        counts = counts.join(chunks, "course_id", "left")
+    return left, counts.na.fill(0)
 
 
 def tutor_dashboard(courses: DataFrame) -> DataFrame:

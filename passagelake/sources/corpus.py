@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from passagelake.functions.ranks import ordinals
 from passagelake.functions.text import strip_blanks
+from passagelake.sources.stores import materialise
 
 # Attachment types whose text can be extracted.
 EXTRACTABLE = ("application/pdf", "text/plain", "text/markdown")
@@ -40,13 +41,20 @@ def parse_lessons(files: DataFrame, bucket: Column) -> DataFrame:
         strip_blanks(F.regexp_replace(first, "^#\\s*", "")).alias("title"),
         strip_blanks(rest).alias("content"),
     )
-    placed = ordinals(parsed.withColumn("_all", F.lit(0)), ["_all"], [F.col("file")], bucket, "_n")
-    return placed.withColumn("lesson_order", F.col("_n") - 1).drop("_all", "_n", "file")
+    named = files.where(F.col("file").endswith(".md")).select("file", bucket.alias("_bucket_of"), F.lit(0).alias("_all"))
+    placed = ordinals(named, ["_all"], [F.col("file")], F.col("_bucket_of"), "_n").select("file", (F.col("_n") - 1).alias("lesson_order"))
+    return parsed.join(placed, "file").drop("file")
 
 
-def read_lessons(spark: SparkSession, folder: str, prefix_chars: int = 3) -> DataFrame:
+def read_lessons(spark: SparkSession, folder: str) -> DataFrame:
+    """Lessons of a folder of Markdown files, numbered by file name.
+
+    Names alone are dealt by range, whatever they begin with, and numbered range by range; the texts then meet their numbers.
+    """
     files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
-    return parse_lessons(files, F.substring("file", 1, prefix_chars))
+    names = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file"))
+    ranges = materialise(names.repartitionByRange("file").select("file", F.spark_partition_id().alias("range")), "lesson-names")
+    return parse_lessons(files.join(ranges, "file"), F.col("range"))
 
 
 def is_extractable(mimetype: Column) -> Column:
@@ -88,9 +96,11 @@ def with_question_defaults(questions: DataFrame) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled questions from JSON lines; a malformed line fails the read with the offending record."""
-    rows = spark.read.schema(QUESTION_SCHEMA).option("mode", "FAILFAST").json(path)
-    return with_question_defaults(rows.where(F.col("id").isNotNull()))
+    """Labelled questions from JSON lines; a malformed line fails the read with the offending record.
+
+    Rows without an id stay, so that the dataset check can report them; blank lines are skipped.
+    """
+    return with_question_defaults(spark.read.schema(QUESTION_SCHEMA).option("mode", "FAILFAST").json(path))
 
 
 def parse_questions(lines: DataFrame) -> DataFrame:
