@@ -10,7 +10,7 @@ from passagelake.catalog.standins import MODEL
 from passagelake.config import preset
 from passagelake.operators import indexing as ix
 from passagelake.session import work_folder
-from passagelake.sources.stores import ChunkSnapshots
+from passagelake.sources.stores import ChunkLog
 from passagelake.sources.tables import Lake
 from passagelake.streaming import jobs
 
@@ -24,7 +24,7 @@ def replayed(lake: Lake, df, name: str):
 
 @query(
     "S1_incremental_index",
-    "SELECT course, doc_id, count(*) AS chunks FROM chunks GROUP BY ALL",
+    "SELECT course, doc_id, count(*) AS chunks, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS digest FROM chunks GROUP BY ALL",
 )
 def incremental_index(lake: Lake):
     """Every document arrives twice, first with an outdated text; the index ends with the newer one."""
@@ -32,11 +32,14 @@ def incremental_index(lake: Lake):
     old = docs.withColumns({"pages": F.array(F.lit("outdated")), "changed_at": F.lit(1), "change_id": F.lit(1)})
     new = docs.withColumns({"changed_at": F.lit(2), "change_id": F.lit(2)})
     changes = replayed(lake, old.unionByName(new), "changes")
-    store = ChunkSnapshots(lake.spark, work_folder(lake.spark, "live-index"))
+    store = ChunkLog(lake.spark, work_folder(lake.spark, "live-index"), ix.document_key())
     index = lambda rows, batch: ix.index_chunks(rows, preset("basic"), MODEL, batch)
     run = jobs.incremental_index(changes, store, index, work_folder(lake.spark, "cp"), availableNow=True)
     run.awaitTermination()
-    return store.read().groupBy("course", F.col("lesson").cast("long").alias("doc_id")).agg(F.count("*").alias("chunks"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    return store.read().groupBy("course", F.col("lesson").cast("long").alias("doc_id")).agg(
+        F.count("*").alias("chunks"), F.md5(F.array_join(texts, "\n")).alias("digest")
+    )
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,40 @@ class ChunkSnapshots:
         pointer.write.mode("overwrite").parquet(f"{self.root}/pointers/{version}")
 
 
+class ChunkLog:
+    """Append-only chunk table: a batch adds its chunks and then one log row per document it replaced.
+
+    Readers keep, for each document, the chunks of its newest batch, so a publication writes what changed and nothing else,
+    and chunks whose log rows are missing are not seen. A repeated batch overwrites its own folders only. ``compacted`` is
+    the current table for a rewrite from time to time. ``key`` names a document from the columns of chunks and documents.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: Column):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        empty = spark.createDataFrame([], "doc_key string, batch long")
+        empty.write.mode("ignore").parquet(f"{self.root}/log/start")
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema("doc_key string, batch long").option("recursiveFileLookup", "true").parquet(f"{self.root}/log")
+
+    def version(self) -> int | None:
+        return self._log().agg(F.max("batch")).first()[0]
+
+    def publish(self, chunks: DataFrame, replaced: DataFrame, batch: int) -> None:
+        """Add ``chunks`` for the documents ``replaced``; a replaced document without chunks disappears."""
+        rows = chunks.withColumns({"doc_key": self.key, "batch": F.lit(batch).cast("long")})
+        rows.write.mode("overwrite").parquet(f"{self.root}/rows/{batch}")
+        done = replaced.select(self.key.alias("doc_key"), F.lit(batch).cast("long").alias("batch")).distinct()
+        done.write.mode("overwrite").parquet(f"{self.root}/log/{batch}")
+
+    def read(self) -> DataFrame | None:
+        if self.version() is None:
+            return None
+        newest = self._log().groupBy("doc_key").agg(F.max("batch").alias("batch"))
+        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/rows")
+        return rows.join(newest, ["doc_key", "batch"], "left_semi").drop("doc_key", "batch")
+
+
 def write_runs(records: DataFrame, path: str) -> DataFrame:
     """Store the records of valid experiments, partitioned by experiment; returns the validity table.
 

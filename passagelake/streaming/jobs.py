@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passagelake.operators.indexing import DOCUMENT, replace_documents
-from passagelake.sources.stores import ChunkSnapshots
+from passagelake.operators.indexing import DOCUMENT
+from passagelake.sources.stores import ChunkLog
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -20,23 +20,20 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 
 def incremental_index(
-    changes: DataFrame, snapshots: ChunkSnapshots, index: Callable[[DataFrame, str], DataFrame], checkpoint: str, **trigger
+    changes: DataFrame, store: ChunkLog, index: Callable[[DataFrame, str], DataFrame], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Re-chunk changed documents and publish a new snapshot per batch.
+    """Re-chunk changed documents and append them per batch.
 
-    ``index(documents, batch_id)`` returns chunk rows. The snapshot is named after the batch, so a retried batch writes the
-    same directory again and a batch that is already published is skipped.
+    ``index(documents, batch_id)`` returns chunk rows. Folders are named after the batch, so a retried batch writes the same
+    folders again and a batch that is already published is skipped.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        done = snapshots.version()
+        done = store.version()
         if done is not None and done >= batch_id:
             return
         documents = latest_changes(batch)
-        fresh = index(documents, str(batch_id))
-        touched = documents.select(*DOCUMENT).withColumn("embedded", F.lit(True))
-        current = snapshots.read()
-        snapshots.publish(fresh if current is None else replace_documents(current, fresh, touched), batch_id)
+        store.publish(index(documents, str(batch_id)), documents, batch_id)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagelake.operators import learning as le
 from passagelake.sources import corpus
-from passagelake.sources.stores import ChunkSnapshots
+from passagelake.sources.stores import ChunkLog, ChunkSnapshots
 
 
 def test_progress_rounds_half_to_even(spark):
@@ -50,6 +50,33 @@ def test_snapshots_switch(spark, tmp_path):
     assert store.version() == 2 and store.read().count() == 2
 
 
+def test_chunk_log_reads_the_newest_batch_of_each_document(spark, tmp_path):
+    store = ChunkLog(spark, str(tmp_path / "log"), F.col("lesson"))
+    rows = lambda *x: spark.createDataFrame(list(x), "lesson string, text string")
+    assert store.version() is None and store.read() is None
+    store.publish(rows(("a", "a1"), ("b", "b1")), rows(("a", ""), ("b", "")), 1)
+    store.publish(rows(("a", "a2"), ("a", "a2b")), rows(("a", "")), 2)
+    assert sorted(r.text for r in store.read().collect()) == ["a2", "a2b", "b1"] and store.version() == 2
+    store.publish(rows(("a", "a2"), ("a", "a2b")), rows(("a", "")), 2)  # the same batch once more
+    store.publish(rows(("b", "")).limit(0), rows(("b", "")), 3)
+    assert sorted(r.text for r in store.read().collect()) == ["a2", "a2b"]
+
+
+def test_a_late_repeat_of_a_lesson_counts_once(spark, tmp_path):
+    from passagelake.streaming import jobs
+
+    schema, path = "student_id string, course_id string, lesson_id int, ts timestamp", str(tmp_path / "in")
+    totals = spark.createDataFrame([("c", 3)], "course_id string, total int")
+    issued = lambda: spark.read.parquet(str(tmp_path / "out")).count()
+    for n, lessons in enumerate([[1, 2], [1], [3]]):
+        when = f"timestamp '2024-01-{n + 1:02d} 00:00:00'"
+        batch = spark.createDataFrame([("s", "c", x) for x in lessons], "student_id string, course_id string, lesson_id int").withColumn("ts", F.expr(when))
+        batch.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        jobs.certificate_stream(stream, totals, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
+        assert issued() == (1 if n == 2 else 0)
+
+
 def test_every_query_and_its_sql(spark):
     """Each registered query against its SQL on the smallest driver tables, where they are present."""
     import os
@@ -65,7 +92,7 @@ def test_every_query_and_its_sql(spark):
     con = duckdb.connect()
     for name in os.listdir(folder):
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{folder}/{name}'")
-    for key in ("A1_lesson_corpus", "I1_paragraph_chunks", "I5_heading_paths", "R5_bm25_top_k", "R8_dense_top_k", "L12_progress", "L20_threads", "E14_threshold_sweep"):
+    for key in ("A1_lesson_corpus", "I1_paragraph_chunks", "I5_heading_paths", "R5_bm25_top_k", "R8_dense_top_k", "L12_progress", "L20_threads", "E14_threshold_sweep", "I16_snapshots", "S1_incremental_index", "L25_cascade_counts", "R17_rerank_merge", "R27_trace"):
         mine = known[key](spark, folder)
         theirs = con.sql(sql[key])
         columns = sorted(mine.columns)
