@@ -80,7 +80,7 @@ def test_components_of_a_path_and_a_star(spark):
 def brute_lines(rows):
     seen, first, out = Counter(), {}, []
     windows = {}
-    for k, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
+    for k, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0])):
         lines = (t or "").split("\n")
         held = [p for p, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
         windows[k] = [(at, tuple(lines[p] for p in held[at : at + 3]), held[at : at + 3]) for at in range(len(held) - 2)]
