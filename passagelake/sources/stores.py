@@ -29,24 +29,17 @@ class ChunkSnapshots:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        # an empty first pointer, so that readers need not ask whether there is one
+        spark.createDataFrame([], self.POINTER).write.mode("ignore").parquet(f"{self.root}/pointers/start")
 
-    def _pointers(self) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not system.exists(folder):
-            return None
+    def _pointers(self) -> DataFrame:
         return self.spark.read.schema(self.POINTER).option("recursiveFileLookup", "true").parquet(f"{self.root}/pointers")
 
     def version(self) -> int | None:
-        pointers = self._pointers()
-        return None if pointers is None else pointers.agg(F.max("version")).first()[0]
+        return self._pointers().agg(F.max("version")).first()[0]
 
     def read(self) -> DataFrame | None:
-        pointers = self._pointers()
-        if pointers is None:
-            return None
-        latest = pointers.orderBy(F.col("version").desc()).limit(1).first()
+        latest = self._pointers().orderBy(F.col("version").desc()).limit(1).first()
         return None if latest is None else self.spark.read.parquet(latest["path"])
 
     def publish(self, table: DataFrame, version: int) -> None:

@@ -54,14 +54,16 @@ def certificate_stream(
     """Issue each certificate once: the updated counts of a batch meet the already issued table."""
     spark = completions.sparkSession
     schema = "student_id string, course_id string, completed long, issued_at timestamp"
+    # an empty first batch, so that the table can be read from the start
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{certificates_path}/batch=-1")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         reached = batch.join(lesson_totals, "course_id").where(F.col("completed") >= F.col("total"))
         earned = reached.select("student_id", "course_id", "completed", F.col("last_at").alias("issued_at"))
         # earlier batches only: a retried batch must not see its own output
         issued = spark.read.schema(schema + ", batch long").option("basePath", certificates_path)
-        known = issued.parquet(certificates_path).where(F.col("batch") < batch_id) if _exists(spark, certificates_path) else None
-        fresh = earned if known is None else earned.join(known, ["student_id", "course_id"], "left_anti")
+        known = issued.parquet(certificates_path).where(F.col("batch") < batch_id)
+        fresh = earned.join(known, ["student_id", "course_id"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{certificates_path}/batch={batch_id}")
 
     counts = completion_counts(completions)
@@ -74,11 +76,6 @@ def certificate_stream(
     )
 
 
-def _exists(spark, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-
 def usage_windows(requests: DataFrame, limit: int = 25, delay: str = "15 minutes") -> DataFrame:
     """Requests per user and 15-minute window with a flag above the limit."""
     return (

@@ -77,6 +77,17 @@ def test_a_late_repeat_of_a_lesson_counts_once(spark, tmp_path):
         assert issued() == (1 if n == 2 else 0)
 
 
+def test_entry_without_the_training_text_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("passagelake.llm")] + ["passagelake.llm"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "R8_dense_top_k" in entry.queries() and "pipeline" not in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_every_query_and_its_sql(spark):
     """Each registered query against its SQL on the smallest driver tables, where they are present."""
     import os
