@@ -94,6 +94,10 @@ def score_pairs(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> Da
     )
 
 
+#: Signatures per vector: more find more and cost more candidates.
+TABLES = 20
+
+
 def plane(table: int, bit: int, size: int, seed: int) -> list[float]:
     """A random hyperplane of +1 and -1, from the first hexadecimal digit of a digest, so SQL can make the same one."""
     digests = (hashlib.md5(f"{seed}:{table}:{bit}:{i}".encode()).hexdigest() for i in range(size))
@@ -113,7 +117,7 @@ def _signatures(df: DataFrame, key: str, size: int, tables: int, bits: int, seed
 
 
 def approximate_top_k(
-    chunks: DataFrame, questions: DataFrame, k: int, size: int = 64, tables: int = 12, bits: int = 4, salts: int = 8, seed: int = 7
+    chunks: DataFrame, questions: DataFrame, k: int, size: int = 64, tables: int = TABLES, bits: int = 4, salts: int = 8, seed: int = 7
 ) -> DataFrame:
     """Best ``k`` of the chunks that share a signature with the question in its course, scored exactly.
 
