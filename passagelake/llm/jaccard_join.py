@@ -6,11 +6,12 @@ d <= r. The join runs in these steps:
 1. First Voronoi split. The pivots are the single n-grams, ordered by a count sketch of the whole corpus (rare first). A class
    belongs to the regions of its first ``n - ceil(s n) + 1`` n-grams, its window: two sets that link share one of them. Frequent
    n-grams come last in every set, so a passage that many documents share makes no region of its own. Only the window is
-   shuffled. Regions with the same members are one region.
-2. Recursion. Each region picks pivot documents (one in the first round, then twice as many each round). Exact distances to the
+   shuffled. A member leaves a region where its rank shows that no partner can be near, and regions with the same members are
+   one region. Sets also meet in the region of their smallest n-gram in two random orders; these are tried first, once.
+2. Recursion. Each region that holds more than one component picks pivot documents, more in each round. Exact distances to the
    pivots are computed once for each different pair. A pivot is done after its round. A member x in the pivot's component stays
    only if the triangle inequality leaves a link open: if some member y outside that component has d(y, p) <= d(x, p) + r. Such
-   boundary members are carried into the next round with the members outside; regions that hold one component are done.
+   boundary members are carried into the next round with the members outside.
 3. Links are joined to components; every row gets its class's component.
 
 All steps are exact for every order, sketch and choice of pivots, which only decide how much work is done. Members of one
@@ -85,8 +86,15 @@ def _levels(scanned: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+#: Orders of all n-grams whose smallest member gives a set its first regions, before the windows.
+_EARLY = (np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def _window_rows(docs: DataFrame, n: int, levels: np.ndarray, top: int, bottom: int) -> DataFrame:
-    """``region, cls, n``: the n-grams of each set's window; sets that repeat inside a batch are written once."""
+    """``region, cls, n, rank, early``: the n-grams of each set's window, and its smallest n-grams in other orders (early).
+
+    Sets that repeat inside a batch are written once. ``rank`` counts the n-grams that come before in the set.
+    """
 
     def run(batches):
         for b in batches:
@@ -94,7 +102,7 @@ def _window_rows(docs: DataFrame, n: int, levels: np.ndarray, top: int, bottom:
             for _, hashes, bounds in _sets(b.column("text"), n):
                 ids, sizes = _class_ids(hashes, bounds), np.diff(bounds)
                 key = (levels[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-                picked, owners = [], []
+                picked, owners, ranks, smallest = [], [], [], []
                 for d in np.flatnonzero(sizes).tolist():
                     if (cls := int(ids[d])) in done:
                         continue
@@ -103,21 +111,42 @@ def _window_rows(docs: DataFrame, n: int, levels: np.ndarray, top: int, bottom:
                     window = size - -(-size * top // bottom) + 1
                     # equal keys keep the order of the hashes, so every set orders any two n-grams alike
                     picked.append(bounds[d] + np.argsort(key[bounds[d] : bounds[d + 1]], kind="stable")[:window])
-                    owners.append(np.full(len(picked[-1]), d))
-                if picked:
-                    own = np.concatenate(owners)
-                    yield pa.record_batch([pa.array(hashes[np.concatenate(picked)].view(np.int64)), pa.array(ids[own]), pa.array(sizes[own].astype(np.int32))], ["region", "cls", "n"])
+                    owners.append(np.full(window, d))
+                    ranks.append(np.arange(window))
+                    smallest.append([int((hashes[bounds[d] : bounds[d + 1]] * f).min()) for f in _EARLY])
+                if not picked:
+                    continue
+                own, heads = np.concatenate(owners), np.array([int(o[0]) for o in owners])
+                early = mix(np.array(smallest, np.uint64) + np.arange(1, len(_EARLY) + 1, dtype=np.uint64)).T.ravel()
+                regions = np.concatenate([hashes[np.concatenate(picked)], early])
+                cls = np.concatenate([ids[own], np.tile(ids[heads], len(_EARLY))])
+                size = np.concatenate([sizes[own], np.tile(sizes[heads], len(_EARLY))]).astype(np.int32)
+                rank = np.concatenate([*ranks, np.zeros(len(early), np.int64)]).astype(np.int32)
+                yield pa.record_batch([pa.array(regions.view(np.int64)), pa.array(cls), pa.array(size), pa.array(rank), pa.array(np.arange(len(regions)) >= len(own))], ["region", "cls", "n", "rank", "early"])
+
+    return docs.select("text").mapInArrow(run, "region long, cls long, n int, rank int, early boolean")
 
-    return docs.select("text").mapInArrow(run, "region long, cls long, n int")
 
+def _shared(members: DataFrame) -> DataFrame:
+    """The members of regions that hold two classes or more."""
+    two = members.groupBy("region").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("region")
+    return members.join(two, "region", "left_semi")
 
-def _regions(rows: DataFrame) -> DataFrame:
-    """``region, cls, n``: regions of two or more classes; of regions with equal members, one."""
-    shared = rows.groupBy("region").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("region")
-    members = materialise(rows.join(shared, "region").groupBy("region", "cls").agg(F.min("n").alias("n")), "regions")
-    same = members.groupBy("region").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    kept = same.groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
-    return materialise(members.join(kept, "region"), "regions")
+
+def _regions(rows: DataFrame, top: int, bottom: int) -> DataFrame:
+    """``region, cls, n, rank, early``: regions of two or more classes; of regions with equal members, one with the smallest ranks.
+
+    If an n-gram at rank i of a and j of b is their first common one, they share at most min(n(a) - i, n(b) - j). A member whose
+    n - rank is too little for the region's smallest set therefore finds no partner there and leaves.
+    """
+    members = materialise(_shared(rows).groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("early").alias("early")), "regions")
+    least = members.groupBy("region").agg(F.min("n").alias("least"))
+    able = F.lit(top + bottom) * (F.col("n") - F.col("rank")) >= F.lit(top) * (F.col("n") + F.col("least"))
+    members = materialise(_shared(members.join(least, "region").where(able).drop("least")), "regions")
+    same = members.groupBy("region", "early").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    kept = materialise(same.groupBy("early", "k", "x", "y").agg(F.min("region").alias("kept")).join(same, ["early", "k", "x", "y"]).select("region", "kept"), "kept")
+    joined = members.join(kept, "region").groupBy(F.col("kept").alias("region"), "cls")
+    return materialise(joined.agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("early").alias("early")), "regions")
 
 
 def _stored_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -154,60 +183,97 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, common long").distinct()
 
 
-def _links(docs: DataFrame, scanned: DataFrame, n: int, top: int, bottom: int) -> DataFrame:
-    """``a, b``: links between classes whose components are those of all links."""
-    spark = docs.sparkSession
-    active = _regions(_window_rows(docs, n, _levels(scanned), top, bottom))
-    first = scanned.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"))
-    sets = materialise(_stored_sets(docs, active.select("cls").distinct().join(first, "cls"), n), "sets")
-    radius = 1 - top / bottom
-    links = spark.createDataFrame([], "a long, b long")
-    label = active.select("cls").distinct().withColumn("component", F.col("cls"))
-    active = active.withColumn("component", F.col("cls"))
-    known, pivots = None, 1
-    while not active.isEmpty():
+#: Pivots of a region in the first round, and how many times more there are in each next one.
+PIVOTS, MORE = 2, 4
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, component`` after ``links`` joined components of ``label``; classes without a row are their own component."""
+    name = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(side[1:]))
+    ends = links.join(label.alias("_a"), F.col("a") == F.col("_a.cls"), "left").join(label.alias("_b"), F.col("b") == F.col("_b.cls"), "left")
+    edges = materialise(ends.select(name("_a").alias("a"), name("_b").alias("b")).where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return label
+    moved = components(edges, "labels")
+    old = label.join(moved.withColumnRenamed("component", "moved"), F.col("component") == F.col("node"), "left")
+    new = moved.join(label, F.col("node") == F.col("cls"), "left_anti").select(F.col("node").alias("cls"), "component")
+    return materialise(old.select("cls", F.coalesce("moved", "component").alias("component")).unionByName(new), "labels")
+
+
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their component, of regions that hold more than one."""
+    named = members.drop("component").join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
+    return named.join(mixed, "region", "left_semi")
+
+
+class _Join:
+    """State of the recursion: computed distances and the components so far."""
+
+    def __init__(self, sets: DataFrame, top: int, bottom: int):
+        spark = sets.sparkSession
+        self.sets, self.top, self.bottom = sets, top, bottom
+        self.label = spark.createDataFrame([], "cls long, component long")
+        self.known: DataFrame | None = None
+
+    def round(self, active: DataFrame, pivots: int) -> DataFrame | None:
+        """Measure ``active`` members against up to ``pivots`` pivots per region; returns what stays, None if nothing is active."""
+        # one pivot for each of so many slots of a region; which classes share a slot changes with every round
         slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-        chosen = active.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "component")).alias("p")).select("region", "p")
+        chosen = active.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "rank", "component")).alias("p")).select("region", "p")
         met = materialise(
             active.join(chosen, "region").select(
-                "region", "cls", "n", "component", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"),
-                F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"),
+                "region", "cls", "n", "rank", "component", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rank").alias("pivot_rank"),
+                F.col("p.component").alias("pivot_component"), F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"),
             ),
             "pivots",
         )
-        fits = F.lit(bottom) * F.least("n", "pivot_n") >= F.lit(top) * F.greatest("n", "pivot_n")
-        asked = met.where((F.col("component") != F.col("pivot_component")) & fits).select("a", "b").distinct()
-        if known is not None:
-            asked = asked.join(known, ["a", "b"], "left_anti")
-        found = materialise(_distances(asked, sets), "distances")
-        known = found if known is None else known.unionByName(found)
-        sizes = met.join(known, ["a", "b"], "left").withColumn("union", F.col("n") + F.col("pivot_n") - F.coalesce("common", F.lit(0)))
-        # without a computed distance: what the sizes alone allow at least
-        least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        judged = sizes.withColumn("d", F.when(F.col("common").isNotNull(), 1 - F.col("common") / F.col("union")).otherwise(least))
-        linked = judged.where(F.col("common").isNotNull() & (F.lit(bottom) * F.col("common") >= F.lit(top) * F.col("union")))
-        new = linked.select("a", "b").distinct()
-        links = materialise(links.unionByName(new), "links")
-        label = components(links, "labels").withColumnRenamed("node", "cls")
-        judged = (
-            judged.drop("component", "pivot_component")
+        if met.isEmpty():
+            return None
+        top, bottom = F.lit(self.top), F.lit(self.bottom)
+        near_sizes = bottom * F.least("n", "pivot_n") >= top * F.greatest("n", "pivot_n")
+        near_ranks = (top + bottom) * F.least(F.col("n") - F.col("rank"), F.col("pivot_n") - F.col("pivot_rank")) >= top * (F.col("n") + F.col("pivot_n"))
+        asked = met.where((F.col("component") != F.col("pivot_component")) & near_sizes & near_ranks).select("a", "b").distinct()
+        if self.known is not None:
+            asked = asked.join(self.known, ["a", "b"], "left_anti")
+        found = materialise(_distances(asked, self.sets), "distances")
+        self.known = found if self.known is None else self.known.unionByName(found)
+        joined = met.join(self.known, ["a", "b"], "left")
+        union = F.col("n") + F.col("pivot_n") - F.col("common")
+        measured = materialise(joined.withColumns({"d": 1 - F.col("common") / union, "linked": bottom * F.col("common") >= top * union}), "measured")
+        self.label = _merged(self.label, materialise(measured.where("linked").select("a", "b").distinct(), "links"))
+        return self._left(measured)
+
+    def _left(self, measured: DataFrame) -> DataFrame:
+        """Without the pivots, and without members of a pivot's component that no member outside can reach."""
+        radius, label = 1 - self.top / self.bottom, self.label
+        named = (
+            measured.drop("component", "pivot_component")
             .join(label, "cls", "left")
             .join(label.select(F.col("cls").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
-            .withColumn("component", F.coalesce("component", "cls"))
-            .withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
         )
-        judged = materialise(judged.select("region", "cls", "n", "component", "pivot", "pivot_component", "d", F.col("common").isNotNull().alias("exact")), "judged")
-        outside = judged.where("component <> pivot_component").groupBy("region", "pivot").agg(F.min("d").alias("out"))
-        # a member of the pivot's component goes if no member outside lies within its window; 1e-9 is for rounding
-        inside = F.col("component") == F.col("pivot_component")
-        gone = (F.col("cls") == F.col("pivot")) | (inside & (F.col("out").isNull() | (F.col("exact") & (F.col("out") > F.col("d") + radius + 1e-9))))
+        inside = F.coalesce("component", "cls") == F.coalesce("pivot_component", "pivot")
+        judged = named.select("region", "cls", "n", "rank", "pivot", "d", inside.alias("inside"))
+        # a pair that was not measured does not link, so its distance is over the radius
+        outside = judged.where("not inside").groupBy("region", "pivot").agg(F.min(F.coalesce("d", F.lit(radius))).alias("out"))
+        gone = (F.col("cls") == F.col("pivot")) | (F.col("inside") & (F.col("out").isNull() | F.coalesce(F.col("out") > F.col("d") + radius + 1e-9, F.lit(False))))
         left = judged.join(outside, ["region", "pivot"], "left").withColumn("gone", gone)
-        left = left.groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("component").alias("component"), F.max("gone").alias("gone")).where("not gone")
-        left = materialise(left.drop("gone"), "left")
-        mixed = left.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-        active = materialise(left.join(mixed, "region", "left_semi"), "active")
-        pivots *= 2
-    return links
+        left = left.groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("gone").alias("gone")).where("not gone")
+        return materialise(left.drop("gone"), "left")
+
+
+def _class_components(docs: DataFrame, scanned: DataFrame, n: int, top: int, bottom: int) -> DataFrame:
+    """``cls, component`` of all classes that link with another."""
+    members = _regions(_window_rows(docs, n, _levels(scanned), top, bottom), top, bottom)
+    first = scanned.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"))
+    sets = materialise(_stored_sets(docs, members.select("cls").distinct().join(first, "cls"), n), "sets")
+    join, pivots = _Join(sets, top, bottom), PIVOTS
+    join.round(_labelled(members.where("early"), join.label), PIVOTS)
+    left = members.where("not early")
+    while left is not None:
+        left = join.round(_labelled(left, join.label), pivots)
+        pivots *= MORE
+    return join.label
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
@@ -221,7 +287,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
     scanned = materialise(_scan(docs, words), "scan")
     rows = scanned.where("block is null").select("doc_id", "n", "cls")
-    label = components(_links(docs, scanned, words, top, bottom), "components").withColumnRenamed("node", "cls")
+    label = _class_components(docs, scanned, words, top, bottom)
     first = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
