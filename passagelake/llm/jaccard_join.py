@@ -8,8 +8,9 @@ d <= r. The join runs in these steps:
    n-grams come last in every set, so a passage that many documents share makes no region of its own. Only the window is
    shuffled. A member leaves a region where its rank shows that no partner can be near, and regions with the same members are
    one region. Sets also meet in the region of their smallest n-gram in two random orders; these are tried first, once.
-2. Recursion. Each region that holds more than one component picks pivot documents, more in each round. Exact distances to the
-   pivots are computed once for each different pair. A pivot is done after its round. A member x in the pivot's component stays
+2. Recursion. Each region that holds more than one component picks pivot documents, those with the fewest n-grams of their own
+   first, as they lie in the middle of a group of near copies; more in each round. Exact distances to the
+   pivots are computed once for each different pair. A pivot is done after its round. A member x in the middle pivot's component stays
    only if the triangle inequality leaves a link open: if some member y outside that component has d(y, p) <= d(x, p) + r. Such
    boundary members are carried into the next round with the members outside.
 3. Links are joined to components; every row gets its class's component.
@@ -134,7 +135,7 @@ def _shared(members: DataFrame) -> DataFrame:
 
 
 def _regions(rows: DataFrame, top: int, bottom: int) -> DataFrame:
-    """``region, cls, n, rank, early``: regions of two or more classes; of regions with equal members, one with the smallest ranks.
+    """``region, cls, n, rank, early, depth``: regions of two or more classes; of regions with equal members, one with the smallest ranks.
 
     If an n-gram at rank i of a and j of b is their first common one, they share at most min(n(a) - i, n(b) - j). A member whose
     n - rank is too little for the region's smallest set therefore finds no partner there and leaves.
@@ -146,7 +147,10 @@ def _regions(rows: DataFrame, top: int, bottom: int) -> DataFrame:
     same = members.groupBy("region", "early").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     kept = materialise(same.groupBy("early", "k", "x", "y").agg(F.min("region").alias("kept")).join(same, ["early", "k", "x", "y"]).select("region", "kept"), "kept")
     joined = members.join(kept, "region").groupBy(F.col("kept").alias("region"), "cls")
-    return materialise(joined.agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("early").alias("early")), "regions")
+    members = materialise(joined.agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("early").alias("early")), "regions")
+    # a class that no window shares has no link; few n-grams of its own before the first shared one put a class near the middle
+    depth = members.where("not early").groupBy("cls").agg(F.min("rank").alias("depth"))
+    return materialise(members.join(depth, "cls"), "regions")
 
 
 def _stored_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -183,18 +187,21 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, common long").distinct()
 
 
-#: Pivots of a region in the first round, and how many times more there are in each next one.
-PIVOTS, MORE = 2, 4
+#: Pivots of a region in the early round, in the first round of the windows, and how many times more in each next one.
+EARLY_PIVOTS, PIVOTS, MORE = 2, 1, 8
 
 
-def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """``cls, component`` after ``links`` joined components of ``label``; classes without a row are their own component."""
+def _merged(label: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``cls, component`` after ``links`` joined components of ``label``; classes without a row are their own component.
+
+    With ``rounds`` some links may stay open: equal labels are one component, but not the other way round.
+    """
     name = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(side[1:]))
     ends = links.join(label.alias("_a"), F.col("a") == F.col("_a.cls"), "left").join(label.alias("_b"), F.col("b") == F.col("_b.cls"), "left")
     edges = materialise(ends.select(name("_a").alias("a"), name("_b").alias("b")).where("a <> b").distinct(), "edges")
     if edges.isEmpty():
         return label
-    moved = components(edges, "labels")
+    moved = components(edges, "labels", rounds)
     old = label.join(moved.withColumnRenamed("component", "moved"), F.col("component") == F.col("node"), "left")
     new = moved.join(label, F.col("node") == F.col("cls"), "left_anti").select(F.col("node").alias("cls"), "component")
     return materialise(old.select("cls", F.coalesce("moved", "component").alias("component")).unionByName(new), "labels")
@@ -215,25 +222,32 @@ class _Join:
         self.sets, self.top, self.bottom = sets, top, bottom
         self.label = spark.createDataFrame([], "cls long, component long")
         self.known: DataFrame | None = None
+        self.links = spark.createDataFrame([], "a long, b long")
+
+    def components(self) -> DataFrame:
+        """``cls, component`` of all links."""
+        return _merged(self.label, self.links)
 
     def round(self, active: DataFrame, pivots: int) -> DataFrame | None:
         """Measure ``active`` members against up to ``pivots`` pivots per region; returns what stays, None if nothing is active."""
-        # one pivot for each of so many slots of a region; which classes share a slot changes with every round
+        # of each of so many slots of a region, the class nearest the middle; which classes share a slot changes with every round
         slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-        chosen = active.groupBy("region", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "rank", "component")).alias("p")).select("region", "p")
-        met = materialise(
-            active.join(chosen, "region").select(
-                "region", "cls", "n", "rank", "component", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rank").alias("pivot_rank"),
-                F.col("p.component").alias("pivot_component"), F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"),
-            ),
-            "pivots",
-        )
-        if met.isEmpty():
-            return None
+        best = F.min(F.struct("depth", "cls", "n", "rank", "component"))
+        centres = active.groupBy("region").agg(best.alias("c")).select("region", F.col("c.cls").alias("middle"))
+        chosen = active.groupBy("region", slot.alias("slot")).agg(best.alias("p")).join(centres, "region").select("region", "p", (F.col("p.cls") == F.col("middle")).alias("centre"))
         top, bottom = F.lit(self.top), F.lit(self.bottom)
         near_sizes = bottom * F.least("n", "pivot_n") >= top * F.greatest("n", "pivot_n")
         near_ranks = (top + bottom) * F.least(F.col("n") - F.col("rank"), F.col("pivot_n") - F.col("pivot_rank")) >= top * (F.col("n") + F.col("pivot_n"))
-        asked = met.where((F.col("component") != F.col("pivot_component")) & near_sizes & near_ranks).select("a", "b").distinct()
+        open_ = (F.col("component") != F.col("pivot_component")) & near_sizes & near_ranks
+        paired = active.join(chosen, "region").select(
+            "region", "cls", "n", "rank", "depth", "component", "centre", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rank").alias("pivot_rank"),
+            F.col("p.component").alias("pivot_component"), F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"),
+        )
+        # all members meet the middle pivot; the other pivots meet only those that they may link to another component
+        met = materialise(paired.where(F.col("centre") | (F.col("cls") == F.col("pivot")) | open_), "pivots")
+        if met.isEmpty():
+            return None
+        asked = met.where(open_).select("a", "b").distinct()
         if self.known is not None:
             asked = asked.join(self.known, ["a", "b"], "left_anti")
         found = materialise(_distances(asked, self.sets), "distances")
@@ -241,11 +255,14 @@ class _Join:
         joined = met.join(self.known, ["a", "b"], "left")
         union = F.col("n") + F.col("pivot_n") - F.col("common")
         measured = materialise(joined.withColumns({"d": 1 - F.col("common") / union, "linked": bottom * F.col("common") >= top * union}), "measured")
-        self.label = _merged(self.label, materialise(measured.where("linked").select("a", "b").distinct(), "links"))
+        links = materialise(measured.where("linked").select("a", "b").distinct(), "links")
+        self.links = self.links.unionByName(links)
+        # labels only save work here, so one round of merging is enough until the end
+        self.label = _merged(self.label, links, 1)
         return self._left(measured)
 
     def _left(self, measured: DataFrame) -> DataFrame:
-        """Without the pivots, and without members of a pivot's component that no member outside can reach."""
+        """Without the pivots, and without members of the middle pivot's component that no member outside can reach."""
         radius, label = 1 - self.top / self.bottom, self.label
         named = (
             measured.drop("component", "pivot_component")
@@ -253,12 +270,12 @@ class _Join:
             .join(label.select(F.col("cls").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
         )
         inside = F.coalesce("component", "cls") == F.coalesce("pivot_component", "pivot")
-        judged = named.select("region", "cls", "n", "rank", "pivot", "d", inside.alias("inside"))
+        judged = named.select("region", "cls", "n", "rank", "depth", "centre", "pivot", "d", inside.alias("inside"))
         # a pair that was not measured does not link, so its distance is over the radius
-        outside = judged.where("not inside").groupBy("region", "pivot").agg(F.min(F.coalesce("d", F.lit(radius))).alias("out"))
-        gone = (F.col("cls") == F.col("pivot")) | (F.col("inside") & (F.col("out").isNull() | F.coalesce(F.col("out") > F.col("d") + radius + 1e-9, F.lit(False))))
-        left = judged.join(outside, ["region", "pivot"], "left").withColumn("gone", gone)
-        left = left.groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.max("gone").alias("gone")).where("not gone")
+        outside = judged.where("centre and not inside").groupBy("region").agg(F.min(F.coalesce("d", F.lit(radius))).alias("out"))
+        gone = (F.col("cls") == F.col("pivot")) | (F.col("centre") & F.col("inside") & (F.col("out").isNull() | F.coalesce(F.col("out") > F.col("d") + radius + 1e-9, F.lit(False))))
+        left = judged.join(outside, "region", "left").withColumn("gone", gone)
+        left = left.groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.min("depth").alias("depth"), F.max("gone").alias("gone")).where("not gone")
         return materialise(left.drop("gone"), "left")
 
 
@@ -268,12 +285,12 @@ def _class_components(docs: DataFrame, scanned: DataFrame, n: int, top: int, bot
     first = scanned.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"))
     sets = materialise(_stored_sets(docs, members.select("cls").distinct().join(first, "cls"), n), "sets")
     join, pivots = _Join(sets, top, bottom), PIVOTS
-    join.round(_labelled(members.where("early"), join.label), PIVOTS)
+    join.round(_labelled(members.where("early"), join.label), EARLY_PIVOTS)
     left = members.where("not early")
     while left is not None:
         left = join.round(_labelled(left, join.label), pivots)
         pivots *= MORE
-    return join.label
+    return join.components()
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
