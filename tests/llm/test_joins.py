@@ -185,6 +185,58 @@ def test_repeated_passages(make, prose, odd):
     assert substring_dedup.repeated_passages(make([])).count() == 0
 
 
+def covered(got):
+    """Words of each document that lie in a passage, as the passage or as its source."""
+    out = defaultdict(set)
+    for r in got:
+        out[r.doc_id] |= set(range(r.start, r.stop))
+        out[r.source_id] |= set(range(r.source_start, r.source_stop))
+    return out
+
+
+def test_two_passages_of_one_pair(make, prose):
+    rows, places = [], {}
+    for case, (length, between) in enumerate([(60, 3), (60, 20), (60, 50), (60, 150), (60, 250), (150, 600)]):
+        for _ in range(3):
+            k = len(rows)
+            head, foot = prose(length, f"head {k}"), prose(length, f"foot {k}")
+            for side in (0, 1):
+                rows.append((k + side, f"{head} {prose(between, f'body {k} {side}')} {foot}"))
+                places[k + side] = (length, between)
+    got = substring_dedup.repeated_passages(make(rows)).collect()
+    assert all(r.identity >= 0.8 and r.matched >= 40 for r in got)
+    words_in = covered(got)
+    for k, (length, between) in places.items():
+        own = {*range(length), *range(length + between, 2 * length + between)}
+        assert own <= words_in[k], (k, length, between)
+        assert between < 50 or len(words_in[k] - own) < 8, (k, between)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 9), st.integers(0, 9)), min_size=2, max_size=7))
+def test_pieces_hold_most_matching_words(blocks):
+    a, b, chain = [], [], []
+    for k, (extra, gap, other) in enumerate(blocks):
+        chain.append((len(a), len(b)))
+        same = [1000 * k + i for i in range(8 + extra)]
+        a += same + [100_000 + 100 * k + i for i in range(gap)]
+        b += same + [200_000 + 100 * k + i for i in range(other)]
+    parts = [(8 + e, g, o) for e, g, o in blocks]
+
+    def best(i):  # most matching words in blocks from i on, from all ways to cut
+        out = best(i + 1) if i < len(parts) else 0
+        for j in range(i, len(parts)):
+            same = sum(p[0] for p in parts[i : j + 1])
+            if same >= 20 and same >= 0.8 * (same + max(sum(p[s] for p in parts[i:j]) for s in (1, 2))):
+                out = max(out, same + best(j + 1))
+        return out
+
+    found = substring_dedup.pieces(np.array(a), np.array(b), chain, 20, 0.8, 8)
+    assert sum(f[4] for f in found) == best(0)
+    assert all(x[1] <= y[0] and x[3] <= y[2] for x, y in zip(found, found[1:]))
+    assert all(f[4] >= 20 and f[4] >= 0.8 * max(f[1] - f[0], f[3] - f[2]) for f in found)
+
+
 def test_winnowing_keeps_a_seed_of_every_window(prose):
     import pyarrow as pa
 
