@@ -237,6 +237,46 @@ def test_pieces_hold_most_matching_words(blocks):
     assert all(f[4] >= 20 and f[4] >= 0.8 * max(f[1] - f[0], f[3] - f[2]) for f in found)
 
 
+def test_changed_passages(make, prose):
+    rows, places, rng = [], {}, random.Random(9)
+    for n, every in [(60, 20), (60, 15), (60, 12), (60, 10), (60, 8), (200, 10), (200, 8), (40, 1000), (46, 1000)]:
+        for trial in range(8):
+            k, passage = len(rows), prose(n, f"{n} {every} {trial}").split()
+            off = rng.randrange(every)
+            other = [f"z{rng.randrange(10**6)}" if i % every == off and n > 46 else w for i, w in enumerate(passage)]
+            for side, p in enumerate((passage, other)):
+                rows.append((k + side, f"{prose(70, f'before {k} {side}')} {' '.join(p)} {prose(70, f'after {k} {side}')}"))
+                places[k + side] = (n, every)
+    got = covered(substring_dedup.repeated_passages(make(rows)).collect())
+    found = Counter(places[k] for k in places if len(got[k] & set(range(70, 70 + places[k][0]))) >= 0.9 * places[k][0])
+    assert all(found[p] == 16 for p in places.values()), found
+
+
+def test_a_third_text_does_not_hide_a_passage(make, prose):
+    rows = []
+    for trial in range(30):
+        passage = prose(60, f"p {trial}").split()
+        rows += [(3 * trial + side, f"{prose(50, f'b {trial} {side}')} {' '.join(passage)} {prose(50, f'a {trial} {side}')}") for side in (0, 1)]
+        parts = [f"{' '.join(passage[k : k + 9])} {prose(60, f'o {trial} {k}')}" for k in range(0, 60, 10)]
+        rows.append((3 * trial + 2, " ".join(parts)))
+    got = substring_dedup.repeated_passages(make(rows)).collect()
+    pairs = {frozenset((r.doc_id, r.source_id)) for r in got if r.matched >= 60}
+    assert all(frozenset((3 * t, 3 * t + 1)) in pairs for t in range(30))
+
+
+def test_seeds_of_many_texts_meet_in_ranges(spark):
+    rows = [(7, (k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, k, k) for k in range(1, 1500)] + [(8, 5, 1, 1), (9, 5, 2, 2), (9, 6, 3, 3)]
+    seeds = spark.createDataFrame(rows + rows[:700], "seed long, key long, pos int, last int")
+    met = substring_dedup._met(seeds).collect()
+    keys = sorted(k for s, k, _, _ in rows if s == 7)
+    hot = [r for r in met if r.key not in (5, 6)]
+    assert sorted(r.key for r in hot) == keys[1:]
+    place = {k: i for i, k in enumerate(keys)}
+    near = [r for r in hot if place[r.key] - place[r.source] == 1]
+    assert all(r.source == keys[0] for r in hot if r not in near) and len(hot) - len(near) < 16
+    assert [(r.key, r.source, r.pos, r.source_pos) for r in met if r.key in (5, 6)] == [(6, 5, 3, 2)]
+
+
 def test_winnowing_keeps_a_seed_of_every_window(prose):
     import pyarrow as pa
 
