@@ -266,7 +266,7 @@ def test_a_third_text_does_not_hide_a_passage(make, prose):
 
 def test_seeds_of_many_texts_meet_in_ranges(spark):
     rows = [(7, (k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, k, k) for k in range(1, 1500)] + [(8, 5, 1, 1), (9, 5, 2, 2), (9, 6, 3, 3)]
-    seeds = spark.createDataFrame(rows + rows[:700], "seed long, key long, pos int, last int")
+    seeds = spark.createDataFrame(rows + rows[:700], "seed long, key long, pos int, main int")
     met = substring_dedup._met(seeds).collect()
     keys = sorted(k for s, k, _, _ in rows if s == 7)
     hot = [r for r in met if r.key not in (5, 6)]
@@ -277,6 +277,28 @@ def test_seeds_of_many_texts_meet_in_ranges(spark):
     assert [(r.key, r.source, r.pos, r.source_pos) for r in met if r.key in (5, 6)] == [(6, 5, 3, 2)]
 
 
+def test_passages_that_repeat_themselves(make, prose):
+    rows, places = [], {}
+    for trial in range(4):
+        ten, six = prose(10, f"ten {trial}"), prose(6, f"six {trial}")
+        listed = " ".join(f"{six} {prose(1, f'item {trial} {k}')}" for k in range(12))
+        for case, passage in enumerate([" ".join([prose(1, f"one {trial}")] * 80), " ".join([ten] * 8), listed, f"{prose(30, trial)} {' '.join([six] * 9)}"]):
+            for side in (0, 1, 2):
+                # the third text has the passage three times, far apart
+                if side == 2:
+                    rows.append((len(rows), " ".join(f"{prose(60, f'c {len(rows)} {j}')} {passage}" for j in range(3))))
+                    places[len(rows) - 1] = [60 * (j + 1) + j * n + i for j in range(3) for i in range(n)]
+                    break
+                k, n = len(rows), len(passage.split())
+                # one text also holds the repeated run once, before the passage
+                alone = ten + " " if case == 1 and side else ""
+                rows.append((k, f"{alone}{prose(60, f'b {k}')} {passage} {prose(50, f'a {k}')}"))
+                places[k] = range(60 + len(alone.split()), 60 + len(alone.split()) + n)
+    got = covered(substring_dedup.repeated_passages(make(rows)).collect())
+    short = {k: len(set(p) - got[k]) for k, p in places.items() if len(set(p) - got[k]) > 10}
+    assert not short, short
+
+
 def test_winnowing_keeps_a_seed_of_every_window(prose):
     import pyarrow as pa
 
