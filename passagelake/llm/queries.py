@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from passagelake.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op8_line_dedup": sql.LINE_DEDUP, "op1_ngram_jaccard_join": sql.JACCARD}
+ORACLES: dict[str, str] = {"op2_quality_rules": sql.QUALITY, "op8_line_dedup": sql.LINE_DEDUP, "op1_ngram_jaccard_join": sql.JACCARD,
+    "op11_spelling_variants": sql.SPELLING, "op12_merkle_manifest": sql.MERKLE,
+}
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -107,3 +109,24 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from passagelake.llm.substring_dedup import repeated_passages
 
     return repeated_passages(_table(spark, folder, "documents"))
+
+
+@_query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
+@_query("op12_merkle_manifest")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.merkle_manifest import manifest_check
+
+    return manifest_check(_table(spark, folder, "documents"))
+
+
+@_query("op13_simhash")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from passagelake.llm.simhash import digest, simhash_components
+
+    return digest(simhash_components(_table(spark, folder, "documents")))

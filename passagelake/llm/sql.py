@@ -78,3 +78,75 @@ c as (select node, min(root) as root from r group by node)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.root, w.doc_id) as component_id
 from w left join n using (doc_id) left join c on c.node = w.doc_id
 """
+
+# crc32 (reflected polynomial 0xEDB88320) of text: its byte table, and a fold over the UTF-8 bytes of code points below U+0800
+_CRC_TABLE = """
+t as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc)"""
+
+
+def _crc32(text: str) -> str:
+    point = "unicode(c)::bigint"
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda c: case when {point} < 128 then [{point}] else [192 + ({point} >> 6), 128 + ({point} & 63)] end))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {utf8}), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])))"
+
+
+def _leaf(text: str) -> str:
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, source, {_leaf("text")} as leaf,
+        case when {_crc32("doc_id::varchar")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as checked
+      from documents, t),
+l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n,
+        row_number() over (order by source, doc_id, leaf) as rid from d),
+s(source, level, pos, h, n) as (
+  select source, 0, pos, leaf, n from l
+  union all select source, level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from s where n > 1 group by source, level, pos // 3, n),
+sub as (select source, h, row_number() over (order by encode(source) nulls first) - 1 as pos, count(*) over () as n from s where n = 1),
+u(level, pos, h, n) as (
+  select 0, pos, h, n from sub
+  union all select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from u where n > 1 group by level, pos // 3, n),
+nodes as (select source, level, pos, h, n, false as above from s union all select null, level, pos, h, n, true from u),
+f(rid, source, high, level, above, pos, n, h, proof) as (
+  select rid, source, 0, 0, false, pos, n, checked, '' from l
+  union all
+  select rid, source, high + 1, case when n > 1 then level + 1 else 0 end, above or n = 1,
+    case when n > 1 then pos // 3 else (select sub.pos from sub where sub.source is not distinct from f.source) end,
+    case when n > 1 then (n + 2) // 3 else (select max(sub.n) from sub) end,
+    case when n > 1 then sha256(coalesce(before, '') || f.h || coalesce(after, '')) else f.h end,
+    case when n > 1 then proof || coalesce(before, '') || coalesce(after, '') else proof end
+  from f left join lateral (
+    select string_agg(nodes.h, '' order by nodes.pos) filter (nodes.pos < f.pos) as before, string_agg(nodes.h, '' order by nodes.pos) filter (nodes.pos > f.pos) as after
+    from nodes where f.n > 1 and nodes.above = f.above and (f.above or nodes.source is not distinct from f.source) and nodes.level = f.level
+      and nodes.pos // 3 = f.pos // 3) on true
+  where n > 1 or not above),
+root as (select h from u where n = 1),
+e as (select rid, h, proof from f where above and n = 1)
+select k.doc_id, k.leaf, sub.h as subroot, root.h as root, sha256(e.proof) as proof_sha256, e.h as folded_root, e.h = root.h as verified
+from l k join e using (rid) join sub on sub.source is not distinct from k.source, root
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = f"""
+with recursive {_CRC_TABLE},
+r as (select doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) as run from documents),
+c as (select run, n, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from (select doc_id, run, count(*) as n from r group by all), t),
+w as (select case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from c),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+x as (select word, n, left(word, i::int) as a, substr(word, i::int + 2) as b from (select *, unnest(range(length(word))) as i from v)),
+p as (
+  select x.word, y.word as other, y.n as m from x join x y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, v.word, v.n from x join v on x.a || x.b = v.word
+  union select v.word, x.word, x.n from x join v on x.a || x.b = v.word),
+g as (select word, count(*) as n_near, min(struct_pack(m := -m, other := other)) as best from p group by word),
+o as (select v.word, v.n, coalesce(g.n_near, 0)::bigint as n_near, case when -best.m >= 2 * v.n then best.other end as form,
+        case when -best.m >= 2 * v.n then -best.m end as form_n from v left join g using (word)),
+q(word, root) as (select word, word from o union all select q.word, o.form from q join o on o.word = q.root where o.form is not null),
+z as (select q.word, q.root from q join o on o.word = q.root where o.form is null)
+select o.word, o.form, z.root, o.n, o.n_near, o.form_n::bigint as form_n from o join z using (word)
+"""
