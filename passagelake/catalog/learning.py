@@ -341,7 +341,7 @@ def cascade_counts(lake: Lake):
     "L25_cascade_remaining",
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS rows_left FROM {source} WHERE {key} NOT IN (SELECT course_id FROM courses WHERE NOT published)"
-        for t, source, key in (("lessons", "lessons", "course_id"), ("quizzes", "quizzes", "course_id"), ("attempts", "attempts", "quiz_id"), ("enrolments", "enrolments", "course_id"), ("chat", "chat_turns", "conv_id"))
+        for t, source, key in (("lessons", "lessons", "course_id"), ("chunks", "lessons", "course_id"), ("quizzes", "quizzes", "course_id"), ("attempts", "attempts", "quiz_id"), ("enrolments", "enrolments", "course_id"), ("chat", "chat_turns", "conv_id"))
     ),
 )
 def cascade_remaining(lake: Lake):

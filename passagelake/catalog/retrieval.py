@@ -11,6 +11,7 @@ from passagelake.catalog.sql_parts import mmr_parts, passage_parts
 from passagelake.config import preset
 from passagelake.functions import text as tx
 from passagelake.operators import dense, fusion, lexical, passages
+from passagelake.operators import inverted_file as ivf
 from passagelake.plans.retrieve import Models, frozen_baseline, retrieve
 from passagelake.sources.tables import Lake
 
@@ -134,54 +135,89 @@ def pair_scores(lake: Lake):
     return scored.select("qid", "chunk_id", r6("dense").alias("dense"))
 
 
-def signature_sql(table: int, bits: int = 4, size: int = 64, seed: int = 7) -> str:
-    side = lambda b: f"CAST(list_inner_product(v, [{', '.join(str(x) for x in dense.plane(table, b, size, seed))}]) > 0 AS BIGINT) * {1 << b}"
-    return " + ".join(side(b) for b in range(bits))
-
-
-APPROXIMATE = {
-    "signed": f"SELECT CAST(label AS VARCHAR) AS course, vec_id, v, [{', '.join(signature_sql(t) for t in range(dense.TABLES))}] AS marks "
-    "FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-    "marked": f"SELECT course, vec_id, unnest(range({dense.TABLES})) AS t, unnest(marks) AS mark FROM signed",
-    "near_pairs": "SELECT DISTINCT q.course, q.vec_id AS q, c.vec_id AS chunk_id FROM marked q JOIN marked c USING (course, t, mark)",
+def _closeness(v: str, centre: str) -> str:
+    return f"round(list_inner_product({v}, {centre}) - list_inner_product({centre}, {centre}) / 2, 9)"
+
+
+def _trained(last: str) -> str:
+    """One round of training: a centre becomes the mean of the vectors nearest to it."""
+    near = f"SELECT u.*, c.cell, row_number() OVER (PARTITION BY vec_id ORDER BY {_closeness('u.u', 'c.centre')} DESC, c.cell) AS pos FROM units u JOIN {last} c USING (course)"
+    parts = f"SELECT course, cell, d, avg(x) AS x FROM (SELECT course, cell, unnest(u) AS x, unnest(range(len(u))) AS d FROM ({near}) WHERE pos = 1) GROUP BY ALL"
+    means = f"SELECT course, cell, list(x ORDER BY d) AS mean FROM ({parts}) GROUP BY ALL"
+    return f"SELECT course, cell, coalesce(mean, centre) AS centre FROM {last} LEFT JOIN ({means}) USING (course, cell)"
+
+
+_CENTRES = f"centres_{ivf.ROUNDS}"
+
+# the lists replayed: every course's sample is the whole course at these sizes
+INVERTED = {
+    "units": """
+        SELECT CAST(label AS VARCHAR) AS course, vec_id, v, CASE WHEN list_inner_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) ELSE v END AS u,
+          row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n
+        FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""",
+    "centres_0": "SELECT course, CAST(pos AS INT) AS cell, u AS centre FROM units WHERE pos < greatest(round(sqrt(n) / 2), 1)",
+    **{f"centres_{r + 1}": _trained(f"centres_{r}") for r in range(ivf.ROUNDS)},
+    "listed": f"""
+        SELECT course, vec_id, v, u, n, cell, list_max(list_transform(u, lambda x: abs(x))) AS scale FROM (
+          SELECT u.*, c.cell, row_number() OVER (PARTITION BY vec_id ORDER BY {_closeness('u.u', 'c.centre')} DESC, c.cell) AS near FROM units u JOIN {_CENTRES} c USING (course)) WHERE near = 1""",
+    "coded": f"SELECT *, list_transform(u, lambda x: CASE WHEN scale > 0 THEN round_even(x / scale * {ivf.LEVELS}, 0) ELSE 0 END * (scale / {ivf.LEVELS})) AS code FROM listed",
+    "list_sizes": "SELECT course, cell, count(*) AS size FROM listed GROUP BY ALL",
+    "probed": f"""
+        SELECT course, vec_id, cell FROM (
+          SELECT u.course, u.vec_id, u.n, c.cell, s.size, sum(s.size) OVER (PARTITION BY u.vec_id ORDER BY {_closeness('u.u', 'c.centre')} DESC, c.cell) - s.size AS before
+          FROM units u JOIN {_CENTRES} c USING (course) JOIN list_sizes s USING (course, cell)) WHERE before < {ivf.PROBED} * n""",
+    "pooled": """
+        SELECT course, q, chunk_id, n, pos FROM (
+          SELECT p.course, p.vec_id AS q, c.vec_id AS chunk_id, c.n,
+            row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_inner_product(a.u, c.code), 9) DESC, c.vec_id) AS pos
+          FROM probed p JOIN units a ON a.vec_id = p.vec_id JOIN coded c ON c.course = p.course AND c.cell = p.cell) WHERE pos <= least(100, greatest(6, n // 5))""",
     "near_scored": """
         SELECT p.*, CASE WHEN list_inner_product(a.v, a.v) = 0 OR list_inner_product(b.v, b.v) = 0 THEN 0 ELSE
           list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) END AS score
-        FROM near_pairs p JOIN signed a ON a.vec_id = p.q JOIN signed b ON b.vec_id = p.chunk_id""",
-    "near_exact": """
+        FROM pooled p JOIN units a ON a.vec_id = p.q JOIN units b ON b.vec_id = p.chunk_id""",
+    "near_ranked": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near_scored",
+    "others_exact": """
         SELECT q, chunk_id FROM (
         SELECT a.vec_id AS q, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(
           CASE WHEN list_inner_product(a.v, a.v) = 0 OR list_inner_product(b.v, b.v) = 0 THEN 0 ELSE
           list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) END, 9) DESC, b.vec_id) AS rank
-        FROM signed a JOIN signed b USING (course)) WHERE rank <= 5""",
-    "near_ranked": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM near_scored",
+        FROM units a JOIN units b ON a.course = b.course AND a.vec_id <> b.vec_id) WHERE rank <= 5""",
+    "others_near": """
+        SELECT q, chunk_id FROM (SELECT q, chunk_id, row_number() OVER (PARTITION BY q ORDER BY rank) AS pos FROM near_ranked WHERE q <> chunk_id AND rank <= 6) WHERE pos <= 5""",
 }
 
 
 @query(
     "R10_approximate_top_k",
     "SELECT course, CAST(q AS VARCHAR) AS qid, chunk_id, round(score, 6) AS score, rank FROM near_ranked WHERE rank <= 6",
-    APPROXIMATE,
+    INVERTED,
 )
 def approximate(lake: Lake):
-    hits = dense.approximate_top_k(lake.vectors(), vector_questions(lake), 6)
+    hits = ivf.approximate_top_k(ivf.build(lake.vectors()), lake.vectors(), vector_questions(lake), 6)
     return hits.select("course", "qid", "chunk_id", r6("score").alias("score"), "rank")
 
 
 @query(
     "R10_recall",
     """
-    SELECT count(*) AS exact_pairs, count(n.q) AS found_pairs, round(count(n.q) / count(*), 6) AS recall
-    FROM near_exact e LEFT JOIN (SELECT q, chunk_id FROM near_ranked WHERE rank <= 5) n USING (q, chunk_id)""",
-    APPROXIMATE,
+    SELECT count(*) AS exact_pairs, count(n.q) AS found_pairs, round(count(n.q) / count(*), 6) AS recall,
+      (SELECT count(*) FROM pooled) AS pooled_pairs, (SELECT count(*) FROM units a JOIN units b USING (course)) AS course_pairs
+    FROM others_exact e LEFT JOIN others_near n USING (q, chunk_id)""",
+    INVERTED,
 )
 def approximate_recall(lake: Lake):
-    """Share of the exact five nearest that the approximate search returns."""
-    exact = dense.dense_top_k(lake.vectors(), vector_questions(lake), 5).select("qid", "chunk_id")
-    near = dense.approximate_top_k(lake.vectors(), vector_questions(lake), 5).select("qid", "chunk_id", F.lit(1).alias("found"))
-    return exact.join(near, ["qid", "chunk_id"], "left").agg(
+    """Share of the exact five nearest other vectors that the approximate search returns, and the pairs that it scores exactly."""
+    index = ivf.build(lake.vectors())
+    exact = dense_hits(lake, 5).select("qid", "chunk_id")
+    others = ivf.approximate_top_k(index, lake.vectors(), vector_questions(lake), 6).where(F.col("qid") != F.col("chunk_id").cast("string"))
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    near = others.withColumn("at", at).where("at <= 5").select("qid", "chunk_id", F.lit(1).alias("found"))
+    pooled = ivf.candidates(index, vector_questions(lake), 6).agg(F.count("*").alias("pooled_pairs"))
+    pairs = lake.vectors().groupBy("course").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("course_pairs"))
+    found = exact.join(near, ["qid", "chunk_id"], "left").agg(
         F.count("*").alias("exact_pairs"), F.count("found").alias("found_pairs"), r6(F.count("found") / F.count("*")).alias("recall")
     )
+    return found.join(pooled).join(pairs)  # three tables of one row
 
 
 # ---------------------------------------------------------------- fusion to decision

@@ -1,9 +1,7 @@
-"""Dense retrieval: exact per-course cosine top-k, pair scoring and approximate search."""
+"""Dense retrieval: exact per-course cosine top-k, and pair scoring."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,43 +90,3 @@ def score_pairs(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> Da
         .withColumn("dense", cosine(F.col("_q"), F.col("_c")))
         .drop("_q", "_c")
     )
-
-
-#: Signatures per vector: more find more and cost more candidates.
-TABLES = 20
-
-
-def plane(table: int, bit: int, size: int, seed: int) -> list[float]:
-    """A random hyperplane of +1 and -1, from the first hexadecimal digit of a digest, so SQL can make the same one."""
-    digests = (hashlib.md5(f"{seed}:{table}:{bit}:{i}".encode()).hexdigest() for i in range(size))
-    return [1.0 if d[0] >= "8" else -1.0 for d in digests]
-
-
-def _signatures(df: DataFrame, key: str, size: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """``course, key, table, signature``: one bit per hyperplane, the side on which the vector lies."""
-
-    def side(table: int, bit: int):
-        signs = F.array(*[F.lit(v) for v in plane(table, bit, size, seed)])
-        product = F.aggregate(F.zip_with("embedding", signs, lambda v, s: v * s), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-        return (product > 0).cast("long") * (1 << bit)
-
-    marks = F.array(*[sum((side(t, b) for b in range(1, bits)), side(t, 0)) for t in range(tables)])
-    return df.select("course", key, F.posexplode(marks).alias("table", "signature"))
-
-
-def approximate_top_k(
-    chunks: DataFrame, questions: DataFrame, k: int, size: int = 64, tables: int = TABLES, bits: int = 4, salts: int = 8, seed: int = 7
-) -> DataFrame:
-    """Best ``k`` of the chunks that share a signature with the question in its course, scored exactly.
-
-    Signatures are the sides of random hyperplanes, ``bits`` per table; vectors have ``size`` components. Candidates meet on
-    (course, table, signature), so pairs of other courses are never formed; chunks are salted, so a hot bucket is spread over
-    ``salts`` tasks. Candidate ids are deduplicated before any vector is joined. All candidates are scored, and a zero vector
-    scores 0, as in the exact search.
-    """
-    stored = _signatures(chunks, "chunk_id", size, tables, bits, seed).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    asked = _signatures(questions, "qid", size, tables, bits, seed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = stored.join(asked, ["course", "table", "signature", "salt"]).select("course", "qid", "chunk_id").distinct()
-    vectors = questions.select("course", "qid", F.col("embedding").alias("_q"))
-    near = pairs.join(vectors, ["course", "qid"]).join(chunks.select("course", "chunk_id", F.col("embedding").alias("_c")), ["course", "chunk_id"])
-    return keep_best(near.select("course", "qid", "chunk_id", cosine(F.col("_q"), F.col("_c")).alias("score")), k)

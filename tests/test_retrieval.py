@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagelake.config import LADDER, index_signature, preset
 from passagelake.functions import text as tx
-from passagelake.operators import dense, fusion, lexical, passages
+from passagelake.operators import dense, fusion, inverted_file, lexical, passages
 from passagelake.operators import model_stages as ms
 
 
@@ -256,15 +256,46 @@ def test_course_without_chunks_asks_no_model(spark):
     assert got == {"q0": (["apples that are green"], 1, 0), "q1": ([], 0, 0)}
 
 
+def vectors(spark, courses, size=16, seed=4):
+    rng = random.Random(seed)
+    rows = [(c, k * 1000 + i, [rng.gauss(0, 1) for _ in range(size)]) for k, (c, n) in enumerate(courses) for i in range(n)]
+    return spark.createDataFrame(rows, "course string, chunk_id long, embedding array<float>")
+
+
+def asking(chunks):
+    return chunks.select("course", F.col("chunk_id").cast("string").alias("qid"), "embedding")
+
+
 def test_approximate_search_keeps_courses_apart_and_finds_most(spark):
-    rng = random.Random(9)
-    near = lambda centre: [c + rng.gauss(0, 0.25) for c in centre]
-    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
-    stored = [("ab"[i % 2], i, near(centres[i % 12])) for i in range(240)] + [("a", 900, [0.0] * 16)]
-    chunks = spark.createDataFrame(stored, "course string, chunk_id long, embedding array<float>")
-    questions = spark.createDataFrame([("ab"[i % 2], f"q{i}", near(centres[i % 12])) for i in range(24)], "course string, qid string, embedding array<float>")
-    exact = {(h.qid, h.chunk_id) for h in dense.dense_top_k(chunks, questions, 5).collect()}
-    got = dense.approximate_top_k(chunks, questions, 5, size=16).collect()
-    course = {i: c for c, i, _ in stored}
-    assert all(course[h.chunk_id] == h.course for h in got)
-    assert len({(h.qid, h.chunk_id) for h in got} & exact) >= 0.9 * len(exact)
+    chunks = vectors(spark, [("a", 300), ("b", 120), ("c", 1)])
+    index = inverted_file.build(chunks)
+    assert index.lists.count() == 421 and index.centres.agg(F.sum("size")).first()[0] == 421
+    got = inverted_file.approximate_top_k(index, chunks, asking(chunks), 5).collect()
+    exact = {(r.qid, r.chunk_id) for r in dense.dense_top_k(chunks, asking(chunks), 5).collect()}
+    assert all({"a": 0, "b": 1, "c": 2}[r.course] == r.chunk_id // 1000 for r in got)
+    assert len({(r.qid, r.chunk_id) for r in got} & exact) >= 0.9 * len(exact)
+    pool = inverted_file.candidates(index, asking(chunks), 5)
+    sizes = {r.course: r.n for r in pool.groupBy("course", "qid").count().groupBy("course").agg(F.max("count").alias("n")).collect()}
+    assert sizes == {"a": 60, "b": 24, "c": 1}
+
+
+def test_approximate_search_probing_all_lists_with_a_full_pool_is_exact(spark, monkeypatch):
+    chunks = vectors(spark, [("a", 40), ("b", 7)])
+    monkeypatch.setattr(inverted_file, "pool_size", lambda k, n: F.lit(100))
+    got = inverted_file.approximate_top_k(inverted_file.build(chunks, sample=12), chunks, asking(chunks), 5, probed=1.0)
+    rows = lambda df: sorted((r.qid, r.chunk_id, r.rank) for r in df.collect())
+    assert rows(got) == rows(dense.dense_top_k(chunks, asking(chunks), 5))
+
+
+def test_approximate_search_falls_back_and_forgets_removed_vectors(spark, tmp_path):
+    chunks = vectors(spark, [("a", 30), ("b", 9)]).unionByName(spark.createDataFrame([("a", 77, [0.0] * 16)], "course string, chunk_id long, embedding array<float>"))
+    inverted_file.build(chunks.where("course = 'a'"), path=str(tmp_path / "ivf"))
+    index = inverted_file.read(spark, str(tmp_path / "ivf"))
+    left = chunks.where("chunk_id not in (1, 2)")
+    got = inverted_file.approximate_top_k(index, left, asking(chunks), 3)
+    exact = {(r.qid, r.chunk_id) for r in dense.dense_top_k(left, asking(chunks), 3).where("course = 'b'").collect()}
+    rows = got.collect()
+    assert {(r.qid, r.chunk_id) for r in rows if r.course == "b"} == exact and not {r.chunk_id for r in rows} & {1, 2}
+    assert all(sum(r.qid == q for r in rows) == 3 for q in {r.qid for r in rows})
+    empty = inverted_file.approximate_top_k(inverted_file.build(chunks.limit(0)), chunks.limit(0), asking(chunks), 3)
+    assert empty.count() == 0
