@@ -263,7 +263,7 @@ def vectors(spark, courses, size=16, seed=4):
 
 
 def asking(chunks):
-    return chunks.select("course", F.col("chunk_id").cast("string").alias("qid"), "embedding")
+    return chunks.select(F.col("course").alias("course"), F.col("chunk_id").cast("string").alias("qid"), F.col("embedding").alias("embedding"))
 
 
 def test_approximate_search_keeps_courses_apart_and_finds_most(spark):
