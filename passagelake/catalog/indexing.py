@@ -167,7 +167,15 @@ def normalised_text(lake: Lake):
     return lake.documents().select("doc_id", F.md5(ch.normalised(F.col("text"))).alias("digest"))
 
 
-@query("I3_sentences")
+# the same boundaries without look-around: abbreviations and boundaries are marked by control characters first
+SENTENCES = rf"""
+    WITH marked AS (SELECT doc_id, line_no, regexp_replace(line, '(?i)\b({ch.ABBREVIATIONS})\.\s+', '\1' || chr(2), 'g') AS line FROM {LINES}),
+    cut AS (SELECT doc_id, line_no, regexp_replace(line, '([.!?]["'')\]]?)\s+(["''(\[`$A-Z0-9])', '\1' || chr(1) || '\2', 'g') AS line FROM marked),
+    parts AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(line, chr(1)), lambda s: trim(replace(s, chr(2), '. '))), lambda s: s <> '') AS s FROM cut)
+    SELECT doc_id, line_no, unnest(range(len(s))) AS sentence_no, unnest(s) AS sentence FROM parts"""
+
+
+@query("I3_sentences", SENTENCES)
 def sentences(lake: Lake):
     return lines_of(lake).select("doc_id", "line_no", F.posexplode(ch.sentences(F.col("line"))).alias("sentence_no", "sentence"))
 
@@ -205,6 +213,10 @@ def headed_docs(lake: Lake):
     )
 
 
+def sections_of(docs):
+    return docs.select("doc_id", F.posexplode(ch.in_sections(ch.document_pieces(F.col("pages"), F.col("plain")))).alias("section", "s"))
+
+
 @query(
     "I5_heading_sections",
     f"""
@@ -212,8 +224,8 @@ def headed_docs(lake: Lake):
     SELECT doc_id, section, max(level) AS level, count(*) AS lines FROM placed GROUP BY ALL""",
 )
 def heading_sections(lake: Lake):
-    lines = ch.document_lines(headed_docs(lake), "doc_id")
-    return lines.groupBy("doc_id", "section").agg(F.coalesce(F.max("level"), F.lit(0)).cast("long").alias("level"), F.count("*").alias("lines"))
+    lines = F.aggregate("s.pieces", F.lit(0), lambda n, p: n + p["n"]).cast("long")
+    return sections_of(headed_docs(lake)).select("doc_id", "section", F.coalesce("s.level", F.lit(0)).cast("long").alias("level"), lines.alias("lines")).where("lines > 0")
 
 
 @query(
@@ -230,21 +242,33 @@ def heading_sections(lake: Lake):
     GROUP BY ALL""",
 )
 def heading_paths(lake: Lake):
-    lines = ch.document_lines(headed_docs(lake), "doc_id")
-    sections = lines.groupBy("doc_id", "section").agg(
-        F.max("level").alias("level"), F.max("title").alias("title"), F.bool_or(F.col("kind") == "text").alias("has_text")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("section", "level", "title", "has_text")))
-    docs = sections.groupBy("doc_id").agg(ordered.alias("s"))
+    parts = F.transform(ch.in_sections(ch.document_pieces(F.col("pages"), F.col("plain"))), lambda x: F.struct(
+        x["level"].alias("level"), x["title"].alias("title"), F.exists(x["pieces"], lambda p: F.size(p["lines"]) > 0).alias("has_text")
+    ))
+    docs = headed_docs(lake).select("doc_id", parts.alias("s"))
     paths = ch.heading_paths(F.transform("s", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"))))
-    zipped = F.zip_with("s", paths, lambda x, p: F.struct(x["section"].alias("section"), x["has_text"].alias("t"), F.array_join(p, " > ").alias("path")))
-    return docs.select("doc_id", F.explode(F.filter(zipped, lambda z: z["t"])).alias("z")).select("doc_id", "z.section", "z.path")
+    zipped = F.zip_with("s", paths, lambda x, p: F.struct(x["has_text"].alias("t"), F.array_join(p, " > ").alias("path")))
+    return docs.select("doc_id", F.posexplode(zipped).alias("section", "z")).where("z.t").select("doc_id", "section", "z.path")
 
 
-@query("I6_plain_headings")
+@query(
+    "I6_plain_headings",
+    f"""
+    WITH lines AS (SELECT doc_id, line_no, line, trim(line) AS t, trim(coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), '')) AS following,
+        regexp_matches(line, '^\\s*```') AS fence,
+        sum(CAST(regexp_matches(line, '^\\s*```') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM {LINES}),
+    w AS (SELECT *, regexp_split_to_array(t, '\\s+') AS words, regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 1) AS marks FROM lines WHERE NOT fence AND fences % 2 = 0),
+    v AS (SELECT *, list_filter(words, lambda x: length(x) > 3) AS weighty, regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)*)[.)]?\\s', 1) AS number FROM w)
+    SELECT doc_id, line_no, CASE WHEN marks <> '' THEN length(marks) WHEN number = '' THEN 1 ELSE len(string_split(number, '.')) END AS level,
+      CASE WHEN marks <> '' THEN trim(regexp_extract(line, '^(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2)) ELSE t END AS title
+    FROM v WHERE marks <> '' OR (t <> '' AND length(t) <= 80 AND NOT regexp_matches(t, '[.,;:!?]$') AND following <> '' AND NOT regexp_matches(t, '^[-*•]\\s+')
+      AND len(words) <= 10 AND CASE WHEN regexp_matches(t, '^[0-9]+(\\.[0-9]+)*[.)]?\\s+[A-Z]') THEN len(words) <= 7
+        ELSE len(weighty) > 0 AND len(words) <= 8 AND len(list_filter(weighty, lambda x: regexp_matches(x, '^[A-Z0-9]'))) >= 0.75 * len(weighty) END)""",
+)
 def plain_headings(lake: Lake):
-    lines = ch.document_lines(structured_docs(lake, "notes.txt"), "doc_id")
-    return lines.where(F.col("level").isNotNull()).select("doc_id", "line_no", "level", "title")
+    pieces = ch.document_pieces(F.col("pages"), F.col("plain"))
+    found = structured_docs(lake, "notes.txt").select("doc_id", F.explode(pieces).alias("p"))
+    return found.where(F.col("p.level").isNotNull()).select("doc_id", F.col("p.at").alias("line_no"), "p.level", "p.title")
 
 
 @query(
@@ -264,8 +288,11 @@ def code_blocks(lake: Lake):
     docs = lake.documents().select(
         "doc_id", F.lit(False).alias("plain"), F.array(F.array_join(fenced, "\n")).alias("pages")
     )
-    lines = ch.document_lines(docs, "doc_id").where(F.col("kind") == "code")
-    return lines.groupBy("doc_id", (-F.col("block")).alias("code_block")).agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+    blocks = F.filter(ch.document_pieces(F.col("pages"), F.col("plain")), lambda p: p["code"])
+    return docs.select("doc_id", F.posexplode(blocks).alias("code_block", "p")).select(
+        "doc_id", (F.col("code_block") + 1).cast("long").alias("code_block"), F.size("p.lines").cast("long").alias("lines"),
+        F.aggregate("p.lines", F.lit(0).cast("long"), lambda n, line: n + F.length(line)).alias("chars"),
+    )
 
 
 @query("I8_long_units")
@@ -311,16 +338,12 @@ def embed_text(lake: Lake):
 
 @query(
     "I13_stitched_documents",
-    """
-    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), ' +', ' ', 'g'))) AS digest FROM documents""",
+    r"SELECT doc_id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents",
 )
 def stitched_documents(lake: Lake):
-    """Structured chunks stitched back: up to blanks, the original text."""
-    # a unit cut inside one over-long token is the single case that is not glued back, so tokens that long are excluded by size
-    chunks = ch.structured_chunks(structured_docs(lake), "doc_id", ch.PackLimits(most=100_000, target=650))
-    rebuilt = ch.stitched_documents(chunks, "doc_id")
-    collapsed = F.regexp_replace(F.regexp_replace("text", f"{BLANK}+", " "), " +", " ")
-    return rebuilt.select("doc_id", F.md5(F.trim(collapsed)).alias("digest"))
+    """Structured chunks stitched back: but for blanks, the original text; a token cut in two gets a blank between its parts."""
+    rebuilt = ch.stitched_documents(ch.structured_chunks(structured_docs(lake), "doc_id"), "doc_id")
+    return rebuilt.select("doc_id", F.md5(F.regexp_replace("text", f"{BLANK}+", "")).alias("digest"))
 
 
 # ---------------------------------------------------------------- the chunk table

@@ -1,9 +1,9 @@
 """Documents to overlapping chunks.
 
 Two chunkers are offered. ``paragraph_chunks`` packs paragraphs to a fixed size with higher-order functions inside
-one row. ``structured_chunks`` works on the exploded lines of all documents: fences, headings, paragraphs and
-sections come from windows and grouped aggregates that all share one hash partitioning by document, and only the
-integer lengths of units visit Python to decide where chunks begin and end.
+one row. ``structured_chunks`` does too: fences, headings, paragraphs and sections are found as positions in the
+document's own array of lines, so nothing is shuffled from the scan to the chunk rows, and only the integer lengths
+of units visit Python to decide where chunks begin and end.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from passagelake.functions.text import BLANK, fold_runs, let, strip_blanks
 
@@ -287,70 +286,100 @@ def _chunk_of(units: Column, bound: Column) -> Column:
 # ---------------------------------------------------------------- the structured chunker
 
 
-def document_lines(docs: DataFrame, key: str) -> DataFrame:
-    """``docs(key, pages array<string>, plain boolean)`` to one classified row per line.
+def _range(start: Column, end: Column) -> Column:
+    """``start..end - 1``, empty where there is nothing between."""
+    return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
 
-    ``fallback`` carries the raw text only for documents in which no line can become a unit; ``about`` carries title and source
-    label, where there are any, on a document's first line.
+
+def page_pieces(page: Column, plain: Column) -> Column:
+    """The lines of a page as ``array<struct<at,n,level,title,code,lines>>``, without leaving the row.
+
+    A piece is a fenced block with its fences, or a break, which is a heading or blank line, with the text lines up to the next
+    break. ``at`` and ``n`` are the first line and the number of all lines of the piece, ``level`` and ``title`` those of its heading,
+    ``lines`` its text or code. Fences pair up by their positions; a fence left open lasts to the end of the page. Every step is a
+    filter over positions or a slice, so the work grows with the lines.
     """
-    named = F.struct("title", "source_label") if {"title", "source_label"} <= set(docs.columns) else F.lit(None).cast("struct<title:string,source_label:string>")
-    pages = F.col("pages")
-    cleaned = F.transform(pages, lambda p: F.split(normalised(p), "\\n"))
-    solid = F.exists(
-        F.flatten(cleaned),
-        lambda line: (strip_blanks(line) != "")
-        & (line.rlike(FENCE_LINE) | ~line.rlike(HEADING_LINE))
-        & (~F.col("plain") | line.rlike(f"[.,;:!?]{BLANK}*$") | (F.length(strip_blanks(line)) > 80)),
-    )
-    exploded = (
-        docs.select(
-            key,
-            "plain",
-            named.alias("named"),
-            (F.size(pages) > 1).alias("paged"),
-            F.when(~solid, strip_blanks(F.array_join(pages, "\n"))).alias("fallback"),
-            F.posexplode(cleaned).alias("page_no", "lines"),
-        )
-        .select(key, "plain", "paged", "fallback", "named", "page_no", F.posexplode("lines").alias("line_no", "line"))
-        .withColumn("about", F.when((F.col("page_no") == 0) & (F.col("line_no") == 0), F.col("named")))
-        .drop("named")
-        .repartition(key)
-    )
-    in_page = Window.partitionBy(key, "page_no").orderBy("line_no")
-    so_far = in_page.rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(FENCE_LINE)
-    marked = exploded.select(
-        "*",
-        fence.alias("fence"),
-        F.sum(fence.cast("int")).over(so_far).alias("fences"),
-        F.lead("line").over(in_page).alias("following"),
-    ).withColumn("in_code", F.col("fence") | (F.col("fences") % 2 == 1))
-    markdown = ~F.col("in_code") & F.col("line").rlike(HEADING_LINE)
-    plain = ~F.col("in_code") & ~markdown & F.col("plain") & plain_heading(F.col("line"), F.col("following"))
-    classified = marked.select(
-        "*",
-        F.when(markdown, F.length(F.regexp_extract("line", HEADING_LINE, 1)))
-        .when(plain, plain_heading_level(F.col("line")))
-        .cast("int")
-        .alias("level"),
-        F.when(markdown, strip_blanks(F.regexp_extract("line", HEADING_LINE, 2)))
-        .when(plain, strip_blanks(F.col("line")))
-        .alias("title"),
-    ).withColumn(
-        "kind",
-        F.when(F.col("in_code"), F.lit("code"))
-        .when(F.col("level").isNotNull(), F.lit("heading"))
-        .when(strip_blanks(F.col("line")) == "", F.lit("blank"))
-        .otherwise(F.lit("text")),
-    )
-    through_doc = Window.partitionBy(key).orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return classified.withColumn("section", F.sum(F.col("level").isNotNull().cast("int")).over(through_doc)).withColumn(
-        "block",
-        # a text line belongs to the break before it; a code line to its fence pair
-        F.when(F.col("kind") == "code", -F.floor((F.col("fences") + 1) / 2)).otherwise(
-            F.sum(F.when(F.col("kind") != "text", 1).otherwise(0)).over(through_doc)
-        ),
-    )
+
+    def of_lines(lines: Column) -> Column:
+        size = F.size(lines)
+        line = lambda i: F.get(lines, i)
+
+        def is_break(i: Column) -> Column:
+            return (strip_blanks(line(i)) == "") | line(i).rlike(HEADING_LINE) | (plain & plain_heading(line(i), line(i + 1)))
+
+        def text_piece(at: Column, end: Column, broken: Column) -> Column:
+            text = line(at)
+            markdown = broken & text.rlike(HEADING_LINE)
+            named = broken & plain & (strip_blanks(text) != "")
+            skip = F.when(broken, 1).otherwise(0)
+            return F.struct(
+                at.alias("at"),
+                (end - at).alias("n"),
+                F.when(markdown, F.length(F.regexp_extract(text, HEADING_LINE, 1))).when(named, plain_heading_level(text)).cast("int").alias("level"),
+                F.when(markdown, strip_blanks(F.regexp_extract(text, HEADING_LINE, 2))).when(named, strip_blanks(text)).alias("title"),
+                F.lit(False).alias("code"),
+                F.slice(lines, at + skip + 1, end - at - skip).alias("lines"),
+            )
+
+        def text_pieces(start: Column, end: Column) -> Column:
+            return let(
+                F.filter(_range(start, end), is_break),
+                lambda breaks: F.transform(
+                    F.sequence(F.lit(0), F.size(breaks)),
+                    lambda m: text_piece(F.when(m == 0, start).otherwise(F.get(breaks, m - 1)), F.coalesce(F.get(breaks, m), end), m > 0),
+                ),
+            )
+
+        def code_piece(at: Column, end: Column) -> Column:
+            none = F.lit(None)
+            return F.struct(
+                at.alias("at"), (end - at).alias("n"), none.cast("int").alias("level"), none.cast("string").alias("title"),
+                F.lit(True).alias("code"), F.slice(lines, at + 1, end - at).alias("lines"),
+            )
+
+        def around_fences(fences: Column) -> Column:
+            def before_and_in(pair: Column) -> Column:
+                start = F.when(pair == 0, 0).otherwise(F.coalesce(F.get(fences, 2 * pair - 1) + 1, size))
+                opening = F.get(fences, 2 * pair)
+                end = F.coalesce(F.get(fences, 2 * pair + 1) + 1, size)
+                text = let(F.struct(start.alias("a"), F.coalesce(opening, size).alias("b")), lambda r: text_pieces(r["a"], r["b"]))
+                return F.when(opening.isNull(), text).otherwise(F.concat(text, F.array(code_piece(opening, end))))
+
+            pairs = F.ceil(F.size(fences) / 2).cast("int")
+            return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), pairs), before_and_in)), lambda p: p["n"] > 0)
+
+        return let(F.filter(_range(F.lit(0), size), lambda i: line(i).rlike(FENCE_LINE)), around_fences)
+
+    return let(F.split(normalised(page), "\\n"), of_lines)
+
+
+PIECES = "array<struct<at:int,n:int,level:int,title:string,code:boolean,lines:array<string>,page_no:int>>"
+
+
+def document_pieces(pages: Column, plain: Column) -> Column:
+    """The pieces of all pages in order, each with its page from 0; a null page has none."""
+
+    def numbered(page: Column, number: Column) -> Column:
+        found = F.transform(page_pieces(page, plain), lambda p: F.struct(*[p[c].alias(c) for c in ("at", "n", "level", "title", "code", "lines")], number.alias("page_no")))
+        return F.coalesce(found.cast(PIECES), F.array().cast(PIECES))
+
+    return F.coalesce(F.flatten(F.transform(pages, numbered)), F.array().cast(PIECES))
+
+
+def in_sections(pieces: Column) -> Column:
+    """``array<struct<level,title,pieces>>``: the pieces before the first heading, then those from each heading on."""
+
+    def cut(all_: Column) -> Column:
+        heads = F.filter(_range(F.lit(0), F.size(all_)), lambda i: F.get(all_, i)["level"].isNotNull())
+
+        def section(starts: Column, m: Column) -> Column:
+            at, end = F.when(m == 0, 0).otherwise(F.get(starts, m - 1)), F.coalesce(F.get(starts, m), F.size(all_))
+            head = F.when(m > 0, F.get(all_, at))
+            return F.struct(head["level"].alias("level"), head["title"].alias("title"), F.slice(all_, at + 1, end - at).alias("pieces"))
+
+        return let(heads, lambda starts: F.transform(F.sequence(F.lit(0), F.size(starts)), lambda m: section(starts, m)))
+
+    return let(pieces, cut)
 
 
 UNIT = "array<struct<text:string,sep:string,is_code:boolean,page:int>>"
@@ -379,43 +408,20 @@ def block_units(lines: Column, kind: Column, page: Column) -> Column:
     )
 
 
-def document_sections(lines: DataFrame, key: str) -> DataFrame:
-    """One row per document: ordered sections ``array<struct<path, units>>``; sections without units are dropped."""
-    blocks = lines.groupBy(key, "section", "page_no", "kind", "block").agg(
-        F.min("line_no").alias("at"),
-        F.max("level").alias("level"),
-        F.max("title").alias("title"),
-        F.first("paged").alias("paged"),
-        F.max("fallback").alias("fallback"),
-        F.max("about").alias("about"),
-        F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias("lines"),
-    )
-    page = F.when(F.col("paged"), F.col("page_no") + 1)
-    with_units = blocks.select(
-        key, "section", "page_no", "at", "level", "title", "fallback", "about",
-        block_units(F.col("lines"), F.col("kind"), page).alias("units"),
-    )
-    sections = with_units.groupBy(key, "section").agg(
-        F.max("level").alias("level"),
-        F.max("title").alias("title"),
-        F.max("fallback").alias("fallback"),
-        F.max("about").alias("about"),
-        F.flatten(
-            F.transform(F.sort_array(F.collect_list(F.struct("page_no", "at", "units"))), lambda b: b["units"])
-        ).alias("units"),
-    )
-    documents = sections.groupBy(key).agg(
-        F.max("fallback").alias("fallback"),
-        F.max("about").alias("about"),
-        F.sort_array(F.collect_list(F.struct("section", "level", "title", "units"))).alias("parts"),
-    )
-    paths = heading_paths(F.transform("parts", lambda p: F.struct(p["level"].alias("level"), p["title"].alias("title"))))
-    zipped = F.zip_with(
-        F.col("parts"),
-        paths,
-        lambda p, path: F.struct(path.alias("path"), p["units"].alias("units")),
-    )
-    return documents.select(key, "fallback", "about", F.filter(zipped, lambda s: F.size(s["units"]) > 0).alias("sections"))
+def document_sections(pages: Column, plain: Column) -> Column:
+    """Ordered sections ``array<struct<path, units>>``; sections without units are dropped."""
+
+    def units(section: Column) -> Column:
+        paged = F.size(pages) > 1
+        kind = lambda p: F.when(p["code"], F.lit("code")).otherwise(F.lit("text"))
+        return F.flatten(F.transform(section["pieces"], lambda p: block_units(p["lines"], kind(p), F.when(paged, p["page_no"] + 1))))
+
+    def with_paths(sections: Column) -> Column:
+        paths = heading_paths(F.transform(sections, lambda s: F.struct(s["level"].alias("level"), s["title"].alias("title"))))
+        zipped = F.zip_with(sections, paths, lambda s, path: F.struct(path.alias("path"), units(s).alias("units")))
+        return F.filter(zipped, lambda s: F.size(s["units"]) > 0)
+
+    return let(in_sections(document_pieces(pages, plain)), with_paths)
 
 
 def structured_chunks(docs: DataFrame, key: str, limits: PackLimits = PackLimits()) -> DataFrame:
@@ -435,7 +441,8 @@ def structured_chunks(docs: DataFrame, key: str, limits: PackLimits = PackLimits
             ),
         )
 
-    split = document_sections(document_lines(docs, key), key).withColumn(
+    about = [F.struct("title", "source_label").alias("about"), F.col("pages")]
+    split = docs.select(key, *about, document_sections(F.col("pages"), F.col("plain")).alias("sections")).withColumn(
         "sections",
         F.transform(
             "sections",
@@ -469,18 +476,16 @@ def structured_chunks(docs: DataFrame, key: str, limits: PackLimits = PackLimits
         F.struct(
             F.array().cast("array<string>").alias("path"),
             F.struct(
-                F.col("fallback").alias("text"),
+                strip_blanks(F.array_join("pages", "\n")).alias("text"),
                 F.lit(0).alias("overlap_len"),
                 F.lit(None).cast("int").alias("page"),
             ).alias("chunk"),
         )
     )
-    chunks = bounded.select(key, "fallback", "about", packed.alias("packed")).select(
-        key,
-        "about",
-        F.posexplode(
-            F.when((F.size("packed") == 0) & (F.col("fallback") != ""), whole).otherwise(F.col("packed"))
-        ).alias("chunk_index", "piece"),
+    # a document in which no line becomes a unit is one chunk of its raw text
+    bare = (F.size("packed") == 0) & (strip_blanks(F.array_join("pages", "\n")) != "")
+    chunks = bounded.select(key, "pages", "about", packed.alias("packed")).select(
+        key, "about", F.posexplode(F.when(bare, whole).otherwise(F.col("packed"))).alias("chunk_index", "piece")
     )
     return chunks.select(
         key,

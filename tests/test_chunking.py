@@ -65,6 +65,32 @@ def test_pages_are_tracked(spark):
     assert chunks(spark, ["single page only"])[0].page is None
 
 
+def test_chunking_shuffles_nothing(spark):
+    docs = spark.createDataFrame([(1, "T", "", ["# A\n\nText."], False)], DOC)
+    plan = ch.structured_chunks(docs, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_pieces_of_fences_headings_and_blanks(spark):
+    text = "lead\n```\n# code\n```\n# One\n\ntwo\nthree\n``` open\nto the end"
+    found = one(spark, ch.document_pieces(F.array(F.lit(text), F.lit(None).cast("string"), F.lit("")), F.lit(False)))
+    assert [(p.page_no, p.at, p.n, p.level, p.title, p.code, p.lines) for p in found] == [
+        (0, 0, 1, None, None, False, ["lead"]),
+        (0, 1, 3, None, None, True, ["```", "# code", "```"]),
+        (0, 4, 1, 1, "One", False, []),
+        (0, 5, 3, None, None, False, ["two", "three"]),
+        (0, 8, 2, None, None, True, ["``` open", "to the end"]),
+        (2, 0, 1, None, None, False, []),
+    ]
+    assert one(spark, ch.document_pieces(F.lit(None).cast("array<string>"), F.lit(True))) == []
+
+
+def test_many_lines_and_fences_take_linear_time(spark):
+    text = "\n".join(["# Head", "Some words here.", "", "```", "code", "```"] * 2_000)
+    rows = chunks(spark, [text])
+    assert len(rows) == 2_000 and {r.text for r in rows} == {"Some words here.\n\n```\ncode\n```"}
+
+
 def test_plain_headings_only_when_enabled(spark):
     text = (
         "Handbook\nIntro line that is long enough to be body text and ends properly.\n1. Pagination\n"
