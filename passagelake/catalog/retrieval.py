@@ -12,7 +12,9 @@ from passagelake.config import preset
 from passagelake.functions import text as tx
 from passagelake.operators import dense, fusion, lexical, passages
 from passagelake.operators import inverted_file as ivf
+from passagelake.operators.posting_blocks import PostingBlocks
 from passagelake.plans.retrieve import Models, frozen_baseline, retrieve
+from passagelake.session import work_folder
 from passagelake.sources.tables import Lake
 
 K = 20
@@ -74,6 +76,17 @@ def bm25(lake: Lake):
     return hits.select("course", "qid", "chunk_id", r6("score").alias("score"), "rank")
 
 
+@query("R5_block_max_top_k", "SELECT course, qid, chunk_id, round(score, 6) AS score, rank FROM bm25_top")
+def bm25_blocks(lake: Lake):
+    """The same hits from a stored index that was filled in two batches."""
+    index = PostingBlocks(lake.spark, work_folder(lake.spark, "posting-blocks"), stem=False)
+    chunks = lake.stored_chunks()
+    for batch in (0, 1):
+        index.add(chunks.where(F.pmod("chunk_id", F.lit(2)) == batch), batch)
+    hits = index.top_k(lake.questions(), K)
+    return hits.select("course", "qid", "chunk_id", r6("score").alias("score"), "rank")
+
+
 @query("R5_bm25_stemmed")
 def bm25_stemmed(lake: Lake):
     hits = lexical.bm25_top_k(lake.stored_chunks(), lake.questions(), K)

@@ -70,7 +70,7 @@ def match_words(c: Column) -> Column:
     """Words for evidence matching: case-folded, identifier dots kept, sentence punctuation removed."""
     cleaned = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9$@._-]+", " ")
     return F.filter(
-        F.transform(F.split(cleaned, "\\s+"), lambda w: F.regexp_replace(w, "^[._-]+|[._-]+$", "")),
+        F.transform(F.split(cleaned, "\\s+"), lambda w: F.btrim(w, F.lit("._-"))),
         lambda w: w != "",
     )
 
@@ -91,6 +91,20 @@ def word_grams(words: Column, n: int = 3) -> Column:
     return let(words, grams)
 
 
+def gram_hashes(words: Column, n: int = 3) -> Column:
+    """The distinct word n-grams as 64-bit hashes, without building their texts."""
+
+    def grams(ws: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)]))
+        return (
+            F.when(F.size(ws) >= n, F.array_distinct(runs))
+            .when(F.size(ws) > 0, F.array(F.xxhash64(F.size(ws), F.array_join(ws, " "))))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return let(words, grams)
+
+
 def set_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two token sets, 0 when either is empty."""
     shared = F.size(F.array_intersect(a, b))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from passagelake.functions.random_draws import with_uniform_draw
 from passagelake.functions.ranks import floor_percentiles, ordinals, running_sums
-from passagelake.functions.text import match_words, word_grams
+from passagelake.functions.text import gram_hashes, match_words, word_grams
 
 # Evidence threshold, the ladder of experiments and metric names.
 COVERAGE_THRESHOLD = 0.8
@@ -101,15 +101,47 @@ def span_coverage(spans: DataFrame, texts: DataFrame, span_key: list[str], text_
     )
 
 
+def covering_pairs(spans: DataFrame, texts: DataFrame, span_key: list[str], text_key: list[str], threshold: float = COVERAGE_THRESHOLD) -> DataFrame:
+    """``span_key, text_key, coverage`` of the pairs whose coverage reaches ``threshold``, by a join on the rarest grams only.
+
+    A text that holds the share ``threshold`` of a span's n grams misses at most n - ceil(threshold n) of them, so it holds one of
+    any n - ceil(threshold n) + 1. These are the span's grams that the fewest texts hold: a line that stands in every text never
+    becomes a join key unless a span consists of little else. Pairs are then counted on all grams. Texts are scanned once; only
+    their grams that occur in a span go on, as 64-bit hashes. A span without words is covered by nothing.
+    """
+    from passagelake.sources.stores import materialise
+
+    span_id, text_id = F.struct(*span_key).alias("_span"), F.struct(*text_key).alias("_text")
+    asked = spans.select(span_id, gram_hashes(match_words(F.col("span"))).alias("_grams")).where(F.size("_grams") > 0)
+    asked = materialise(asked, "span-grams")
+    wanted = materialise(asked.select(F.explode("_grams").alias("_gram")).distinct(), "wanted-grams")
+    grams = texts.select(text_id, F.explode(gram_hashes(match_words(F.col("text")))).alias("_gram"))
+    hits = materialise(grams.join(wanted, "_gram", "left_semi"), "gram-hits")
+    frequency = hits.groupBy("_gram").agg(F.count("*").alias("_df"))
+    n = F.size("_grams")
+    spare = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+    # grams that no text holds come first and can be left out of the prefix
+    own = asked.select("_span", spare.alias("_spare"), n.alias("_n"), F.explode("_grams").alias("_gram")).join(frequency, "_gram")
+    held = own.groupBy("_span").agg(F.first("_spare").alias("_spare"), F.first("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_df", "_gram"))).alias("_held"))
+    rarest = F.slice("_held", F.lit(1), F.greatest(F.col("_spare") - (F.col("_n") - F.size("_held")), F.lit(0)))
+    prefix = materialise(held.select("_span", F.explode(rarest).alias("_g")).select("_span", "_g._gram"), "rare-grams")
+    pairs = materialise(hits.join(prefix, "_gram").select("_span", "_text").distinct(), "gram-pairs")
+    found = hits.join(pairs.select("_text").distinct(), "_text", "left_semi").groupBy("_text").agg(F.collect_list("_gram").alias("_found"))
+    shared = F.size(F.array_intersect("_grams", "_found")) / F.size("_grams")
+    judged = pairs.join(found, "_text").join(asked, "_span").select("_span", "_text", shared.alias("coverage")).where(F.col("coverage") >= threshold)
+    return judged.select(*[F.col(f"_span.{c}").alias(c) for c in span_key], *[F.col(f"_text.{c}").alias(c) for c in text_key], "coverage")
+
+
 def cover_pairs(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """``ranked(experiment, qid, rank, source, text)`` × ``gold(qid, gold_no, source, span)`` → covering pairs.
 
-    The join is per question and source; only a question's own returned rows meet its own spans.
+    The join is per question and source; only a question's own returned rows meet its own spans. Grams are made once for each
+    row of either side, and only they are joined.
     """
-    pairs = ranked.select("experiment", "qid", "rank", "source", "text").join(gold, ["qid", "source"])
-    return pairs.where(coverage(F.col("span"), F.col("text")) >= COVERAGE_THRESHOLD).select(
-        "experiment", "qid", "rank", "gold_no"
-    )
+    rows = ranked.select("experiment", "qid", "rank", "source", gram_hashes(match_words(F.col("text"))).alias("_found"))
+    spans = gold.select("qid", "gold_no", "source", gram_hashes(match_words(F.col("span"))).alias("_grams")).where(F.size("_grams") > 0)
+    shared = F.size(F.array_intersect("_grams", "_found")) / F.size("_grams")
+    return rows.join(spans, ["qid", "source"]).where(shared >= COVERAGE_THRESHOLD).select("experiment", "qid", "rank", "gold_no")
 
 
 # ---------------------------------------------------------------- metrics

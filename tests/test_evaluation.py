@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,26 @@ def test_ordinals_and_percentiles_in_buckets(spark, width):
     for r in got.collect():
         values = sorted(i * 2 for i in range(50) if (i % 3 != 0) == (r.key == "h"))
         assert r.p == values[min(len(values) - 1, int(0.95 * len(values)))]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+def test_covering_pairs_against_brute_force(spark, threshold):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    line = "this licence line stands in every single text"
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) + " . " + line) for i in range(80)] + [(80, ""), (81, None), (82, "two words")]
+    spans = [(i, " ".join(texts[i][1].split()[:12])) for i in range(30)] + [(30, line), (31, ""), (32, None), (33, "Two Words."), (34, "w1 w2 w3 w4 w5")]
+    spans += [(40 + i, " ".join(w if rng.random() > 0.1 else "changed" for w in texts[i][1].split())) for i in range(30)]
+
+    def grams(t):
+        w = [x.strip("._-") for x in re.sub("[^a-z0-9$@._-]+", " ", (t or "").lower()).split()]
+        w = [x for x in w if x]
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+
+    want = {}
+    for s, a in spans:
+        for t, b in texts:
+            if grams(a) and len(grams(a) & grams(b)) / len(grams(a)) >= threshold:
+                want[s, t] = len(grams(a) & grams(b)) / len(grams(a))
+    found = ev.covering_pairs(spark.createDataFrame(spans, "s long, span string"), spark.createDataFrame(texts, "t long, text string"), ["s"], ["t"], threshold)
+    assert {(r.s, r.t): r.coverage for r in found.collect()} == want and any(s == 30 for s, _ in want)

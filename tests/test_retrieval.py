@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagelake.config import LADDER, index_signature, preset
 from passagelake.functions import text as tx
-from passagelake.operators import dense, fusion, inverted_file, lexical, passages
+from passagelake.operators import dense, fusion, inverted_file, lexical, passages, posting_blocks
 from passagelake.operators import model_stages as ms
 
 
@@ -299,3 +299,40 @@ def test_approximate_search_falls_back_and_forgets_removed_vectors(spark, tmp_pa
     assert all(sum(r.qid == q for r in rows) == 3 for q in {r.qid for r in rows})
     empty = inverted_file.approximate_top_k(inverted_file.build(chunks.limit(0)), chunks.limit(0), asking(chunks), 3)
     assert empty.count() == 0
+
+
+def zipf_corpus(spark, seed=1, n=160):
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(40)]
+    text = lambda size: " ".join(words[min(39, int(rng.paretovariate(0.7)) - 1)] for _ in range(size))
+    chunks = [("ab"[i % 5 == 0], i, text(rng.randint(0, 30))) for i in range(n)]
+    questions = [("ab"[i % 2], f"q{i}", text(rng.randint(1, 4)) + " absent") for i in range(20)] + [("none", "q90", "word1"), ("a", "q91", "")]
+    return spark.createDataFrame(chunks, "course string, chunk_id long, text string"), spark.createDataFrame(questions, "course string, qid string, question string")
+
+
+@pytest.mark.parametrize("block,k", [(3, 2), (128, 5), (3, 500)])
+def test_block_max_search_equals_the_full_search(spark, tmp_path, block, k):
+    chunks, questions = zipf_corpus(spark)
+    index = posting_blocks.PostingBlocks(spark, str(tmp_path / "index"), stem=False, block=block)
+    for batch in range(3):
+        index.add(chunks.where(F.col("chunk_id") % 3 == batch), batch)
+    index.add(chunks.where(F.col("chunk_id") % 3 == 2), 2)  # a repeated batch replaces itself
+    rows = lambda df: sorted((r.course, r.qid, r.chunk_id, round(r.score, 8), r["rank"]) for r in df.collect())
+    want = rows(lexical.bm25_top_k(chunks, questions, k, stem=False))
+    assert rows(index.top_k(questions, k)) == want and want
+    stats = {r.course: (r.docs, round(r.avg_len, 9)) for r in lexical.lexical_index(chunks, stem=False).course_stats().collect()}
+    assert {r.course: (r.docs, round(r.avg_len, 9)) for r in index.stats().collect()} == stats
+
+
+def test_block_max_search_reads_less_than_half_of_a_frequent_term(spark, tmp_path):
+    rng = random.Random(3)
+    rare = set(rng.sample(range(900), 12))
+    text = lambda i: " ".join(["common"] * rng.choice([1, 1, 1, 2, 5]) + ["rare"] * (i in rare) + [f"filler{rng.randrange(200)}" for _ in range(rng.randint(1, 60))])
+    chunks = spark.createDataFrame([("a", i, text(i)) for i in range(900)], "course string, chunk_id long, text string")
+    questions = spark.createDataFrame([("a", "q", "common rare")], "course string, qid string, question string")
+    index = posting_blocks.PostingBlocks(spark, str(tmp_path / "index"), stem=False, block=8)
+    index.add(chunks, 0)
+    read = index.needed(questions, 5).where("term = 'common'").agg(F.sum("n")).first()[0] or 0
+    assert read < 450
+    got, want = (sorted((r.chunk_id, round(r.score, 8)) for r in df.collect()) for df in (index.top_k(questions, 5), lexical.bm25_top_k(chunks, questions, 5, stem=False)))
+    assert got == want
