@@ -12,7 +12,7 @@ from passagelake.functions.text import BLANK
 from passagelake.operators import chunking as ch
 from passagelake.operators import indexing as ix
 from passagelake.sources import corpus
-from passagelake.sources.stores import ChunkSnapshots, materialise
+from passagelake.sources.stores import ChunkTable, materialise
 from passagelake.sources.tables import Lake
 from passagelake.session import work_folder
 
@@ -410,14 +410,14 @@ def replace_documents(lake: Lake):
 
 @query("I16_snapshots", REPLACED)
 def snapshots(lake: Lake):
-    """The same through published snapshots: the reader follows the pointer to the newest complete one."""
-    store = ChunkSnapshots(lake.spark, work_folder(lake.spark, "snapshots"))
-    current = ix.index_chunks(lesson_docs(lake), preset("basic"), MODEL, "b1")
-    store.publish(current, 1)
+    """The same in the stored table: the second publication overwrites the partitions of the documents it replaces."""
+    store = ChunkTable(lake.spark, work_folder(lake.spark, "chunk-table"), ix.document_key())
+    current = materialise(ix.index_chunks(lesson_docs(lake), preset("basic"), MODEL, "b1"), "chunks")
+    documents = lesson_docs(lake).withColumn("source", F.lit("content"))
+    store.publish(current, documents)
     doc = F.col("lesson").cast("long")
-    fresh = current.where((doc % 3 != 0) | (doc % 2 != 0)).withColumn("index_batch", F.lit("b2"))
-    touched = lesson_docs(lake).select("lesson", F.lit("content").alias("source"), "attachment_id", (doc % 3 == 0).alias("embedded"))
-    store.publish(ix.replace_documents(store.read(), fresh, touched), 2)
+    fresh = current.where((doc % 3 == 0) & (doc % 2 != 0)).withColumn("index_batch", F.lit("b2"))
+    store.publish(fresh, documents.where(doc % 3 == 0))
     return store.read().groupBy("course", F.col("lesson").cast("long").alias("doc_id"), "index_batch").agg(F.count("*").alias("chunks"))
 
 

@@ -10,7 +10,7 @@ from passagelake.catalog.standins import MODEL
 from passagelake.config import preset
 from passagelake.operators import indexing as ix
 from passagelake.session import work_folder
-from passagelake.sources.stores import ChunkLog
+from passagelake.sources.stores import ChunkTable
 from passagelake.sources.tables import Lake
 from passagelake.streaming import jobs
 
@@ -32,7 +32,7 @@ def incremental_index(lake: Lake):
     old = docs.withColumns({"pages": F.array(F.lit("outdated")), "changed_at": F.lit(1), "change_id": F.lit(1)})
     new = docs.withColumns({"changed_at": F.lit(2), "change_id": F.lit(2)})
     changes = replayed(lake, old.unionByName(new), "changes")
-    store = ChunkLog(lake.spark, work_folder(lake.spark, "live-index"), ix.document_key())
+    store = ChunkTable(lake.spark, work_folder(lake.spark, "live-index"), ix.document_key())
     index = lambda rows, batch: ix.index_chunks(rows, preset("basic"), MODEL, batch)
     run = jobs.incremental_index(changes, store, index, work_folder(lake.spark, "cp"), availableNow=True)
     run.awaitTermination()

@@ -1,7 +1,7 @@
 """Porter2 (Snowball English) stemming of lower-case ASCII tokens.
 
-The published algorithm, expressed as suffix tables. The stemmer is applied to token arrays through an
-Arrow UDF with a per-worker memo, so each distinct token is stemmed once per worker and no token is shuffled.
+The published algorithm, expressed as suffix tables. The stemmer is applied to token arrays through an Arrow UDF that
+encodes a batch's tokens as a dictionary: Python sees each distinct token of a batch once, and no token is shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +126,11 @@ def stem_token(token: str) -> str:
     return token if len(token) <= 3 or token.isdigit() else porter2(token)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_terms(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem_token(t) for t in ts])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_terms(tokens: pa.Array) -> pa.Array:
+    """Stems of arrays of tokens: the distinct tokens of a batch are stemmed once each, rows are only their positions."""
+    words = tokens.flatten().dictionary_encode()  # a null row has no tokens
+    stems = pa.array([None if w is None else stem_token(w) for w in words.dictionary.to_pylist()], pa.string())
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=tokens.is_null())

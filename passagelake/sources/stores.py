@@ -1,7 +1,8 @@
-"""Sinks: chunk snapshots with a version pointer, run records, thresholds."""
+"""Sinks: the chunk table with replacement in place, run records, thresholds."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,69 +19,51 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class ChunkSnapshots:
-    """Full snapshots of the chunk table plus an append-only pointer.
-
-    A snapshot directory is complete before its pointer row appears, so a reader sees either the old or the new table and
-    never a document without chunks. A repeated write of the same version overwrites its own directory only.
-    """
-
-    POINTER = "version long, path string"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        # an empty first pointer, so that readers need not ask whether there is one
-        spark.createDataFrame([], self.POINTER).write.mode("ignore").parquet(f"{self.root}/pointers/start")
-
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema(self.POINTER).option("recursiveFileLookup", "true").parquet(f"{self.root}/pointers")
-
-    def version(self) -> int | None:
-        return self._pointers().agg(F.max("version")).first()[0]
-
-    def read(self) -> DataFrame | None:
-        latest = self._pointers().orderBy(F.col("version").desc()).limit(1).first()
-        return None if latest is None else self.spark.read.parquet(latest["path"])
-
-    def publish(self, table: DataFrame, version: int) -> None:
-        path = f"{self.root}/snapshots/{version}"
-        table.write.mode("overwrite").partitionBy("course").parquet(path)
-        pointer = self.spark.createDataFrame([(version, path)], self.POINTER).coalesce(1)
-        pointer.write.mode("overwrite").parquet(f"{self.root}/pointers/{version}")
+class ChunkTable:
+    """Chunks in partitions by course and bucket of the document, whose documents are replaced in place.
 
+    A publication reads only the partitions of the documents it replaces and overwrites them, so replaced and removed rows are
+    gone from disk and no other file changes. Publishing the same batch again gives the same table, whoever publishes it, so a
+    retried or restarted stream needs no record of batches. ``key`` names a document from the columns of chunks and documents; both
+    have the course. One writer at a time; a reader that lists a partition while it is overwritten has to list again.
 
-class ChunkLog:
-    """Append-only chunk table: a batch adds its chunks and then one log row per document it replaced.
-
-    Readers keep, for each document, the chunks of its newest batch, so a publication writes what changed and nothing else,
-    and chunks whose log rows are missing are not seen. A repeated batch overwrites its own folders only. ``compacted`` is
-    the current table for a rewrite from time to time. ``key`` names a document from the columns of chunks and documents.
+    Chunks of one course spread over ``buckets`` partitions: choose it so that a partition of the largest course fits one task.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: Column):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        empty = spark.createDataFrame([], "doc_key string, batch long")
-        empty.write.mode("ignore").parquet(f"{self.root}/log/start")
+    def __init__(self, spark: SparkSession, root: str, key: Column, buckets: int = 16):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema("doc_key string, batch long").option("recursiveFileLookup", "true").parquet(f"{self.root}/log")
+    def _placed(self, df: DataFrame) -> DataFrame:
+        # a letter before the course, so that partition values are never read back as numbers
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        return df.withColumns({"_course": F.concat(F.lit("c"), F.coalesce(F.col("course").cast("string"), F.lit(""))), "_bucket": bucket})
 
-    def version(self) -> int | None:
-        return self._log().agg(F.max("batch")).first()[0]
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.root)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
 
-    def publish(self, chunks: DataFrame, replaced: DataFrame, batch: int) -> None:
-        """Add ``chunks`` for the documents ``replaced``; a replaced document without chunks disappears."""
-        rows = chunks.withColumns({"doc_key": self.key, "batch": F.lit(batch).cast("long")})
-        rows.write.mode("overwrite").parquet(f"{self.root}/rows/{batch}")
-        done = replaced.select(self.key.alias("doc_key"), F.lit(batch).cast("long").alias("batch")).distinct()
-        done.write.mode("overwrite").parquet(f"{self.root}/log/{batch}")
+    def publish(self, chunks: DataFrame, replaced: DataFrame) -> None:
+        """Replace the documents ``replaced`` by ``chunks``; a replaced document without chunks disappears."""
+        place = ["_course", "_bucket"]
+        gone = materialise(self._placed(replaced).select(*place, self.key.alias("_doc")).distinct(), "replaced")
+        touched = gone.select(*place).distinct()
+        # a row that holds no chunk keeps a partition from being left out, and so left as it was, when its last document goes
+        content = self._placed(chunks).withColumn("_chunk", F.lit(True)).unionByName(touched.withColumn("_chunk", F.lit(False)), allowMissingColumns=True)
+        stored = self._stored()
+        if stored is not None:
+            kept = stored.where("_chunk").join(touched, place, "left_semi").withColumn("_doc", self.key).join(gone, [*place, "_doc"], "left_anti")
+            content = content.unionByName(kept.drop("_doc"), allowMissingColumns=True)
+        # written aside first: a table cannot be overwritten while it is read
+        ready = materialise(content, "partitions")
+        ready.repartition(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(self.root)
 
     def read(self) -> DataFrame | None:
-        if self.version() is None:
-            return None
-        newest = self._log().groupBy("doc_key").agg(F.max("batch").alias("batch"))
-        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/rows")
-        return rows.join(newest, ["doc_key", "batch"], "left_semi").drop("doc_key", "batch")
+        stored = self._stored()
+        return None if stored is None else stored.where("_chunk").drop("_chunk", "_course", "_bucket")
 
 
 def write_runs(records: DataFrame, path: str) -> DataFrame:

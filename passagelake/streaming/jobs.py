@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagelake.operators.indexing import DOCUMENT
-from passagelake.sources.stores import ChunkLog
+from passagelake.sources.stores import ChunkTable
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -20,20 +20,17 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 
 def incremental_index(
-    changes: DataFrame, store: ChunkLog, index: Callable[[DataFrame, str], DataFrame], checkpoint: str, **trigger
+    changes: DataFrame, store: ChunkTable, index: Callable[[DataFrame, str], DataFrame], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Re-chunk changed documents and append them per batch.
+    """Re-chunk changed documents and replace them in the table per batch.
 
-    ``index(documents, batch_id)`` returns chunk rows. Folders are named after the batch, so a retried batch writes the same
-    folders again and a batch that is already published is skipped.
+    ``index(documents, batch_id)`` returns chunk rows. A retried batch, or one that a new checkpoint brings again, replaces the same
+    documents once more and leaves the same table.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        done = store.version()
-        if done is not None and done >= batch_id:
-            return
         documents = latest_changes(batch)
-        store.publish(index(documents, str(batch_id)), documents, batch_id)
+        store.publish(index(documents, str(batch_id)), documents)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

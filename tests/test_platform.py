@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagelake.operators import learning as le
 from passagelake.sources import corpus
-from passagelake.sources.stores import ChunkLog, ChunkSnapshots
+from passagelake.sources.stores import ChunkTable
 
 
 def test_progress_rounds_half_to_even(spark):
@@ -42,24 +42,40 @@ def test_question_file(spark, tmp_path):
         corpus.read_questions(spark, str(bad)).collect()
 
 
-def test_snapshots_switch(spark, tmp_path):
-    store = ChunkSnapshots(spark, str(tmp_path / "chunks"))
-    assert store.read() is None and store.version() is None
-    for version in (1, 2):
-        store.publish(spark.range(version).withColumn("course", F.lit("c")), version)
-    assert store.version() == 2 and store.read().count() == 2
-
-
-def test_chunk_log_reads_the_newest_batch_of_each_document(spark, tmp_path):
-    store = ChunkLog(spark, str(tmp_path / "log"), F.col("lesson"))
-    rows = lambda *x: spark.createDataFrame(list(x), "lesson string, text string")
-    assert store.version() is None and store.read() is None
-    store.publish(rows(("a", "a1"), ("b", "b1")), rows(("a", ""), ("b", "")), 1)
-    store.publish(rows(("a", "a2"), ("a", "a2b")), rows(("a", "")), 2)
-    assert sorted(r.text for r in store.read().collect()) == ["a2", "a2b", "b1"] and store.version() == 2
-    store.publish(rows(("a", "a2"), ("a", "a2b")), rows(("a", "")), 2)  # the same batch once more
-    store.publish(rows(("b", "")).limit(0), rows(("b", "")), 3)
-    assert sorted(r.text for r in store.read().collect()) == ["a2", "a2b"]
+def test_chunk_table_rewrites_only_the_partitions_of_replaced_documents(spark, tmp_path):
+    store = ChunkTable(spark, str(tmp_path / "table"), F.col("lesson"), buckets=8)
+    rows = lambda *x: spark.createDataFrame(list(x), "course string, lesson string, text string")
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    texts = lambda: sorted(r.text for r in store.read().collect())
+    assert store.read() is None
+    first = [(c, f"{c}{i}", f"{c}{i} old") for c in ("01", "2") for i in range(20)]
+    store.publish(rows(*first), rows(*first))
+    assert texts() == sorted(t for _, _, t in first)
+    before = files()
+    for _ in range(2):  # the same batch once more changes nothing
+        store.publish(rows(("01", "013", "new"), ("01", "013", "more")), rows(("01", "013", "")))
+        assert texts() == sorted([t for _, x, t in first if x != "013"] + ["new", "more"])
+    after = files()
+    kept = {f for f in before if after.get(f) == before[f]}
+    changed = {f.rsplit("/", 1)[0] for f in set(before) - kept}
+    assert len(changed) == 1 and all("_course=c01" in f for f in changed) and len(kept) == len(before) - len([f for f in before if f.rsplit("/", 1)[0] in changed])
+    assert "old" not in {r.text for r in spark.read.parquet(str(tmp_path / "table")).where("lesson = '013'").collect()}
+    gone = rows(*[x for x in first if x[0] == "2"])
+    store.publish(gone.limit(0), gone)  # a course loses all its documents
+    assert {r.course for r in store.read().collect()} == {"01"}
+
+
+def test_a_second_stream_on_a_filled_table_is_not_dropped(spark, tmp_path):
+    from passagelake.streaming import jobs
+
+    names = "course string, lesson string, source string, attachment_id string, body string, changed_at int, change_id int"
+    store = ChunkTable(spark, str(tmp_path / "table"), F.col("lesson"))
+    index = lambda docs, batch: docs.select("course", "lesson", F.col("body").alias("text"))
+    for n in (1, 2):
+        spark.createDataFrame([("c", f"l{n}", "content", None, f"text {n}", 1, 1)], names).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(names).parquet(str(tmp_path / f"in{n}"))
+        jobs.incremental_index(stream, store, index, str(tmp_path / f"cp{n}"), availableNow=True).awaitTermination()
+    assert sorted(r.text for r in store.read().collect()) == ["text 1", "text 2"]
 
 
 def test_a_late_repeat_of_a_lesson_counts_once(spark, tmp_path):

@@ -301,6 +301,14 @@ def test_approximate_search_falls_back_and_forgets_removed_vectors(spark, tmp_pa
     assert empty.count() == 0
 
 
+def test_stems_of_arrays_keep_rows_apart(spark):
+    from passagelake.functions.stemming import stem_terms
+
+    rows = [(0, ["indexes", "indexing", "run"]), (1, []), (2, None), (3, ["running", "indexes"]), (4, ["2024", "ponies", "ponies"])]
+    got = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1).select("i", stem_terms("t").alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [["index", "index", "run"], [], None, ["run", "index"], ["2024", "poni", "poni"]]
+
+
 def zipf_corpus(spark, seed=1, n=160):
     rng = random.Random(seed)
     words = [f"word{i}" for i in range(40)]
