@@ -30,12 +30,13 @@ def structured_docs(lake: Lake, label: str = ""):
     )
 
 
-def lesson_docs(lake: Lake):
+def lesson_docs(lake: Lake, pages=None):
     """Documents as index input rows: the text is the lesson's own content."""
     doc = F.col("doc_id").cast("string")
     return lake.documents().select(
         F.col("lang").alias("course"), doc.alias("lesson"), F.concat(F.lit("Document "), doc).alias("title"),
-        F.lit(None).cast("string").alias("attachment_id"), F.lit("").alias("source_label"), F.array("text").alias("pages"),
+        F.lit(None).cast("string").alias("attachment_id"), F.lit("").alias("source_label"),
+        (F.array("text") if pages is None else pages).alias("pages"),
     )
 
 
@@ -201,15 +202,20 @@ HEADED = f"""
     placed AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM marks)"""
 
 
-def headed_docs(lake: Lake):
+def headed_pages():
+    """The document's text as one page of markdown."""
     short = lambda s: F.length(F.trim(s)).between(1, 60)
     marked = F.transform(
         F.split("text", "\n"),
         lambda s: F.when(short(s), F.concat(F.repeat(F.lit("#"), 1 + F.length(F.trim(s)) % 3), F.lit(" "), F.trim(s))).otherwise(s),
     )
+    return F.array(F.array_join(marked, "\n"))
+
+
+def headed_docs(lake: Lake):
     return lake.documents().select(
         "doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("source_label"),
-        F.lit(False).alias("plain"), F.array(F.array_join(marked, "\n")).alias("pages"),
+        F.lit(False).alias("plain"), headed_pages().alias("pages"),
     )
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passagelake.catalog import standins
+from passagelake.catalog.indexing import headed_pages, lesson_docs
 from passagelake.catalog.registry import query, r6
 from passagelake.catalog.sql_parts import mmr_parts, passage_parts
 from passagelake.config import preset
 from passagelake.functions import text as tx
 from passagelake.operators import dense, fusion, lexical, passages
+from passagelake.operators import indexing as ix
 from passagelake.operators import inverted_file as ivf
 from passagelake.operators.posting_blocks import PostingBlocks
 from passagelake.plans.retrieve import Models, frozen_baseline, retrieve
@@ -522,6 +524,56 @@ def retrieve_advanced(lake: Lake):
     return passage_rows(run_preset(lake, "advanced", judge=standins.overlap_judge).passages)
 
 
+LEGACY_COURSE = "en"
+
+
+def production_index(lake: Lake):
+    """The chunk table of the default preset: structured chunks with headers; one course is still in the legacy index."""
+    documents, config, basic = lesson_docs(lake, headed_pages()), preset("advanced"), preset("basic")
+    old = F.col("course") == LEGACY_COURSE
+    titles = documents.select("lesson", "title")
+
+    def table(docs, cfg):
+        chunks = ix.index_chunks(docs, cfg, standins.MODEL, "b1").withColumn("chunk_id", F.xxhash64("chunk_key"))
+        return ix.embed_chunks(ix.scan_chunks(chunks, titles), cfg, standins.hashed_counts, standins.MODEL)
+
+    return table(documents.where(~old), config).unionByName(table(documents.where(old), basic).withColumn("index_version", F.lit("legacy")))
+
+
+def production_run(lake: Lake):
+    """Every second question follows up on another one; its rewrite is recorded, but for every tenth, whose response is empty."""
+    follows = F.col("item_id") % 2 == 0
+    said = F.struct(F.substring_index("question", " ", 5).alias("question"), F.lit("An earlier answer.").alias("answer"))
+    empty = F.array().cast("array<struct<question:string,answer:string>>")
+    questions = lake.questions().withColumn("history", F.when(follows, F.array(said)).otherwise(empty))
+    text = F.when(F.col("item_id") % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit('"'), F.substring_index("question", " ", 12), F.lit('"')))
+    rewrites = lake.questions().where(follows).select("qid", F.lit("rewrite").alias("stage"), text.alias("text"))
+    models = Models(standins.embed, responses=rewrites, judge=standins.overlap_judge)
+    return retrieve(questions, lake.once("production", lambda: production_index(lake)), models, preset("advanced"))
+
+
+@query("R28_retrieve_default")
+def retrieve_default(lake: Lake):
+    """The default pipeline: structure, headers, task types, rewrites, stemmed BM25, rerank, MMR, neighbours, legacy route."""
+    return production_run(lake).passages.select(
+        "qid", "position", F.col("lesson").cast("long").alias("doc_id"), "chunk_index", r6("score").alias("score"), F.length("text").alias("chars"), F.md5("text").alias("digest")
+    )
+
+
+@query(
+    "R27_default_trace",
+    """
+    SELECT q.qid, CASE WHEN q.course = 'en' THEN 'basic (course not re-indexed yet)' ELSE 'advanced' END AS pipeline,
+      CASE WHEN q.course <> 'en' AND q.item_id % 2 = 0 AND q.item_id % 10 <> 0 THEN trim(regexp_replace(array_to_string(list_slice(string_split(q.question, ' '), 1, 12), ' '), '\\s+', ' ', 'g')) ELSE q.question END AS standalone,
+      0 AS paraphrases, CASE WHEN q.course = 'en' THEN 0 ELSE 1 + CAST(q.item_id % 2 = 0 AS INT) END AS model_calls,
+      CASE WHEN q.course <> 'en' AND q.item_id % 10 = 0 THEN 1 ELSE 0 END AS model_failures, false AS rerank_failed
+    FROM questions q""",
+)
+def default_trace(lake: Lake):
+    out = production_run(lake).trace
+    return out.select("qid", "pipeline", "standalone", F.size("paraphrases").alias("paraphrases"), "model_calls", "model_failures", "rerank_failed")
+
+
 @query(
     "R27_trace",
     """

@@ -169,9 +169,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, models: Models, config: di
     """
     if config["indexing"]["chunker"] == "basic":
         return _run(questions, chunks, models, config)
-    routes = course_routes(chunks, config)
+    routes = materialise(course_routes(chunks, config), "routes")  # a row per course
     old = routes.where(F.col("pipeline") == "basic").select("course")
-    if old.limit(1).count() == 0:
+    if old.isEmpty():
         return _run(questions, chunks, models, config)
     parts = []
     for kind, cfg in (("left_anti", config), ("left_semi", preset("basic"))):

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -256,6 +257,48 @@ def test_course_without_chunks_asks_no_model(spark):
     assert got == {"q0": (["apples that are green"], 1, 0), "q1": ([], 0, 0)}
 
 
+TOPICS = {
+    "closures": "# Closures\n\nA closure keeps variables of its outer function alive.\n\n## Counters\n\nA counter is a closure with a private number.",
+    "promises": "# Promises\n\nA promise settles once with a value or an error.\n\n## Chaining\n\nThen handlers are chained and errors skip to catch.",
+    "streams": "# Streams\n\nA stream delivers chunks of data over time.\n\n## Backpressure\n\nPausing readers signals backpressure to writers.",
+}
+
+
+# a preset takes a minute on a small machine: two that switch everything on between them stand for all, unless all are asked for
+@pytest.mark.parametrize("name", [n for n in LADDER if n != "basic"] if os.environ.get("ALL_PRESETS") else ["hyde", "advanced"])
+def test_presets_run_end_to_end(spark, name):
+    from passagelake.catalog import standins
+    from passagelake.operators import indexing as ix
+    from passagelake.plans.retrieve import Models, retrieve
+
+    config, basic = preset(name), preset("basic")
+    names = "course string, lesson string, title string, attachment_id string, source_label string, pages array<string>"
+    docs = spark.createDataFrame([(c, f"{c}-{t}", t.title(), None, "", [text]) for c in ("new", "old") for t, text in TOPICS.items()], names)
+
+    def table(rows, cfg, version=None):
+        chunks = ix.index_chunks(rows, cfg, standins.MODEL, "b").withColumn("chunk_id", F.xxhash64("chunk_key"))
+        full = ix.embed_chunks(ix.scan_chunks(chunks, docs.select("lesson", "title")), cfg, standins.hashed_counts, standins.MODEL)
+        return full.withColumn("index_version", F.lit(version)) if version else full
+
+    chunks = table(docs.where("course = 'new'"), config).unionByName(table(docs.where("course = 'old'"), basic, "legacy"))
+    history = "array<struct<question:string,answer:string>>"
+    asked = [("new", "q0", "And the counters?", [("What is a closure?", "It keeps variables.")]), ("new", "q1", "How do readers signal backpressure?", []), ("old", "q2", "How are then handlers chained?", [])]
+    questions = spark.createDataFrame(asked, f"course string, qid string, question string, history {history}")
+    responses = [("q0", "rewrite", "How does a closure make private counters?"), ("q1", "paraphrase", '["pausing readers of a stream"]'), ("q0", "hyde", "A counter is a closure that keeps a private number alive.")]
+    recorded = spark.createDataFrame(responses, "qid string, stage string, text string")
+    out = retrieve(questions, chunks, Models(standins.embed, responses=recorded, judge=standins.overlap_judge), config)
+    trace, ranked = {r.qid: r for r in out.trace.collect()}, out.ranked.orderBy("rank").collect()
+    assert {q: r.pipeline for q, r in trace.items()} == {"q0": name, "q1": name, "q2": "basic (course not re-indexed yet)"}
+    assert (trace["q0"].standalone == responses[0][2]) == config["query"]["rewrite"]
+    assert trace["q1"].paraphrases == (["pausing readers of a stream"] if config["query"]["multi_query"] else [])
+    lesson = {r.chunk_id: r.lesson for r in chunks.select("chunk_id", "lesson").collect()}
+    first = {q: next(lesson[r.chunk_id] for r in ranked if r.qid == q) for q in trace}
+    assert first["q1"] == "new-streams" and first["q2"] == "old-promises"
+    assert first["q0"] == "new-closures" or not config["query"]["rewrite"]
+    assert all((lesson[r.chunk_id][:3] == "old") == (r.qid == "q2") for r in ranked)
+    assert {r.qid for r in out.passages.collect()} <= {r.qid for r in ranked if r.in_context}
+
+
 def vectors(spark, courses, size=16, seed=4):
     rng = random.Random(seed)
     rows = [(c, k * 1000 + i, [rng.gauss(0, 1) for _ in range(size)]) for k, (c, n) in enumerate(courses) for i in range(n)]
