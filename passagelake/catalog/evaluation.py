@@ -101,13 +101,17 @@ def split(lake: Lake):
 def dataset_problems(lake: Lake):
     """Flags that contradict the evidence, repeated ids and spans that are only nearly present."""
     evidence = gold(lake)
-    spans = evidence.groupBy("qid").agg(F.collect_list(F.struct(F.col("source").alias("lesson"), "span")).alias("gold"))
-    rows = dataset(lake, evidence).join(spans, "qid", "left").select(
-        F.col("position").cast("string").alias("id"), "category", "question", (F.col("position") % 2 == 0).alias("answerable"),
-        F.array().cast("array<struct<question:string,answer:string>>").alias("history"), "gold",
+    rows = dataset(lake, evidence).select(
+        "qid", F.col("position").cast("string").alias("id"), "category", "question", (F.col("position") % 2 == 0).alias("answerable"),
+        F.array().cast("array<struct<question:string,answer:string>>").alias("history"),
     )
+    # an item asked in several courses is one id several times: problems are found by question and reported by id
+    ids = rows.select("qid", "id")
+    spans = evidence.select(F.col("qid").alias("id"), "source", "span")
     sources = lake.documents().select(F.col("doc_id").cast("string").alias("source"), "text")
-    return ev.dataset_problems(rows, sources)
+    by_question = ev.dataset_problems(rows.drop("id").withColumnRenamed("qid", "id"), sources, spans)
+    repeated = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("problem"))
+    return by_question.withColumnRenamed("id", "qid").join(ids, "qid").select("id", "problem").unionByName(repeated)
 
 
 @query(

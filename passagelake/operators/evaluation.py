@@ -43,12 +43,22 @@ def split_dev_test(questions: DataFrame, order: str = "position", width: int = 6
     return placed.withColumn("split", F.when((F.col("_i") - 1) % 5 < 2, F.lit("dev")).otherwise(F.lit("test"))).drop("_i")
 
 
-def dataset_problems(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """``questions(id, category, question, answerable, history, gold)`` → ``id, problem`` rows."""
+def dataset_problems(questions: DataFrame, sources: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """``questions(id, category, question, answerable, history, gold)`` → ``id, problem`` rows.
+
+    Gold may come as its own table ``spans(id, source, span)`` instead of a column: a question's spans then never stand in one row.
+    Sources are joined by the hashes of their grams, made once for each source.
+    """
+    if spans is None:
+        spans = questions.select("id", F.explode("gold").alias("g")).select("id", F.col("g.lesson").alias("source"), F.col("g.span").alias("span"))
+        questions = questions.withColumn("_n_gold", F.size(F.coalesce("gold", F.array())))
+    else:
+        held = spans.groupBy("id").agg(F.count("*").alias("_n_gold"))
+        questions = questions.join(held, "id", "left").withColumn("_n_gold", F.coalesce("_n_gold", F.lit(0)))
     duplicates = (
         questions.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id", F.lit("duplicate id").alias("problem"))
     )
-    n_gold, n_history = F.size(F.coalesce("gold", F.array())), F.size(F.coalesce("history", F.array()))
+    n_gold, n_history = F.col("_n_gold"), F.size(F.coalesce("history", F.array()))
     rules = F.array(
         F.when(F.trim(F.coalesce("question", F.lit(""))) == "", F.lit("empty question")),
         F.when(F.col("answerable") & (n_gold <= 0), F.lit("answerable question has no gold spans")),
@@ -56,14 +66,11 @@ def dataset_problems(questions: DataFrame, sources: DataFrame) -> DataFrame:
         F.when((F.col("category") == "followup") & (n_history <= 0), F.lit("follow-up has no history")),
     )
     broken = questions.select("id", F.explode(F.filter(rules, lambda p: p.isNotNull())).alias("problem"))
-    spans = questions.select("id", F.posexplode("gold").alias("gold_no", "g")).select(
-        "id", "gold_no", F.col("g.lesson").alias("source"), F.col("g.span").alias("span")
-    )
-    known = sources.select("source", F.col("text").alias("_text"))
-    matched = spans.join(known, "source", "left")
-    gold_rules = F.when(F.col("_text").isNull(), F.lit("unknown lesson")).when(
-        coverage(F.col("span"), F.col("_text")) < 1, F.lit("gold span not found verbatim")
-    )
+    known = sources.select("source", gram_hashes(match_words(F.col("text"))).alias("_known"))
+    asked = spans.select("id", "source", gram_hashes(match_words(F.col("span"))).alias("_grams"))
+    verbatim = (F.size("_grams") > 0) & (F.size(F.array_except("_grams", "_known")) == 0)
+    matched = asked.join(known, "source", "left")
+    gold_rules = F.when(F.col("_known").isNull(), F.lit("unknown lesson")).when(~verbatim, F.lit("gold span not found verbatim"))
     bad_gold = matched.select("id", gold_rules.alias("problem")).where(F.col("problem").isNotNull())
     return duplicates.unionByName(broken).unionByName(bad_gold)
 

@@ -132,3 +132,24 @@ def test_covering_pairs_against_brute_force(spark, threshold):
                 want[s, t] = len(grams(a) & grams(b)) / len(grams(a))
     found = ev.covering_pairs(spark.createDataFrame(spans, "s long, span string"), spark.createDataFrame(texts, "t long, text string"), ["s"], ["t"], threshold)
     assert {(r.s, r.t): r.coverage for r in found.collect()} == want and any(s == 30 for s, _ in want)
+
+
+def test_dataset_problems_from_nested_and_flat_gold(spark):
+    names = "id string, category string, question string, answerable boolean, history array<struct<question:string,answer:string>>, gold array<struct<lesson:string,span:string>>"
+    rows = [
+        ("1", "direct", "q?", True, [], [("l", "the event loop drains the queue")]),
+        ("2", "direct", " ", True, [], []),
+        ("3", "followup", "q?", False, [], [("l", "timers run first")]),
+        ("4", "direct", "q?", True, None, [("l", "timers never run first"), ("none", "x"), ("l", "...")]),
+        ("5", "direct", "q?", False, [], None),
+        ("5", "direct", "q?", False, [], None),
+    ]
+    questions = spark.createDataFrame(rows, names)
+    sources = spark.createDataFrame([("l", "Timers run first. Then the event loop drains the queue.")], "source string, text string")
+    want = sorted([
+        ("2", "empty question"), ("2", "answerable question has no gold spans"), ("3", "unanswerable question must not have gold spans"),
+        ("3", "follow-up has no history"), ("4", "gold span not found verbatim"), ("4", "gold span not found verbatim"), ("4", "unknown lesson"), ("5", "duplicate id"),
+    ])
+    flat = questions.select("id", F.explode("gold").alias("g")).select("id", F.col("g.lesson").alias("source"), F.col("g.span").alias("span"))
+    assert sorted(map(tuple, ev.dataset_problems(questions, sources).collect())) == want
+    assert sorted(map(tuple, ev.dataset_problems(questions.drop("gold"), sources, flat).collect())) == want

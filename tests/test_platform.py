@@ -119,7 +119,7 @@ def test_every_query_and_its_sql(spark):
     con = duckdb.connect()
     for name in os.listdir(folder):
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{folder}/{name}'")
-    for key in ("A1_lesson_corpus", "I1_paragraph_chunks", "I5_heading_paths", "R5_bm25_top_k", "R8_dense_top_k", "L12_progress", "L20_threads", "E14_threshold_sweep", "I16_snapshots", "S1_incremental_index", "L25_cascade_counts", "R17_rerank_merge", "R27_trace"):
+    for key in ("A1_lesson_corpus", "I1_paragraph_chunks", "I5_heading_paths", "R5_bm25_top_k", "R8_dense_top_k", "L12_progress", "L20_threads", "E14_threshold_sweep", "I16_snapshots", "S1_incremental_index", "L25_cascade_counts", "L25_cascade_remaining", "I3_sentences", "E5_covering_pairs", "R10_approximate_top_k", "R17_rerank_merge", "R27_trace"):
         mine = known[key](spark, folder)
         theirs = con.sql(sql[key])
         columns = sorted(mine.columns)
