@@ -267,7 +267,16 @@ def test_a_third_text_does_not_hide_a_passage(make, prose):
 def test_seeds_of_many_texts_meet_in_ranges(spark):
     rows = [(7, (k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, k, k) for k in range(1, 1500)] + [(8, 5, 1, 1), (9, 5, 2, 2), (9, 6, 3, 3)]
     seeds = spark.createDataFrame(rows + rows[:700], "seed long, key long, pos int, main int")
-    met = substring_dedup._met(seeds).collect()
+
+    def packed(batches):  # few rows at a time, as of many tasks
+        for b in batches:
+            for at in range(0, b.num_rows, 300):
+                seed, key, pos, main = (b.column(c).slice(at, 300).to_numpy() for c in ("seed", "key", "pos", "main"))
+                names, texts = np.unique(key, return_inverse=True)
+                yield substring_dedup.blocks(seed.astype(np.uint64), texts, pos, main, names, 3)
+
+    blocks = seeds.mapInArrow(packed, "bucket long, block binary")
+    met = substring_dedup._met(substring_dedup._shared(blocks, 3)).collect()
     keys = sorted(k for s, k, _, _ in rows if s == 7)
     hot = [r for r in met if r.key not in (5, 6)]
     assert sorted(r.key for r in hot) == keys[1:]
