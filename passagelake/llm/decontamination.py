@@ -3,7 +3,7 @@
 Seeds are runs of ``seed`` words that a document shares with a benchmark text. They are found by hash in two steps: a bitmap of
 fixed size, built from all benchmark runs, drops document runs that cannot match before anything is shuffled; the rest is joined
 exactly. A pair (document, item) goes on if its shared runs could cover enough of the item. Pairs are then tiled: the longest
-common runs that do not overlap earlier tiles are marked first (found with rolling hashes, checked word by word), down to runs of
+common runs that do not overlap earlier tiles are marked first (found by running Karp-Rabin, checked word by word), down to runs of
 ``seed`` words. A document is contaminated if the tiles cover ``coverage`` of an item's words, whatever their order.
 """
 
@@ -102,40 +102,78 @@ def candidate_pairs(docs: DataFrame, items: DataFrame, seed: int = SEED, coverag
     )
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+class _Free:
+    """Words of a text of which some are marked, and the running Karp-Rabin hashes of the windows that hold no marked word."""
+
+    def __init__(self, words: np.ndarray, marked: np.ndarray):
+        self.words, self.marked = words, marked
+        self.sums = np.append(np.uint64(0), np.cumsum(words.astype(np.uint64) * _powers(_BASE, len(words))[:-1], dtype=np.uint64))
+        self.inverse = _powers(_INVERSE, len(words))
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(start, hash)`` of the unmarked windows of ``length`` words."""
+        if length > len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        before = np.append(0, np.cumsum(self.marked))
+        at = np.flatnonzero(before[length:] == before[:-length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.inverse[at]
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """``(doc start, item start, length)`` of greedy string tiling, longest first; ties go to the earliest item, then doc start.
 
-    Lengths are tried from the longest common run downwards; runs are looked up by hash and checked word by word.
+    The longest unmarked common run is found by halving: of each length tried, the hashes of all unmarked windows of both texts
+    are compared. All tiles of that length are marked, words compared one by one, before a shorter length is looked for. An item
+    of n words has tiles of at most about sqrt(2 n) lengths, so repetitive texts cost no more than that many passes.
     """
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    foreign = ~np.isin(doc, item)
+    # of words that the item lacks one is left between the stretches of others
+    kept = np.flatnonzero(~foreign | np.append(False, ~foreign[:-1])[: len(doc)])
+    own, other = _Free(doc[kept], foreign[kept]), _Free(item, ~np.isin(item, doc))
     out: list[tuple[int, int, int]] = []
-    heads: dict[tuple, list[int]] = {}
-    wanted = {tuple(item[j : j + least].tolist()) for j in range(len(item) - least + 1)}
-    rare = np.isin(doc, item)
-    for p in np.flatnonzero(rare[: max(0, len(doc) - least + 1)]).tolist():
-        key = tuple(doc[p : p + least].tolist())
-        if key in wanted:
-            heads.setdefault(key, []).append(p)
-    while True:
-        best: list[tuple[int, int]] = []
-        longest = least - 1
-        for j in range(len(item) - least + 1):
-            if not free_i[j : j + least].all():
+    longest = min(len(kept), len(item))
+    while longest >= least:
+        low, high = least - 1, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            if np.isin(other.windows(middle)[1], own.windows(middle)[1]).any():
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
+            break
+        places, hashes = own.windows(low)
+        order = np.argsort(hashes, kind="stable")
+        places, hashes = places[order], hashes[order]
+        starts, wanted = other.windows(low)
+        firsts, lasts = np.searchsorted(hashes, wanted), np.searchsorted(hashes, wanted, "right")
+        passed: dict[int, int] = {}
+        for j, first, last in zip(starts.tolist(), firsts.tolist(), lasts.tolist()):
+            if first == last or other.marked[j : j + low].any():
                 continue
-            for p in heads.get(tuple(item[j : j + least].tolist()), ()):
-                k = 0
-                while j + k < len(item) and p + k < len(doc) and free_i[j + k] and free_d[p + k] and item[j + k] == doc[p + k]:
-                    k += 1
-                if k > longest:
-                    best, longest = [(p, j)], k
-                elif k == longest and k >= least:
-                    best.append((p, j))
-        if not best:
-            return out
-        for p, j in sorted(best, key=lambda x: (x[1], x[0])):
-            if free_d[p : p + longest].all() and free_i[j : j + longest].all():
-                free_d[p : p + longest] = free_i[j : j + longest] = False
-                out.append((p, j, longest))
+            k = passed.get(first, first)
+            while k < last and own.marked[places[k] : places[k] + low].any():
+                k += 1
+            passed[first] = k  # a window once marked stays so
+            while k < last:
+                p = int(places[k])
+                if not own.marked[p : p + low].any() and (own.words[p : p + low] == item[j : j + low]).all():
+                    own.marked[p : p + low] = other.marked[j : j + low] = True
+                    out.append((int(kept[p]), j, low))
+                    break
+                k += 1
+        longest = low - 1
+    return out
 
 
 def tiled(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:

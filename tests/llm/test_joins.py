@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -321,3 +322,43 @@ def test_winnowing_keeps_a_seed_of_every_window(prose):
             own, kept = hashes[owner == d], set(pos[text == d].tolist())
             expected = {int(k + np.argmin(own[k : k + 20])) for k in range(max(1, len(own) - 19))} if len(own) else set()
             assert kept == expected
+
+
+def brute_tiling(doc, item, least):
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best, longest = [], least
+        for j in range(len(item)):
+            for p in range(len(doc)):
+                k = 0
+                while j + k < len(item) and p + k < len(doc) and free_i[j + k] and free_d[p + k] and item[j + k] == doc[p + k]:
+                    k += 1
+                if k > longest:
+                    best, longest = [], k
+                if k == longest:
+                    best.append((p, j))
+        if not best:
+            return out
+        for p, j in best:
+            if all(free_d[p : p + longest]) and all(free_i[j : j + longest]):
+                free_d[p : p + longest] = free_i[j : j + longest] = [False] * longest
+                out.append((p, j, longest))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=24), st.integers(1, 4))
+def test_tiles_are_those_of_greedy_string_tiling(doc, item, least):
+    assert decontamination.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), least) == brute_tiling(doc, item, least)
+
+
+def test_tiles_of_repetitive_texts_end():
+    start = time.perf_counter()
+    same = np.full(200_000, 7, np.uint64)
+    assert decontamination.tiles(same, np.full(400, 7, np.uint64), 4) == [(0, 0, 400)]
+    rng = np.random.default_rng(1)
+    two = rng.integers(0, 2, 200_000).astype(np.uint64)
+    found = decontamination.tiles(two, rng.integers(0, 2, 400).astype(np.uint64), 4)
+    assert sum(n for _, _, n in found) > 390
+    # few lengths, many tiles
+    assert len(decontamination.tiles(np.tile(np.array([1, 2, 3, 4, 9], np.uint64), 40_000), np.tile(np.array([1, 2, 3, 4, 8], np.uint64), 80), 4)) == 80
+    assert time.perf_counter() - start < 10
