@@ -132,19 +132,21 @@ class SuffixAutomaton:
 def chained(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
     """``(text start, text end, covered template words)`` of chains of ``(text start, template start, length)``.
 
-    A match extends the best chain that ends before it in text and template, with at most ``gap`` words between. Chains are
-    taken best first, without using a match twice.
+    A match extends the best chain that ends before it in text and template, with at most ``gap`` words between; of equally
+    good ones the last. Only matches that end within ``gap`` words before it are looked at, so a text of many matches costs a
+    multiple of its length. Chains are taken best first, without using a match twice.
     """
     matches = sorted(set(matches))
     best, back = [], []
+    ends: dict[int, list[int]] = {}  # matches by the text position at which they end
     for i, (x, y, n) in enumerate(matches):
         top, via = 0, -1
-        for j in range(i - 1, -1, -1):
-            u, v, m = matches[j]
-            if 0 <= x - u - m <= gap and 0 <= y - v - m <= gap and best[j] > top:
+        for j in (j for end in range(x - gap, x + 1) for j in ends.get(end, ())):
+            if 0 <= y - matches[j][1] - matches[j][2] <= gap and (best[j], j) > (top, via):
                 top, via = best[j], j
         best.append(top + n)
         back.append(via)
+        ends.setdefault(x + n, []).append(i)
     out, used = [], set()
     for i in sorted(range(len(matches)), key=lambda k: (-best[k], k)):
         if i in used:

@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from passagelake.llm import hmm, license_scan, lm_scoring, packing, pii, quality, toxicity
 from passagelake.llm.queries import tokenizer_path
@@ -291,3 +294,35 @@ def test_patterns_discover_unseen_identifiers(make):
     rows += [(50, "some words then hotline 555-1234567 ends"), (51, "other part 777-7654321 number")]
     got = by_id(pii.digest(pii.personal_data(make(rows))))
     assert got[50].spans == "phone:24:35" and got[50].n_phone == 0 and got[51].spans == ""
+
+
+def brute_chained(matches, gap):
+    matches = sorted(set(matches))
+    best, back = [], []
+    for i, (x, y, n) in enumerate(matches):
+        fits = [(best[j], j) for j in range(i) if 0 <= x - matches[j][0] - matches[j][2] <= gap and 0 <= y - matches[j][1] - matches[j][2] <= gap]
+        top, via = max(fits, default=(0, -1))
+        best.append(top + n)
+        back.append(via)
+    out, used = [], set()
+    for i in sorted(range(len(matches)), key=lambda k: (-best[k], k)):
+        if i not in used:
+            chain, k = [], i
+            while k != -1 and k not in used:
+                used.add(k)
+                chain.append(matches[k])
+                k = back[k]
+            out.append((chain[-1][0], matches[i][0] + matches[i][2], sum(m[2] for m in chain)))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(1, 6)), max_size=20), st.integers(0, 8))
+def test_licence_chains(matches, gap):
+    assert license_scan.chained(matches, gap) == brute_chained(matches, gap)
+
+
+def test_licence_chains_of_a_repetitive_text_end():
+    start = time.perf_counter()
+    found = license_scan.chained([(5 * i, 0, 5) for i in range(200_000)], 8)
+    assert len(found) == 200_000 and time.perf_counter() - start < 15
