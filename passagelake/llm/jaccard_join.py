@@ -9,8 +9,8 @@ d <= r. The join runs in these steps:
    shuffled. A member leaves a region where its rank shows that no partner can be near, and regions with the same members are
    one region. Sets also meet in the region of their smallest n-gram in two random orders; these are tried first, once.
 2. Recursion. Each region that holds more than one component picks pivot documents, those with the fewest n-grams of their own
-   first, as they lie in the middle of a group of near copies; more in each round. Exact distances to the
-   pivots are computed once for each different pair. A pivot is done after its round. A member x in the middle pivot's component stays
+   first, as they lie in the middle of a group of near copies; more in each round. Distances to the pivots are
+   computed once for each different pair: bounded from below by parities of the sets, exactly where the bound leaves a link open. A pivot is done after its round. A member x in the middle pivot's component stays
    only if the triangle inequality leaves a link open: if some member y outside that component has d(y, p) <= d(x, p) + r. Such
    boundary members are carried into the next round with the members outside.
 3. Links are joined to components; every row gets its class's component.
@@ -153,8 +153,27 @@ def _regions(rows: DataFrame, top: int, bottom: int) -> DataFrame:
     return materialise(members.join(depth, "cls"), "regions")
 
 
-def _stored_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``cls, members``: the sets of the given classes (``cls, at``: one document's id and text hash), sorted 64-bit hashes as bytes."""
+def _parities(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set, one bit for every remainder of its hashes: whether an odd number of them have it; at least two bits a hash."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits = 1 << max(6, (2 * (b - a) - 1).bit_length())
+        slots = (hashes[a:b] & np.uint64(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that differ, the longer row folded to the shorter: two sets differ in at least so many members."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sets_of(docs: DataFrame, places: DataFrame, n: int, whole: bool) -> DataFrame:
+    """``cls, n, content`` of the given classes (``cls``, and ``_d, _k``: id and text hash of one document): the sorted 64-bit hashes or their parities."""
 
     def run(batches):
         done: set[int] = set()  # repeated rows bring a set again
@@ -162,15 +181,35 @@ def _stored_sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
             for at, hashes, bounds in _sets(b.column("text"), n):
                 cls = b.column("cls").slice(at, len(bounds) - 1)
                 fresh = [c not in done and not done.add(c) for c in cls.to_pylist()]
-                yield pa.record_batch([cls, binaries(hashes, bounds)], ["cls", "members"]).filter(pa.array(fresh, pa.bool_()))
+                content = binaries(hashes, bounds) if whole else _parities(hashes, bounds)
+                yield pa.record_batch([cls, pa.array(np.diff(bounds)), content], ["cls", "n", "content"]).filter(pa.array(fresh, pa.bool_()))
 
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
-    picked = docs.join(classes.select("cls", F.col("at.doc_id").alias("_d"), F.col("at.key").alias("_k")), same)
-    return picked.select("cls", "text").mapInArrow(run, "cls long, members binary")
+    return docs.join(places, same).select("cls", "text").mapInArrow(run, "cls long, n long, content binary").dropDuplicates(["cls"])
+
+
+def _with_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with content and size of both of their sets."""
+    side = lambda cls, name: sets.select(F.col("cls").alias(cls), F.col("content").alias(name), F.col("n").alias(f"n_{cls}"))
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right", "n_a", "n_b")
+
+
+def _bounds(pairs: DataFrame, parities: DataFrame, top: int, bottom: int) -> DataFrame:
+    """``a, b, most, near``: what two classes share at most by the parities of their sets, and whether they may link at that."""
 
+    def run(batches):
+        for b in batches:
+            left, right = b.column("left"), b.column("right")
+            sizes = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
+            apart = [_differing(np.frombuffer(left[i].as_buffer(), np.uint8), np.frombuffer(right[i].as_buffer(), np.uint8)) for i in range(b.num_rows)]
+            most = (sizes - np.array(apart, np.int64)) // 2
+            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(most), pa.array(bottom * most >= top * (sizes - most))], ["a", "b", "most", "near"])
+
+    return _with_sides(pairs, parities).mapInArrow(run, "a long, b long, most long, near boolean")
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, common`` for the given pairs of classes."""
+
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, common`` of pairs of classes by their whole sets."""
 
     def run(batches):
         for b in batches:
@@ -182,9 +221,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()))
             yield pa.record_batch([b.column("a"), b.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"])
 
-    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("left")), "a")
-    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, common long").distinct()
+    return _with_sides(pairs, sets).mapInArrow(run, "a long, b long, common long")
 
 
 #: Pivots of a region in the early round, in the first round of the windows, and how many times more in each next one.
@@ -217,9 +254,10 @@ def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
 class _Join:
     """State of the recursion: computed distances and the components so far."""
 
-    def __init__(self, sets: DataFrame, top: int, bottom: int):
-        spark = sets.sparkSession
-        self.sets, self.top, self.bottom = sets, top, bottom
+    def __init__(self, docs: DataFrame, places: DataFrame, n: int, top: int, bottom: int):
+        spark = docs.sparkSession
+        self.docs, self.places, self.n, self.top, self.bottom = docs, places, n, top, bottom
+        self.parities = materialise(_sets_of(docs, places, n, False), "parities")
         self.label = spark.createDataFrame([], "cls long, component long")
         self.known: DataFrame | None = None
         self.links = spark.createDataFrame([], "a long, b long")
@@ -228,6 +266,17 @@ class _Join:
         """``cls, component`` of all links."""
         return _merged(self.label, self.links)
 
+    def _distances(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, common, exact``. Parities, a thirtieth of the sets, tell most pairs that cannot link: these get their bound as ``common``.
+
+        Whole sets are made again from the texts, of the classes of the other pairs only; they are never stored for all.
+        """
+        bounds = materialise(_bounds(pairs, self.parities, self.top, self.bottom), "bounds")
+        near = bounds.where("near").select("a", "b")
+        ends = materialise(self.places.join(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"), "ends")
+        exact = _common(near, materialise(_sets_of(self.docs, ends, self.n, True), "sets")).withColumn("exact", F.lit(True))
+        return exact.unionByName(bounds.where("not near").select("a", "b", F.col("most").alias("common"), F.lit(False).alias("exact")))
+
     def round(self, active: DataFrame, pivots: int) -> DataFrame | None:
         """Measure ``active`` members against up to ``pivots`` pivots per region; returns what stays, None if nothing is active."""
         # of each of so many slots of a region, the class nearest the middle; which classes share a slot changes with every round
@@ -250,11 +299,11 @@ class _Join:
         asked = met.where(open_).select("a", "b").distinct()
         if self.known is not None:
             asked = asked.join(self.known, ["a", "b"], "left_anti")
-        found = materialise(_distances(asked, self.sets), "distances")
+        found = materialise(self._distances(asked), "distances")
         self.known = found if self.known is None else self.known.unionByName(found)
         joined = met.join(self.known, ["a", "b"], "left")
         union = F.col("n") + F.col("pivot_n") - F.col("common")
-        measured = materialise(joined.withColumns({"d": 1 - F.col("common") / union, "linked": bottom * F.col("common") >= top * union}), "measured")
+        measured = materialise(joined.withColumns({"low": 1 - F.col("common") / union, "linked": F.col("exact") & (bottom * F.col("common") >= top * union)}), "measured")
         links = materialise(measured.where("linked").select("a", "b").distinct(), "links")
         self.links = self.links.unionByName(links)
         # labels only save work here, so one round of merging is enough until the end
@@ -270,9 +319,9 @@ class _Join:
             .join(label.select(F.col("cls").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
         )
         inside = F.coalesce("component", "cls") == F.coalesce("pivot_component", "pivot")
-        judged = named.select("region", "cls", "n", "rank", "depth", "centre", "pivot", "d", inside.alias("inside"))
-        # a pair that was not measured does not link, so its distance is over the radius
-        outside = judged.where("centre and not inside").groupBy("region").agg(F.min(F.coalesce("d", F.lit(radius))).alias("out"))
+        judged = named.select("region", "cls", "n", "rank", "depth", "centre", "pivot", "low", F.when(F.col("exact"), F.col("low")).alias("d"), inside.alias("inside"))
+        # a pair that was not measured does not link, so its distance is over the radius; a bounded one is at least at its bound
+        outside = judged.where("centre and not inside").groupBy("region").agg(F.min(F.coalesce("low", F.lit(radius))).alias("out"))
         gone = (F.col("cls") == F.col("pivot")) | (F.col("centre") & F.col("inside") & (F.col("out").isNull() | F.coalesce(F.col("out") > F.col("d") + radius + 1e-9, F.lit(False))))
         left = judged.join(outside, "region", "left").withColumn("gone", gone)
         left = left.groupBy("region", "cls").agg(F.min("n").alias("n"), F.min("rank").alias("rank"), F.min("depth").alias("depth"), F.max("gone").alias("gone")).where("not gone")
@@ -283,8 +332,8 @@ def _class_components(docs: DataFrame, scanned: DataFrame, n: int, top: int, bot
     """``cls, component`` of all classes that link with another."""
     members = _regions(_window_rows(docs, n, _levels(scanned), top, bottom), top, bottom)
     first = scanned.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"))
-    sets = materialise(_stored_sets(docs, members.select("cls").distinct().join(first, "cls"), n), "sets")
-    join, pivots = _Join(sets, top, bottom), PIVOTS
+    places = members.select("cls").distinct().join(first, "cls").select("cls", F.col("at.doc_id").alias("_d"), F.col("at.key").alias("_k"))
+    join, pivots = _Join(docs, materialise(places, "places"), n, top, bottom), PIVOTS
     join.round(_labelled(members.where("early"), join.label), EARLY_PIVOTS)
     left = members.where("not early")
     while left is not None:
@@ -293,6 +342,20 @@ def _class_components(docs: DataFrame, scanned: DataFrame, n: int, top: int, bot
     return join.components()
 
 
+def _with_components(docs: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
+    """``doc_id, key, n, component, component_id`` of every row; ``key`` is the hash of the text, ``component`` null for empty sets."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
+    scanned = materialise(_scan(docs, words), "scan")
+    rows = scanned.where("block is null").select("doc_id", "key", "n", "cls")
+    label = _class_components(docs, scanned, words, top, bottom)
+    first = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    named = first.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(smallest, "component").select("cls", "component", "component_id")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(of_class, "cls", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"), own.alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -301,22 +364,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, top: int = 85, bottom: i
     with nothing and is its own component. Repeated rows and equal texts are one class. A row without doc_id is compared like
     any other but never names a component; a component without any doc_id has a null id. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
-    scanned = materialise(_scan(docs, words), "scan")
-    rows = scanned.where("block is null").select("doc_id", "n", "cls")
-    label = _class_components(docs, scanned, words, top, bottom)
-    first = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    named = first.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(smallest, "component").select("cls", "component_id")
-    return rows.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    return _with_components(docs, words, top, bottom).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_per_group(docs: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component, one row each; rows without doc_id stay."""
-    kept = jaccard_components(docs, words, top, bottom).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    own = docs.select(F.struct("*").alias("_all"), F.col("doc_id").cast("long").alias("_doc"))
-    known = own.where("_doc is not null").join(materialise(kept, "kept"), F.col("_doc") == F.col("_d"), "left_semi")
-    return known.unionByName(own.where("_doc is null")).select("_all.*")
+    """One row of ``docs`` for each component: of its smallest doc_id and, should texts share that, of the smallest hash of the text.
+
+    Of rows repeated in doc_id and text one stays. Texts without words are groups of their own. Rows without doc_id stay.
+    """
+    found = _with_components(docs, words, top, bottom).where("doc_id is not null")
+    # a text without words: its own group by id and text
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.struct("doc_id", "key")).alias("empty")]
+    least = found.groupBy(*group).agg(F.min(F.struct("doc_id", "key")).alias("p")).select(F.col("p.doc_id").alias("_d"), F.col("p.key").alias("_k"))
+    copies = found.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.count("*").alias("_copies"))
+    kept = materialise(copies.join(least.distinct(), ["_d", "_k"], "left_semi"), "kept")
+    own = docs.select(F.struct("*").alias("_all"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_key"))
+    known = own.join(kept, (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")))
+    repeated = known.where("_copies > 1").groupBy("_d", "_k").agg(F.min_by("_all", F.hash("_all")).alias("_all"))
+    return known.where("_copies = 1").select("_all").unionByName(repeated.select("_all")).unionByName(own.where("_doc is null").select("_all")).select("_all.*")

@@ -68,10 +68,25 @@ def test_jaccard_stage_and_empty_table(make, prose):
     rows = corpus(prose)
     kept = jaccard_join.one_per_group(make(rows), 5, 4, 5)
     assert kept.columns == make([]).columns
-    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_components(rows, 5, 4, 5)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 5, 4, 5)})
+    text = prose(20, 4)
+    again = [(1, text), (1, text), (2, text), (3, None), (3, None), (3, ""), (None, text), (None, text), (4, prose(20, 8))]
+    left = sorted((str(r.doc_id), r.text or "") for r in jaccard_join.one_per_group(make(again), 5, 4, 5).collect())
+    assert left == sorted([("1", text), ("3", ""), ("3", ""), ("4", prose(20, 8)), ("None", text), ("None", text)])
     assert jaccard_join.jaccard_components(make([])).count() == 0
 
 
+def test_parities_bound_the_difference():
+    rng = random.Random(9)
+    for _ in range(300):
+        draw = lambda: sorted({rng.randrange(40) * 0x9E3779B97F4A7C15 % 2**64 for _ in range(rng.choice([1, 3, 30, 200]))})
+        x, y = draw(), draw()
+        both = np.array(x + y, np.uint64)
+        rows = jaccard_join._parities(both, np.array([0, len(x), len(x) + len(y)]))
+        least = jaccard_join._differing(*[np.frombuffer(r.as_buffer(), np.uint8) for r in rows])
+        assert least <= len(set(x) ^ set(y)) and (x != y or least == 0)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
