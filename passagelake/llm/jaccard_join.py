@@ -48,8 +48,20 @@ def _class_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size == 0, 0, mix(total[bounds[1:]] - total[bounds[:-1]] + size)).view(np.int64)
 
 
+def _parities(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set, one bit for every remainder of its hashes: whether an odd number of them have it; at least two bits a hash."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits = 1 << max(6, (2 * (b - a) - 1).bit_length())
+        slots = (hashes[a:b] & np.uint64(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the texts: a row ``doc_id, key, n, cls`` for each document and, per task, rows ``block, counts`` of the sketch."""
+    """One pass over the texts: a row ``doc_id, key, n, cls, parity`` for each document and, per task, rows ``block, counts`` of the sketch."""
+
+    names = ["doc_id", "key", "n", "cls", "parity", "block", "counts"]
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.int32)
@@ -58,15 +70,16 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 counts += np.bincount((hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS).astype(np.int32)
                 rows = len(bounds) - 1
                 yield pa.record_batch(
-                    [b.column("doc_id").slice(at, rows), b.column("key").slice(at, rows), pa.array(np.diff(bounds)), pa.array(_class_ids(hashes, bounds)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    ["doc_id", "key", "n", "cls", "block", "counts"],
+                    [b.column("doc_id").slice(at, rows), b.column("key").slice(at, rows), pa.array(np.diff(bounds)), pa.array(_class_ids(hashes, bounds)), _parities(hashes, bounds), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                    names,
                 )
         parts = counts.reshape(_BLOCKS, -1)
         full = [i for i in range(_BLOCKS) if parts[i].any()]
         none = pa.nulls(len(full), pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["doc_id", "key", "n", "cls", "block", "counts"])
+        sums = pa.array([parts[i].tobytes() for i in full], pa.binary())
+        yield pa.record_batch([none, none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full, pa.int32()), sums], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, cls long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, cls long, parity binary, block int, counts binary")
 
 
 def _levels(scanned: DataFrame) -> np.ndarray:
@@ -153,16 +166,6 @@ def _regions(rows: DataFrame, top: int, bottom: int) -> DataFrame:
     return materialise(members.join(depth, "cls"), "regions")
 
 
-def _parities(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """For each set, one bit for every remainder of its hashes: whether an odd number of them have it; at least two bits a hash."""
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        bits = 1 << max(6, (2 * (b - a) - 1).bit_length())
-        slots = (hashes[a:b] & np.uint64(bits - 1)).astype(np.int64)
-        out.append(np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).tobytes())
-    return pa.array(out, pa.binary())
-
-
 def _differing(x: np.ndarray, y: np.ndarray) -> int:
     """Bits that differ, the longer row folded to the shorter: two sets differ in at least so many members."""
     if len(x) > len(y):
@@ -172,8 +175,8 @@ def _differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets_of(docs: DataFrame, places: DataFrame, n: int, whole: bool) -> DataFrame:
-    """``cls, n, content`` of the given classes (``cls``, and ``_d, _k``: id and text hash of one document): the sorted 64-bit hashes or their parities."""
+def _sets_of(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """``cls, n, content`` of the given classes (``cls``, and ``_d, _k``: id and text hash of one document): the sorted 64-bit hashes as bytes."""
 
     def run(batches):
         done: set[int] = set()  # repeated rows bring a set again
@@ -181,8 +184,7 @@ def _sets_of(docs: DataFrame, places: DataFrame, n: int, whole: bool) -> DataFra
             for at, hashes, bounds in _sets(b.column("text"), n):
                 cls = b.column("cls").slice(at, len(bounds) - 1)
                 fresh = [c not in done and not done.add(c) for c in cls.to_pylist()]
-                content = binaries(hashes, bounds) if whole else _parities(hashes, bounds)
-                yield pa.record_batch([cls, pa.array(np.diff(bounds)), content], ["cls", "n", "content"]).filter(pa.array(fresh, pa.bool_()))
+                yield pa.record_batch([cls, pa.array(np.diff(bounds)), binaries(hashes, bounds)], ["cls", "n", "content"]).filter(pa.array(fresh, pa.bool_()))
 
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     return docs.join(places, same).select("cls", "text").mapInArrow(run, "cls long, n long, content binary").dropDuplicates(["cls"])
@@ -254,10 +256,12 @@ def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
 class _Join:
     """State of the recursion: computed distances and the components so far."""
 
-    def __init__(self, docs: DataFrame, places: DataFrame, n: int, top: int, bottom: int):
+    def __init__(self, docs: DataFrame, scanned: DataFrame, places: DataFrame, n: int, top: int, bottom: int):
         spark = docs.sparkSession
         self.docs, self.places, self.n, self.top, self.bottom = docs, places, n, top, bottom
-        self.parities = materialise(_sets_of(docs, places, n, False), "parities")
+        at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
+        own = scanned.select("cls", "doc_id", "key", "n", F.col("parity").alias("content")).join(places, "cls").where(at)
+        self.parities = materialise(own.select("cls", "n", "content").dropDuplicates(["cls"]), "parities")
         self.label = spark.createDataFrame([], "cls long, component long")
         self.known: DataFrame | None = None
         self.links = spark.createDataFrame([], "a long, b long")
@@ -274,7 +278,7 @@ class _Join:
         bounds = materialise(_bounds(pairs, self.parities, self.top, self.bottom), "bounds")
         near = bounds.where("near").select("a", "b")
         ends = materialise(self.places.join(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"), "ends")
-        exact = _common(near, materialise(_sets_of(self.docs, ends, self.n, True), "sets")).withColumn("exact", F.lit(True))
+        exact = _common(near, materialise(_sets_of(self.docs, ends, self.n), "sets")).withColumn("exact", F.lit(True))
         return exact.unionByName(bounds.where("not near").select("a", "b", F.col("most").alias("common"), F.lit(False).alias("exact")))
 
     def round(self, active: DataFrame, pivots: int) -> DataFrame | None:
@@ -333,7 +337,7 @@ def _class_components(docs: DataFrame, scanned: DataFrame, n: int, top: int, bot
     members = _regions(_window_rows(docs, n, _levels(scanned), top, bottom), top, bottom)
     first = scanned.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"))
     places = members.select("cls").distinct().join(first, "cls").select("cls", F.col("at.doc_id").alias("_d"), F.col("at.key").alias("_k"))
-    join, pivots = _Join(docs, materialise(places, "places"), n, top, bottom), PIVOTS
+    join, pivots = _Join(docs, scanned.where("block is null"), materialise(places, "places"), n, top, bottom), PIVOTS
     join.round(_labelled(members.where("early"), join.label), EARLY_PIVOTS)
     left = members.where("not early")
     while left is not None:
