@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from passagelake.sources.stores import materialise
 
-#: At most so many labelled rows are learned from; the smallest by a hash of doc_id are taken.
+#: About so many labelled rows are learned from at most: those whose hash of doc_id is in the share that leaves so many.
 MOST_ROWS = 60_000
 #: Learned lexicon entries at most, and the rows a word must occur in at least.
 MOST_WORDS, LEAST_ROWS = 400, 5
@@ -33,7 +33,9 @@ _LETTERS = "[^\\p{L}\\p{N}]+"
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """``doc_id, text, toxic`` of labelled documents outside the held-out third."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~_held_out(F.col("_d"))).orderBy(F.xxhash64("_d"), "_d").limit(most)
+    known = known.where(~_held_out(F.col("_d")))
+    share = min(1.0, most / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("_d"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_d")).drop("_d")
 
 
@@ -84,7 +86,7 @@ class Features:
         )
         near = F.when(
             F.col("_learned") > 0,
-            F.size(F.filter("_second", lambda i: F.exists(F.slice("_w", F.greatest(i - 2, F.lit(1)), 7), in_lexicon))),
+            F.size(F.filter("_second", lambda i: F.exists(F.slice("_w", F.greatest(i - 2, F.lit(1)), F.least(i + 4, F.lit(7))), in_lexicon))),
         ).otherwise(0)
         obfuscated = F.regexp_count(text, F.lit("\\p{L}[@$*0!1]+\\p{L}"))
         values = [
@@ -113,19 +115,21 @@ class ToxicityModel:
         from pyspark.ml.regression import IsotonicRegression
 
         rows = materialise(training_rows(docs, labels, most), "toxicity-rows")
-        words, starts = learned_lexicon(rows)
+        fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
+        words, starts = learned_lexicon(rows.where(~fold))
         features = Features(tuple(words), tuple(starts))
         counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         base = counts.get(1, 0) / max(1, sum(counts.values()))
         if len(counts) < 2:
             return cls(features, None, None, base)
         known = materialise(features.columns(rows).select("doc_id", "features", F.col("toxic").cast("double").alias("label")), "toxicity-features")
-        fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, featuresCol="features", labelCol="label").fit(known.where(~fold))
-        # calibrated on rows that the trees did not see
+        # calibrated on rows that neither the lexicon nor the trees saw
         margins = cls(features, trees, None, base).margins(known.where(fold))
-        held = margins.select("label", "margin")
-        calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="prediction_iso").fit(held) if held.select("label").distinct().count() == 2 else None
+        # equal margins as one weighted row
+        held = margins.groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+        seen = margins.agg(F.countDistinct("label").alias("n")).first()["n"]
+        calibration = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="prediction_iso").fit(held) if seen == 2 else None
         return cls(features, trees, calibration, base)
 
     def margins(self, known: DataFrame) -> DataFrame:
