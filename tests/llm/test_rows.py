@@ -110,6 +110,22 @@ def test_toxicity_on_held_out_rows(spark, make, prose, odd):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in got if r.score < 0.7)
 
 
+def test_dense_features(spark, make, odd):
+    texts = ["you a b c idiot", "you a b idiot", "a b c d e f g h you i idiot", "idiot a b c d you YOUR x! ID1OT", None, "", "ABC learnt learning?"] + [t for _, t in odd]
+    features = toxicity.Features(("learnt",), ("lear",))
+    got = features.columns(make(list(enumerate(texts))).select("doc_id", "text")).select("doc_id", "features").collect()
+    for i, f in got:
+        text = texts[i] or ""
+        w = [x for x in re.split("[^\\w]|_", text.lower()) if x]
+        size, chars = max(1, len(w)), max(1, len(text))
+        bad = [x in [*toxicity.INSULTS, "learnt"] for x in w]
+        second = [k for k, x in enumerate(w) if x in toxicity.SECOND_PERSON]
+        near = sum(any(bad[max(0, k - 3) : k + 4]) for k in second)
+        started = sum(len(x) > 4 and x.startswith("lear") for x in w)
+        expected = [sum(x in toxicity.INSULTS for x in w) / size, sum(bad) / size, started / size, min(20, sum(bad)), min(20, started), len(second) / size, near / size, sum(c.isupper() for c in text) / chars]
+        assert np.allclose(f.toArray()[:8], expected), text[:40]
+
+
 def test_toxicity_without_labels(spark, make, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0 for r in toxicity.toxicity(make(odd), none).collect())
