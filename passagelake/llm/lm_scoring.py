@@ -7,7 +7,8 @@ times that of each token in its symbol. Token counts are exact over all training
 Nothing that grows with the corpus reaches the driver or is broadcast. Texts are dealt into groups of bounded size; each group
 sends its distinct tokens with their counts, packed by ranges of the token's hash; each range adds up the counts of all groups and
 sends them back; a group then knows the counts of its tokens. A frequent word is thus one entry per group, never a hot key.
-Baum-Welch runs over all training rows: each task sums expected counts, blocks of them are added up across tasks.
+Baum-Welch runs over all training rows: each task sums expected counts, blocks of them are added up across tasks. A first pass
+learns after each of some growing shares of the rows, which moves the model further than one step after all of them.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ ENDINGS = 1 << ENDING_BITS
 #: A token with at least this share of all training tokens is a symbol of its own, so there are at most OWN of them.
 OWN = 1 << 14
 STATES = 6
-ROUNDS = 2
-#: Rows of the warm start at most (the smallest by a hash of doc_id) and their symbols at most.
-WARM_ROWS, WARM_SYMBOLS, WARM_ROUNDS = 400, 400_000, 15
+ROUNDS = 1
+#: The first pass goes through shares of the training rows, each a fixed part of them, and the model learns after each.
+SHARES = 16
+PASS = ((0, 1), (1, 2), (2, 3), (3, 4), (4, 6), (6, 8), (8, 12), (12, 16))
+PRIOR = 50.0
 GROUP_CHARS = 8_000_000
 RANGE_CHARS = 80_000_000
 _SLICE = 300_000
@@ -187,7 +190,7 @@ def _chains(column: pa.Array):
 _CELLS = 512
 
 
-def baum_welch_round(encoded: DataFrame, model: Model, frequencies: np.ndarray) -> tuple[Model, float]:
+def baum_welch_round(encoded: DataFrame, model: Model, frequencies: np.ndarray, prior: float = PRIOR) -> tuple[Model, float]:
     """The model after one pass over all given rows, and their log likelihood before it."""
     states = len(model.start)
 
@@ -214,26 +217,20 @@ def baum_welch_round(encoded: DataFrame, model: Model, frequencies: np.ndarray)
         flat[row["block"] * _CELLS : row["block"] * _CELLS + len(got)] = got
     a, b = states, states + states * states
     counts = Counts(flat[:a], flat[a:b].reshape(states, states), flat[b + 1 :].reshape(model.emit.shape), float(flat[b]))
-    return counts.estimate(frequencies), counts.log_likelihood
+    # without a row there is nothing to learn
+    return (counts.estimate(frequencies, prior) if counts.start.any() else model), counts.log_likelihood
 
 
 def fit(encoded: DataFrame, lexicon: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """A warm start on a bounded sample, then ``rounds`` of Baum-Welch over all training rows."""
+    """Baum-Welch over all training rows: one pass in growing shares, then ``rounds`` whole passes.
+
+    A share is a fixed part of the training rows by a hash, so it grows with the corpus; every row is in one share. Each step adds
+    up expected counts across partitions, and only these sums, of the model's own size, reach the driver.
+    """
     train = encoded.where("not held_out")
     model = Model.initial(states, lexicon.frequencies)
-    rows = train.where(F.col("n_tokens") <= WARM_SYMBOLS // 20).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_ROWS).select("symbols").collect()
-    sequences, size = [], 0
-    for r in rows:
-        size += len(r["symbols"]) // 2
-        if size > WARM_SYMBOLS:
-            break
-        sequences.append(np.frombuffer(r["symbols"], np.uint16).astype(np.int64))
-    if sequences:
-        chains = Chains(np.concatenate(sequences), np.concatenate([[0], np.cumsum([len(x) for x in sequences])]))
-        for _ in range(WARM_ROUNDS):
-            counts = Counts.zero(model)
-            chains.expect(model, counts)
-            model = counts.estimate(lexicon.frequencies)
+    for a, b in PASS:
+        model, _ = baum_welch_round(train.where(F.col("share").between(a, b - 1)), model, lexicon.frequencies, PRIOR * (b - a) / SHARES)
     for _ in range(rounds):
         model, _ = baum_welch_round(train, model, lexicon.frequencies)
     return model
@@ -249,13 +246,14 @@ def lm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Da
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = own.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
     groups, bits = max(1, math.ceil(size / GROUP_CHARS)), max(3, math.ceil(math.log2(max(1, size / RANGE_CHARS))))
-    gid = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
-    dealt = own.select(gid.alias("gid"), "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "text")
+    # dealt by place in the input, so that repeated rows spread; stored, so that a row's group stays the same
+    gid = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    dealt = materialise(own.select(gid.alias("gid"), "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "text"), "dealt")
     local = materialise(_group_counts(dealt, bits), "token-counts")
     total = local.agg(F.sum("n").alias("n")).first()["n"] or 0
     counted = materialise(_global_counts(local, total), "corpus-counts")
     lexicon = Lexicon(total, counted)
-    encoded = materialise(_encoded(dealt, counted, lexicon), "encoded")
+    encoded = materialise(_encoded(dealt, counted, lexicon).withColumn("share", F.pmod(F.xxhash64("doc_id", "base_score"), F.lit(SHARES))), "encoded")
     model = fit(encoded, lexicon, states, rounds)
 
     def run(batches):
