@@ -260,7 +260,8 @@ class _Join:
         spark = docs.sparkSession
         self.docs, self.places, self.n, self.top, self.bottom = docs, places, n, top, bottom
         at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
-        own = scanned.select("cls", "doc_id", "key", "n", F.col("parity").alias("content")).join(places, "cls").where(at)
+        # by the document too: a class of many copies is no join key
+        own = scanned.join(places.withColumnRenamed("cls", "_c"), (F.col("cls") == F.col("_c")) & at).select("cls", "n", F.col("parity").alias("content"))
         self.parities = materialise(own.select("cls", "n", "content").dropDuplicates(["cls"]), "parities")
         self.label = spark.createDataFrame([], "cls long, component long")
         self.known: DataFrame | None = None
