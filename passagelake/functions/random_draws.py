@@ -1,4 +1,4 @@
-"""The reference's seeded generator as a pure column expression.
+"""The reference's seeded generator as a pure column expression, and on arrays inside a task.
 
 Its state advances by a constant, so draw ``j`` can be computed directly from ``j``: every row of a
 distributed range produces exactly the value a sequential generator would have produced there.
@@ -6,6 +6,7 @@ distributed range produces exactly the value a sequential generator would have p
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,12 @@ def with_uniform_draw(df: DataFrame, number: Column, seed: int, name: str) -> Da
         .withColumn("_u", t.bitwiseXOR((t + _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(bits))).bitwiseAND(mask)))
     )
     return staged.withColumn(name, u.bitwiseXOR(F.shiftright(u, 14)) * F.lit(2.0**-32)).drop("_a", "_t", "_u")
+
+
+def uniform_draws(first: int, count: int, seed: int) -> np.ndarray:
+    """Draws ``first`` to ``first + count - 1`` (0-based) in [0, 1): the same numbers as ``with_uniform_draw``."""
+    number = (np.arange(first + 1, first + count + 1, dtype=np.int64) & MASK).astype(np.uint32)
+    a = np.uint32(seed & MASK) + number * np.uint32(STEP)  # 32-bit products and sums wrap, as the generator's do
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    u = t ^ (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61)))
+    return (u ^ (u >> np.uint32(14))) * 2.0**-32

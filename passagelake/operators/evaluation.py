@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from passagelake.functions.random_draws import with_uniform_draw
+from passagelake.functions.random_draws import uniform_draws
 from passagelake.functions.ranks import floor_percentiles, ordinals, running_sums
 from passagelake.functions.text import gram_hashes, match_words, word_grams
 
@@ -298,32 +301,67 @@ def _positions(pairs: DataFrame, keys: list[str], order: str, width: int) -> Dat
     return ordinals(pairs, keys, [F.col(order)], F.floor(F.col(order) / width), "_pos")
 
 
-def _resampled(values: DataFrame, keys: list[str], sums: dict[str, str], resamples: int, seed: int) -> DataFrame:
+#: Tasks that share the resamples of a key, positions whose values one of them holds, and draws it makes at a time.
+SLICES, HELD, DRAWN = 16, 1 << 21, 1 << 18
+
+
+def _resampled(
+    values: DataFrame, keys: list[str], sums: dict[str, str], resamples: int, seed: int, slices: int = SLICES, held: int = HELD
+) -> DataFrame:
     """Sums per (key, resample) over positions drawn by the seeded generator; the numbered values and the sums are stored once.
 
-    Draw ``r·n + i`` is computed from its own number, so draws are generated in independent blocks spread over the
-    cluster; after the join on (key, position) the sums are pre-aggregated by resample before anything is shuffled.
+    Draw ``r·n + i`` is computed from its own number, so no draw is ever a row: a task holds the values of up to ``held``
+    positions of a key and draws its share of the resamples in blocks. The values of a key are so shuffled ``slices`` times,
+    whatever the number of resamples; of a key with more than ``held`` rows each range of positions takes the draws that meet it.
     """
     from passagelake.sources.stores import materialise
 
-    block = 65_536
-    values = materialise(values, "numbered")
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    blocks = (
-        sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))))
-        .repartition(*keys, "_r", "_b")
-    )
-    within = F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1)
-    draws = blocks.select(*keys, "_r", "_n", F.explode(within).alias("_i"))
-    number = F.col("_r").cast("long") * F.col("_n") + F.col("_i")
-    uniform = with_uniform_draw(draws, number, seed, "_draw")
-    # never null: for a nullable key the join would infer a not-null filter that repeats the whole draw expression
-    position = F.coalesce(F.floor(F.col("_draw") * F.col("_n")) + 1, F.lit(0).cast("long"))
-    drawn = uniform.select(*keys, "_r", position.alias("_pos"))
-    added = drawn.join(values, [*keys, "_pos"]).groupBy(*keys, "_r").agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()], F.count("*").alias("_n")
-    )
+    # rows without a key are in no resample
+    kept = values.dropna(subset=keys).select(*keys, "_pos", *[F.col(c).cast("double").alias(c) for c in sums.values()])
+    kept = materialise(kept, "numbered")
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("_n"))
+    dealt = kept.join(sizes, keys).select(
+        *keys, "_pos", "_n", *sums.values(), F.floor((F.col("_pos") - 1) / held).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
+    )
+    kinds = {f.name: f.dataType for f in kept.schema.fields}
+    schema = T.StructType(
+        [T.StructField(k, kinds[k]) for k in keys]
+        + [T.StructField("_r", T.IntegerType())]
+        + [T.StructField(n, T.DoubleType()) for n in sums]
+        + [T.StructField("_n", T.LongType())]
+    )
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        n, start = table.column("_n")[0].as_py(), key[-2].as_py() * held
+        at = table.column("_pos").to_numpy() - 1 - start
+        present, amounts = [], []
+        for c in sums.values():
+            column = table.column(c)
+            known, amount = np.zeros(len(at), bool), np.zeros(len(at))
+            known[at], amount[at] = column.is_valid().to_numpy(), column.fill_null(0.0).to_numpy()
+            present.append(None if known.all() else known)
+            amounts.append(amount)
+        drawn = list(range(key[-1].as_py(), resamples, slices))
+        counts = np.zeros(len(drawn), np.int64)
+        totals, met = np.zeros((len(sums), len(drawn))), np.zeros((len(sums), len(drawn)), np.int64)
+        for j, r in enumerate(drawn):
+            for first in range(0, n, DRAWN):
+                place = np.floor(uniform_draws(r * n + first, min(DRAWN, n - first), seed) * n).astype(np.int64) - start
+                if len(at) < n:
+                    place = place[(place >= 0) & (place < len(at))]
+                counts[j] += len(place)
+                for k, (known, amount) in enumerate(zip(present, amounts)):
+                    totals[k, j] += amount[place].sum()
+                    met[k, j] += len(place) if known is None else int(known[place].sum())
+        rows = {name: pa.array([v.as_py()] * len(drawn), kind) for name, v, kind in zip(keys, key, (v.type for v in key))}
+        rows["_r"] = pa.array(drawn, pa.int32())
+        for k, name in enumerate(sums):
+            rows[name] = pa.array(totals[k], mask=met[k] == 0)
+        return pa.table(rows | {"_n": counts})
+
+    added = dealt.groupBy(*keys, "_part", "_slice").applyInArrow(run, schema)
+    # a sum is null only where no drawn value is known; a resample that meets no row is none
+    added = added.groupBy(*keys, "_r").agg(*[F.sum(n).alias(n) for n in sums], F.sum("_n").alias("_n"))
     return materialise(added, "resamples")
 
 

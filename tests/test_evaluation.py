@@ -54,6 +54,30 @@ def sequential(seed):
         yield (t ^ (t >> 14)) / 4294967296
 
 
+def test_resamples_by_ranges_of_positions_equal_a_sequential_run(spark):
+    rows = [(k, p, None if p % 7 == 3 else p / 4, float(p % 3)) for k, n in (("k", 50), ("l", 1), (None, 9)) for p in range(1, n + 1)]
+    values = spark.createDataFrame(rows + [("m", 1, None, 2.0)], "key string, _pos long, a double, b double")
+    want = set()
+    for key in "klm":
+        of_key = [r[2:] for r in rows + [("m", 1, None, 2.0)] if r[0] == key]
+        draw = sequential(5)
+        for r in range(13):
+            drawn = [of_key[int(next(draw) * len(of_key))] for _ in of_key]
+            known = [a for a, _ in drawn if a is not None]
+            want.add((key, r, sum(known) if known else None, sum(b for _, b in drawn), len(drawn)))
+    for held in (8, 1000):  # a key in several ranges of positions and in one
+        got = ev._resampled(values, ["key"], {"_sa": "a", "_sb": "b"}, 13, 5, slices=3, held=held)
+        assert {tuple(r) for r in got.select("key", "_r", "_sa", "_sb", "_n").collect()} == want
+
+
+def test_draws_on_arrays_equal_those_of_columns(spark):
+    from passagelake.functions.random_draws import uniform_draws, with_uniform_draw
+
+    first = 2**32 - 50  # the number of a draw wraps
+    rows = with_uniform_draw(spark.range(first, first + 100, 1, 1), F.col("id"), 11, "u").orderBy("id").collect()
+    assert [r.u for r in rows] == uniform_draws(first, 100, 11).tolist()
+
+
 def test_bootstrap_equals_a_sequential_run(spark):
     a, b = [float(i % 2) for i in range(40)], [1.0] * 40
     pairs = spark.createDataFrame([("k", i, x, y) for i, (x, y) in enumerate(zip(a, b))], "key string, n long, a double, b double")
