@@ -78,9 +78,14 @@ def without_answers(questions: Column) -> Column:
     return F.transform(questions, lambda q: q.dropFields("correct"))
 
 
+def sorted_in(quizzes: DataFrame) -> DataFrame:
+    """``quizzes`` for a sort-merge join: Spark takes an array for one element and would broadcast the questions of all quizzes."""
+    return quizzes.hint("merge")
+
+
 def gated_quizzes(rights: DataFrame, quizzes: DataFrame) -> DataFrame:
     """Quizzes of visible courses: questions without answers with access, otherwise only how many there are."""
-    return visible_requests(rights).join(quizzes, "course_id").select(
+    return visible_requests(rights).join(sorted_in(quizzes), "course_id").select(
         "viewer", "course_id", "quiz_id", "title", "has_access",
         F.when(F.col("has_access"), without_answers(F.col("questions"))).alias("questions"),
         F.when(~F.col("has_access"), F.size("questions")).alias("question_count"),
@@ -94,7 +99,7 @@ def accessible(rights: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def quizzes_with_answers(rights: DataFrame, quizzes: DataFrame) -> DataFrame:
-    return rights.where("manages").select("viewer", "course_id").join(quizzes, "course_id")
+    return rights.where("manages").select("viewer", "course_id").join(sorted_in(quizzes), "course_id")
 
 
 def changed_lessons(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -173,7 +178,7 @@ def completion_marks(enrolments: DataFrame, lessons: DataFrame, completions: Dat
 
 def quiz_marks(attempts: DataFrame, quizzes: DataFrame) -> DataFrame:
     """``attempts(..., quiz_id, answers)`` with ``marks array<boolean>``; rejected when the lengths differ."""
-    keyed = attempts.join(quizzes.select("quiz_id", "questions"), "quiz_id")
+    keyed = attempts.join(sorted_in(quizzes.select("quiz_id", "questions")), "quiz_id")
     fits = F.size("answers") == F.size("questions")
     marks = F.zip_with("questions", "answers", lambda q, a: F.coalesce(q["correct"] == a, F.lit(False)))
     return keyed.withColumn("accepted", fits).withColumn("marks", F.when(fits, marks))

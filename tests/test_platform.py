@@ -24,6 +24,17 @@ def test_quiz_scoring_and_rejects(spark):
     assert [r.student_id for r in le.rejected_attempts(attempts, quizzes).collect()] == ["t"]
 
 
+def test_questions_of_all_quizzes_are_never_broadcast(spark):
+    """Spark estimates an array by one element, so a table of a few MB on disk would be sent whole, with all its questions."""
+    question = F.struct(F.lit("q").alias("text"), F.array(F.lit("A"), F.lit("B")).alias("options"), F.lit(1).alias("correct"))
+    quizzes = spark.range(5).select(F.col("id").alias("quiz_id"), F.col("id").alias("course_id"), F.lit("t").alias("title"), F.array(question, question).alias("questions"))
+    attempts = spark.range(50).select((F.col("id") % 5).alias("quiz_id"), F.array(F.lit(1), F.lit(0)).alias("answers"))
+    rights = spark.range(50).select(F.lit("v").alias("viewer"), (F.col("id") % 5).alias("course_id"), *[F.lit(True).alias(c) for c in ("published", "manages", "has_access")])
+    for rows, n in ((le.quiz_marks(attempts, quizzes), 50), (le.gated_quizzes(rights, quizzes), 50), (le.quizzes_with_answers(rights, quizzes), 50)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == n
+
+
 def test_lesson_files(spark, tmp_path):
     (tmp_path / "b.md").write_text("# Beta\r\n\r\nBody b.\r\n")
     (tmp_path / "a.md").write_text("Alpha\nBody a.")
