@@ -58,6 +58,14 @@ def test_stitching_reproduces_the_text(spark):
     assert re.sub(r"\s+", " ", ch.stitched_documents(pieces, "k").first().text).strip() == text
 
 
+def test_stitching_glues_cut_tokens_and_keeps_blanks(spark):
+    code = "```\n" + "y" * 950 + "\nz = 1\n```"
+    texts = ["Before it. " + "x" * 2500 + " after it.", "word " * 300 + "w" * 901, "a" * 900 + " " + "b" * 900, f"Text.\n\n{code}"]
+    docs = spark.createDataFrame([(i, "T", "", [t], False) for i, t in enumerate(texts)], DOC)
+    found = {r.k: r.text for r in ch.stitched_documents(ch.structured_chunks(docs, "k"), "k").collect()}
+    assert [re.sub(r"\s+", " ", found[i]).strip() for i in range(len(texts))] == [re.sub(r"\s+", " ", t).strip() for t in texts]
+
+
 def test_pages_are_tracked(spark):
     page = lambda label: " ".join(f"{label} sentence {i} has some words in it." for i in range(30))
     rows = chunks(spark, [page("First"), page("Second")])
