@@ -48,6 +48,17 @@ def test_bm25_rare_and_unknown_terms(spark):
     assert [(h.qid, h.chunk_id) for h in hits] == [("q0", 1)]
 
 
+def test_idf_of_all_terms_cuts_and_tokenises_documents_once(spark, tmp_path):
+    from passagelake.catalog import retrieval
+    from passagelake.sources.tables import Lake
+
+    rows = [(1, "alpha beta alpha", "en"), (2, "beta gamma", "en"), (3, "alpha", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = retrieval.idf(Lake(spark, str(tmp_path)))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # both sides read stored postings
+    assert {(r.course, r.term): r.df for r in found.collect()} == {("en", "alpha"): 1, ("en", "beta"): 2, ("en", "gamma"): 1, ("de", "alpha"): 1}
+
+
 def test_bm25_against_brute_force_with_small_blocks(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
