@@ -398,3 +398,24 @@ def test_block_max_search_reads_less_than_half_of_a_frequent_term(spark, tmp_pat
     assert read < 450
     got, want = (sorted((r.chunk_id, round(r.score, 8)) for r in df.collect()) for df in (index.top_k(questions, 5), lexical.bm25_top_k(chunks, questions, 5, stem=False)))
     assert got == want
+
+
+@pytest.mark.parametrize("stem", [True, False])
+def test_postings_are_counted_inside_the_chunk(spark, stem):
+    r = random.Random(5)
+    words = ["alpha", "beta", "the", "7", "running", "runs", "runs"]
+    text = lambda: r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randint(1, 9)))])
+    # repeated and null ids are counted together, as long as course and length agree
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(60)]), text()) for _ in range(300)]
+    chunks = spark.createDataFrame(rows, "course string, chunk_id long, text string")
+    want = {}
+    for course, chunk, tokens in chunks.select("course", "chunk_id", tx.terms(F.col("text"), stem)).collect():
+        for at, term in enumerate(tokens or [None]):
+            tf, leads = want.get((course, chunk, len(tokens), term), (0, 0))
+            want[course, chunk, len(tokens), term] = (tf + (term is not None), max(leads, int(at == 0)))
+    postings = lexical.lexical_index(chunks, stem=stem).postings
+    got = {(p.course, p.chunk_id, p.doc_len, p.term): (p.tf, p.leads) for p in postings.collect()}
+    assert got == want and postings.count() == len(want)
+    # only chunks whose id repeats are grouped by term
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "LeftAnti" in plan and "LeftSemi" in plan
