@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from passagelake.functions.grams import gram_lists
 from passagelake.functions.random_draws import uniform_draws
 from passagelake.functions.ranks import floor_percentiles, ordinals, running_sums
 from passagelake.functions.text import gram_hashes, match_words, word_grams
@@ -122,10 +123,10 @@ def covering_pairs(spans: DataFrame, texts: DataFrame, span_key: list[str], text
     from passagelake.sources.stores import materialise
 
     span_id, text_id = F.struct(*span_key).alias("_span"), F.struct(*text_key).alias("_text")
-    asked = spans.select(span_id, gram_hashes(match_words(F.col("span"))).alias("_grams")).where(F.size("_grams") > 0)
+    asked = gram_lists(spans, span_id, F.col("span"), "_grams").where(F.size("_grams") > 0)
     asked = materialise(asked, "span-grams")
     wanted = materialise(asked.select(F.explode("_grams").alias("_gram")).distinct(), "wanted-grams")
-    grams = texts.select(text_id, F.explode(gram_hashes(match_words(F.col("text")))).alias("_gram"))
+    grams = gram_lists(texts, text_id, F.col("text"), "_held").select("_text", F.explode("_held").alias("_gram"))
     hits = materialise(grams.join(wanted, "_gram", "left_semi"), "gram-hits")
     frequency = hits.groupBy("_gram").agg(F.count("*").alias("_df"))
     n = F.size("_grams")

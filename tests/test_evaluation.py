@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from passagelake.functions import grams
 from passagelake.functions.ranks import floor_percentiles, ordinals
+from passagelake.functions.text import match_words, word_grams
 from passagelake.operators import evaluation as ev
 
 RANKED = "experiment string, qid string, rank int, source string, text string, signal double, signal_kind string"
@@ -177,3 +179,17 @@ def test_dataset_problems_from_nested_and_flat_gold(spark):
     flat = questions.select("id", F.explode("gold").alias("g")).select("id", F.col("g.lesson").alias("source"), F.col("g.span").alias("span"))
     assert sorted(map(tuple, ev.dataset_problems(questions, sources).collect())) == want
     assert sorted(map(tuple, ev.dataset_problems(questions.drop("gold"), sources, flat).collect())) == want
+
+
+def test_gram_lists_against_word_grams(spark):
+    r = random.Random(11)
+    parts = list("ab.-_ $@9\n\té") + ["İ", "K", "one", "two ", " three ", "中", " ", " "]
+    rows = [(i, None if i % 50 == 7 else "".join(r.choice(parts) for _ in range(r.randint(0, 40)))) for i in range(400)] + [(400, "one two three " * 300_000)]
+    texts = spark.createDataFrame(rows, "i long, text string")
+    hashed = grams.gram_lists(texts, F.struct("i").alias("_t"), F.col("text"), "g")
+    assert "MapInArrow" in hashed._jdf.queryExecution().optimizedPlan().toString()
+    both = texts.join(hashed, texts.i == hashed["_t.i"]).select("i", word_grams(match_words(F.col("text"))).alias("w"), "g").collect()
+    assert len(both) == len(rows) and all(len(b.w) == len(b.g) == len(set(b.g)) for b in both)
+    for a in both:
+        for b in both[::3]:
+            assert len(set(a.w) & set(b.w)) == len(set(a.g) & set(b.g))
