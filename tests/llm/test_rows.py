@@ -88,6 +88,21 @@ def test_packing_round_trip(make, odd):
 # ---- toxicity
 
 
+def test_toxicity_texts_are_not_shuffled_to_meet_the_labels(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('words of text ', id) text")
+    labels = spark.range(3000).selectExpr("id doc_id", "1 quality", "cast(id % 4 = 0 as int) toxic")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16KB")  # above the sampled labels, below all of them
+    try:
+        rows = toxicity.training_rows(docs, labels, 100)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.text, r.toxic) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan
+    assert 50 < len(got) < 200 and all(zlib.crc32(str(i).encode()) % 3 != 1 and t == f"words of text {i}" and y == (i % 4 == 0) for i, t, y in got)
+
+
 def test_toxicity_on_held_out_rows(spark, make, prose, odd):
     rng = random.Random(1)
     rows, marks = [], []
