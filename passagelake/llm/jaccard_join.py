@@ -32,11 +32,13 @@ from passagelake.sources.stores import materialise
 
 SLOT_BITS = 20
 _BLOCKS = 128
+#: Text whose n-grams a task makes at a time: sets of it take about forty times as much memory for a moment.
+SLICE_BYTES = 1_000_000
 
 
 def _sets(column: pa.Array, n: int):
     """``(first row, sorted distinct hashes, bounds)`` of slices of texts."""
-    for at, words in word_slices(column, NOT_BLANK):
+    for at, words in word_slices(column, NOT_BLANK, most=SLICE_BYTES):
         hashes, texts, _ = windows(words, n, True)
         yield at, *distinct_per_text(hashes, texts, words.texts)
 

@@ -3,14 +3,16 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from passagelake.llm import decontamination, jaccard_join, line_dedup, substring_dedup
+from passagelake.llm import decontamination, jaccard_join, line_dedup, substring_dedup, token_arrays
 from passagelake.llm.components import components
 
 
@@ -57,6 +59,20 @@ def corpus(prose, seed=5):
     return rows
 
 
+def test_sets_take_bounded_memory_for_any_number_of_texts():
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 5000, 400))) for _ in range(4000)])  # 7.6 MB
+    token_arrays._powers = token_arrays._inverses = np.ones(1, np.uint64)
+    tracemalloc.start()
+    try:
+        sets = {at + d: bounds[d + 1] - bounds[d] for at, _, bounds in jaccard_join._sets(texts, 4) for d in range(len(bounds) - 1)}
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert sorted(sets) == list(range(4000)) and all(390 < n <= 397 for n in sets.values())
+    assert kept < 30e6 and peak < 80e6
+
+
 @pytest.mark.parametrize("n,top,bottom", [(4, 85, 100), (5, 4, 5)])
 def test_jaccard_components(make, prose, odd, n, top, bottom):
     rows = corpus(prose) + [(100 + (i or 0), t) if i is not None else (None, t) for i, t in odd]
