@@ -65,7 +65,8 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
     variants = question_variants(prepared, r["multi_query_weight"])
     keyed = variants.withColumn("base_qid", F.col("qid")).withColumn("qid", F.concat_ws("~", "qid", F.col("variant").cast("string")))
     mode = "query" if config["indexing"]["task_types"] else ""
-    asked = models.embed(keyed, mode)
+    # lists, gate and pool are read by several steps: written once, a search never runs again for the next step
+    asked = materialise(models.embed(keyed, mode), "asked-vectors")
     depth = r["candidate_k"] if hybrid or config["rerank"]["enabled"] else r["top_k"]
     names = keyed.select("qid", "base_qid", "variant", F.col("weight").alias("w"))
 
@@ -75,7 +76,7 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
             (F.col("w") * weight).alias("weight"), "score", "variant",
         )
 
-    dense = lists(dense_top_k(chunks, asked, depth), 0, r["dense_weight"])
+    dense = materialise(lists(dense_top_k(chunks, asked, depth), 0, r["dense_weight"]), "dense-hits")
     columns = ["qid", "chunk_id", "list_no", "rank", "weight"]
     all_lists = dense.select(*columns)
     own_dense = dense.where(F.col("variant") == 0)
@@ -83,7 +84,8 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
     if hybrid:
         index = lexical_index(chunks, config["indexing"]["header"], models.stem)
         worded = keyed.withColumnRenamed("text", "question")
-        bm25 = lists(bm25_top_k(chunks, worded, r["candidate_k"], stem=models.stem, index=index), 1, r["bm25_weight"])
+        hits = bm25_top_k(chunks, worded, r["candidate_k"], stem=models.stem, index=index)
+        bm25 = materialise(lists(hits, 1, r["bm25_weight"]), "lexical-hits")
         all_lists = all_lists.unionByName(bm25.select(*columns))
         own_bm25 = bm25.where(F.col("variant") == 0)
     weak = None
@@ -93,11 +95,13 @@ def _candidates(prepared: DataFrame, chunks: DataFrame, models: Models, config:
         weak = gated.join(stage_responses(models.responses, "hyde"), "qid", "left").select(
             "course", "qid", hypothetical_passage(F.col("hyde_response")).alias("text")
         )
+        weak = materialise(weak, "hyde")
         imagined = models.embed(weak.where(F.col("text") != ""), "document" if config["indexing"]["task_types"] else "")
         extra = fusion.ranked_list(dense_top_k(chunks, imagined, r["candidate_k"]), 2 * (MOST_PARAPHRASES + 1), r["hyde_weight"])
         all_lists = all_lists.unionByName(extra)
         weak = weak.select("qid", (F.col("text") != "").alias("hyde"))
     fused = fusion.reciprocal_rank_fusion(all_lists, r["rrf_k"]).where(F.col("rank") <= fusion.pool_size(config))
+    fused = materialise(fused, "fused")
     # every pooled chunk gets a dense score from the standalone question's own vector
     own_vectors = asked.where(F.col("variant") == 0).select(F.col("base_qid").alias("qid"), "embedding")
     scored = score_pairs(fused.select("qid", "chunk_id"), chunks, own_vectors).select(
@@ -116,11 +120,13 @@ def _run(questions: DataFrame, chunks: DataFrame, models: Models, config: dict)
         shown = pool.where(F.col("rank") <= config["rerank"]["candidates"]).join(
             chunks.select("chunk_id", "text", "context_header"), "chunk_id"
         )
+        shown = materialise(shown, "shown")
         prompts = rerank_prompt(shown, prepared, config["rerank"]["passage_chars"])
         responses = models.judge(prompts, shown.join(prepared.select("qid", "standalone"), "qid"))
         candidates = fusion.merge_rerank(
             pool, responses.withColumn("json", F.coalesce(loose_json("text"), F.lit("{}"))), config["rerank"]["candidates"]
         )
+        candidates = materialise(candidates, "reranked")
     else:
         candidates = pool.withColumn("rerank_ok", F.lit(False))
     if config["mmr"]["enabled"]:

@@ -419,3 +419,18 @@ def test_postings_are_counted_inside_the_chunk(spark, stem):
     # only chunks whose id repeats are grouped by term
     plan = postings._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_searches_of_a_run_are_not_made_again_for_its_trace(spark):
+    from passagelake.catalog import standins
+    from passagelake.plans.retrieve import Models, retrieve
+
+    row = ("a", 1, "alpha beta", "", "", "l", "t", 0, "content", "", None, None, 0, "basic.h0.t0.c0|hash-64", "l:content")
+    names = "course string, chunk_id long, text string, context_header string, context_note string, lesson string, lesson_title string, chunk_index int, source string, source_label string, attachment_id string, page int, overlap_len int, index_version string, group_key string"
+    chunks = standins.embed(spark.createDataFrame([row], names))
+    questions = spark.createDataFrame([("a", "q", "alpha", [])], "course string, qid string, question string, history array<struct<question:string,answer:string>>")
+    recorded = spark.createDataFrame([("q", "hyde", "alpha beta")], "qid string, stage string, text string")
+    config = preset("hyde", {"query": {"rewrite": False, "multi_query": False}, "indexing": {"chunker": "basic", "header": False}})
+    out = retrieve(questions, chunks, Models(standins.embed, responses=recorded, stem=False), config)
+    assert "CoGroups" not in out.trace._jdf.queryExecution().executedPlan().toString()
+    assert [(r.qid, r.retrieved) for r in out.trace.collect()] == [("q", 1)]
