@@ -434,3 +434,17 @@ def test_searches_of_a_run_are_not_made_again_for_its_trace(spark):
     out = retrieve(questions, chunks, Models(standins.embed, responses=recorded, stem=False), config)
     assert "CoGroups" not in out.trace._jdf.queryExecution().executedPlan().toString()
     assert [(r.qid, r.retrieved) for r in out.trace.collect()] == [("q", 1)]
+
+
+def test_block_max_search_makes_no_row_per_question_and_posting(spark, tmp_path, monkeypatch):
+    chunks, _ = zipf_corpus(spark)
+    questions = spark.createDataFrame([("a", f"q{i}", "word1 word2 word3") for i in range(30)], "course string, qid string, question string")
+    index = posting_blocks.PostingBlocks(spark, str(tmp_path / "index"), stem=False)
+    index.add(chunks, 0)
+    kept, keep = [], posting_blocks.materialise
+    monkeypatch.setattr(posting_blocks, "materialise", lambda df, name: kept.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    rows = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    # cells of a few chunks and questions give the same hits
+    assert rows(index.top_k(questions, 3, chunk_block=20, question_block=7)) == rows(lexical.bm25_top_k(chunks, questions, 3, stem=False))
+    plan = dict(kept)["chosen"]
+    assert "CoGroups" in plan and "HashAggregate" not in plan
