@@ -35,9 +35,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~_held_out(F.col("_d")))
     share = min(1.0, most / max(1, known.count()))
-    # written once: these are ``most`` ids or so, and where Spark knows that, it need not shuffle the texts to meet them
-    known = materialise(known.where(F.pmod(F.xxhash64("_d"), F.lit(1 << 30)) < int(share * (1 << 30))), "toxicity-labels")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_d")).drop("_d")
+    sampled = lambda i: F.pmod(F.xxhash64(i), F.lit(1 << 30)) < int(share * (1 << 30))
+    known = materialise(known.where(sampled(F.col("_d"))), "toxicity-labels")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ``most`` ids or so, however many documents there are: they go to the texts, which are not shuffled to meet them
+    return own.where(sampled(F.col("doc_id"))).join(F.broadcast(known), F.col("doc_id") == F.col("_d")).drop("_d")
 
 
 def _held_out(doc_id: Column) -> Column:

@@ -103,6 +103,23 @@ def test_toxicity_texts_are_not_shuffled_to_meet_the_labels(spark):
     assert 50 < len(got) < 200 and all(zlib.crc32(str(i).encode()) % 3 != 1 and t == f"words of text {i}" and y == (i % 4 == 0) for i, t, y in got)
 
 
+@pytest.mark.parametrize("most", [100, 100_000])
+def test_toxicity_texts_stay_in_place_whatever_spark_takes_the_labels_for(spark, most):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('words of text ', id) text").unionByName(spark.createDataFrame([(None, "x"), (6, "again")], "doc_id long, text string"))
+    labels = spark.range(2000).selectExpr("id doc_id", "1 quality", "cast(id % 4 = 0 as int) toxic")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # below the sampled labels
+    try:
+        rows = toxicity.training_rows(docs, labels, most)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan
+    if most > 2000:
+        assert got == sorted([i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1] + [6] * (zlib.crc32(b"6") % 3 != 1))
+
+
 def test_toxicity_on_held_out_rows(spark, make, prose, odd):
     rng = random.Random(1)
     rows, marks = [], []
