@@ -296,6 +296,20 @@ def test_a_third_text_does_not_hide_a_passage(make, prose):
     assert all(frozenset((3 * t, 3 * t + 1)) in pairs for t in range(30))
 
 
+def test_texts_that_hold_every_seed_do_not_hide_a_passage(make, prose):
+    rows = []
+    for trial in range(3):
+        passage = prose(60, f"p {trial}").split()
+        rows += [(20 * trial + side, f"{prose(50, f'b {trial} {side}')} {' '.join(passage)} {prose(50, f'a {trial} {side}')}") for side in (0, 1)]
+        # each of twelve texts holds all seeds, in no order that makes a passage
+        for k in range(2, 14):
+            parts = [f"{' '.join(passage[i : i + 8])} {prose(12, f'o {trial} {k} {i}')}" for i in reversed(range(0, 53))]
+            rows.append((20 * trial + k, " ".join(parts)))
+    got = substring_dedup.repeated_passages(make(rows)).collect()
+    pairs = {frozenset((r.doc_id, r.source_id)) for r in got if r.matched >= 60}
+    assert pairs >= {frozenset((20 * t, 20 * t + 1)) for t in range(3)}
+
+
 def test_seeds_of_many_texts_meet_in_ranges(spark):
     rows = [(7, (k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, k, k) for k in range(1, 1500)] + [(8, 5, 1, 1), (9, 5, 2, 2), (9, 6, 3, 3)]
     seeds = spark.createDataFrame(rows + rows[:700], "seed long, key long, pos int, main int")
