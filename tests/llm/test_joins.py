@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from passagelake.llm import decontamination, jaccard_join, line_dedup, substring_dedup, token_arrays
 from passagelake.llm.components import components
@@ -332,6 +333,49 @@ def test_seeds_of_many_texts_meet_in_ranges(spark):
     assert [(r.key, r.source, r.pos, r.source_pos) for r in met if r.key in (5, 6)] == [(6, 5, 3, 2)]
 
 
+def test_a_common_phrase_alone_brings_no_pairs(make, prose, monkeypatch):
+    """Ninety texts share nine words; of all their pairs only those that can hold a passage are chained, and none of these is lost."""
+    phrase, rows = prose(9, "phrase"), []
+    for k in range(90):
+        # three passages whose every seventh word is changed, so that the phrase is most of what the two texts have in common
+        passage = prose(60, f"p {min(k // 2, 3) if k < 6 else k}").split()
+        if k < 6 and k % 2:
+            passage = [f"z{k}{i}" if i % 7 == 3 and not 20 <= i < 32 else w for i, w in enumerate(passage)]
+        rows.append((k, f"{prose(50, f'b {k}')} {' '.join(passage[:21])} {phrase} {' '.join(passage[21:])} {prose(50, f'a {k}')}"))
+    chained, keep = [], substring_dedup._passages
+    monkeypatch.setattr(substring_dedup, "_passages", lambda docs, pairs, *limits: chained.append(pairs.count()) or keep(docs, pairs, *limits))
+    got = substring_dedup.repeated_passages(make(rows)).collect()
+    assert {frozenset((r.doc_id, r.source_id)) for r in got} == {frozenset((k, k + 1)) for k in (0, 2, 4)}
+    assert len(chained) == 2 and chained[1] < 200  # 4005 pairs share the phrase
+
+
+def test_common_seeds_leave_out_no_passage(make, prose, monkeypatch):
+    """The same rows as from all pairs of the texts of a seed, in cells of any size."""
+    rng = random.Random(5)
+    lines = [prose(n, f"line {n} {i}") for i, n in enumerate((7, 9, 12, 16, 20, 26, 33, 38))]
+    rows = []
+    for k in range(60):
+        parts = rng.sample(lines, 5) + [prose(rng.randrange(3, 12), f"o {k} {j}") for j in range(5)]
+        rng.shuffle(parts)
+        changed = [f"x{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in " ".join(parts).split()]
+        rows.append((k, f"{prose(30, f'b {k}')} {' '.join(changed)}"))
+    found = lambda: {tuple(r) for r in substring_dedup.repeated_passages(make(rows)).collect()}
+    got = found()
+    monkeypatch.setattr(substring_dedup, "CELL", 20)
+    monkeypatch.setattr(substring_dedup, "HELD", 40)
+    assert found() == got
+
+    def all_pairs(docs, held, left, met, least):
+        other = held.select("seed", F.col("key").alias("other"), F.col("at").alias("other_at"), F.col("main").alias("other_main"))
+        both = left.join(other, "seed").where("key <> other").select("key", "other", F.explode(substring_dedup._matches("other_at", "other_main")).alias("m"))
+        ahead = F.col("key") > F.col("other")
+        first, second = F.when(ahead, F.col("m.pos")).otherwise(F.col("m.source_pos")), F.when(ahead, F.col("m.source_pos")).otherwise(F.col("m.pos"))
+        return both.select(F.greatest("key", "other").alias("key"), F.least("key", "other").alias("source"), first.alias("pos"), second.alias("source_pos"))
+
+    monkeypatch.setattr(substring_dedup, "_rest", all_pairs)
+    assert got and found() == got
+
+
 def test_passages_that_repeat_themselves(make, prose):
     rows, places = [], {}
     for trial in range(4):
