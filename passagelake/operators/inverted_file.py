@@ -4,6 +4,8 @@ The vectors of a course are parted into cells around trained centres. A list hol
 question probes the lists in order of distance to their centres until these hold the share of the course it asks for, scores the
 byte codes there, and keeps a bounded pool of the best; only the pool's vectors are read and scored exactly.
 
+A question is one row with the numbers of its lists, and meets the codes of its course in blocks of bounded size.
+
 Training sees a sample of at most about ``SAMPLE`` vectors of a course, drawn by digest; every vector lies in a list. Lists are
 dealt by (course, cell) in blocks of bounded size, so a hot course or list only becomes more tasks, and are stored in that order,
 so a probe reads the row groups of its list. Questions that get fewer hits than their course has vectors to give, because it has
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passagelake.functions.text import cosine
-from passagelake.operators.blocks import CELL, STRIPE_BYTES, best, cell_counts, chunk_cells, keep_best, question_cells
+from passagelake.operators.blocks import (
+    CELL, CHUNK_BLOCK, HITS, QUESTION_BLOCK, STRIPE_BYTES, best, cell_counts, chunk_cells, hits_table, keep_best, question_cells,
+)
 from passagelake.operators.dense import _matrices, _unit, dense_top_k
 from passagelake.sources.stores import materialise
 
@@ -126,10 +130,13 @@ def read(spark, path: str) -> InvertedFile:
 
 
 def probes(index: InvertedFile, questions: DataFrame, probed: float = PROBED) -> DataFrame:
-    """``course, qid, cell, n, unit``: the nearest lists of each question until they hold ``probed`` of its course's ``n`` vectors."""
+    """``course, qid, n, unit, cells``: the nearest lists of each question until they hold ``probed`` of its course's ``n`` vectors.
+
+    One row per question, whose ``cells`` are packed numbers of 32 bits; a question's vector is not repeated for each list.
+    """
 
     def pick(key, centres: pa.Table, asked: pa.Table) -> pa.Table:
-        made = {"course": [], "qid": [], "cell": [], "n": [], "unit": []}
+        qids, counts, units, lists = [], [], [], []
         if centres.num_rows:
             centres = centres.sort_by("cell")
             middle, sizes = _centre_matrix(centres), centres.column("size").to_numpy()
@@ -137,58 +144,70 @@ def probes(index: InvertedFile, questions: DataFrame, probed: float = PROBED) ->
             for size, (at, matrix) in _matrices(asked).items():
                 if size != middle.shape[1]:
                     continue
-                unit = _unit(matrix)
-                order = np.argsort(-_nearest(unit, middle), axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                for row, q in enumerate(at):
-                    cells = order[row][(before[row] < probed * sizes.sum()) & (sizes[order[row]] > 0)]
-                    made["course"] += [key[0].as_py()] * len(cells)
-                    made["qid"] += [names[q]] * len(cells)
-                    made["cell"] += cells.tolist()
-                    made["n"] += [int(sizes.sum())] * len(cells)
-                    made["unit"] += [unit[row].tolist()] * len(cells)
-        return pa.table(made, pa.schema([("course", pa.string()), ("qid", pa.string()), ("cell", pa.int32()), ("n", pa.int64()), ("unit", pa.list_(pa.float64()))]))
+                stripe = max(1, STRIPE_BYTES // (8 * len(middle)))
+                for first in range(0, len(at), stripe):
+                    unit = _unit(matrix[first : first + stripe])
+                    order = np.argsort(-_nearest(unit, middle), axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    near = (before < probed * sizes.sum()) & (sizes[order] > 0)
+                    qids += [names[q] for q in at[first : first + stripe]]
+                    counts += [int(sizes.sum())] * len(unit)
+                    units += [u.tobytes() for u in unit]
+                    lists += [cells[own].astype(np.int32).tobytes() for cells, own in zip(order, near)]
+        made = {"course": [key[0].as_py()] * len(qids), "qid": qids, "n": counts, "unit": units, "cells": lists}
+        return pa.table(made, pa.schema([("course", pa.string()), ("qid", pa.string()), ("n", pa.int64()), ("unit", pa.binary()), ("cells", pa.binary())]))
 
     asked = questions.select("course", "qid", "embedding")
     centres = index.centres.withColumn("chunk_id", F.col("cell").cast("long"))
     cells = cell_counts(centres, asked, chunk_block=1 << 40)
     dealt = chunk_cells(centres, cells).groupBy(*CELL).cogroup(question_cells(asked, cells).groupBy(*CELL))
-    return dealt.applyInArrow(pick, "course string, qid string, cell int, n long, unit array<double>")
+    return dealt.applyInArrow(pick, "course string, qid string, n long, unit binary, cells binary")
 
 
-def _score_list(key, held: pa.Table, asked: pa.Table) -> pa.Table:
-    """The best codes of one block of a list for each question, as many as the question's pool."""
-    found = {"course": [], "qid": [], "chunk_id": [], "score": []}
+def _score_lists(key, held: pa.Table, asked: pa.Table) -> pa.Table:
+    """The best codes of one block of a course for each question in the lists it probes, as many as the question's pool."""
+    qids, picks, ids = [], [], np.zeros(0, np.int64)
     if held.num_rows and asked.num_rows:
         held = held.sort_by("chunk_id")
         ids, scale = held.column("chunk_id").to_numpy(), held.column("scale").to_numpy()
         codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.int8).reshape(len(ids), -1)
         vectors = codes * (scale / LEVELS)[:, None]
-        names, pools, units = (asked.column(c).to_pylist() for c in ("qid", "pool", "unit"))
+        numbers, cell = np.unique(held.column("cell").to_numpy(), return_inverse=True)
+        of_list = np.split(np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell))[:-1])
+        names, pools, units, lists = (asked.column(c).to_pylist() for c in ("qid", "pool", "unit", "cells"))
+        # a stripe of questions at a time, so that a block's scores never stand in memory together
         stripe = max(1, STRIPE_BYTES // (8 * len(ids)))
         for first in range(0, len(names), stripe):
-            scores = np.round(np.array(units[first : first + stripe]) @ vectors.T, 9)
-            for row, q in enumerate(range(first, first + len(scores))):
+            unit = np.stack([np.frombuffer(u, np.float64) for u in units[first : first + stripe]])
+            probed = np.stack([np.isin(numbers, np.frombuffer(c, np.int32)) for c in lists[first : first + stripe]])
+            scores = np.full((len(unit), len(ids)), -np.inf)
+            for c, at in enumerate(of_list):
+                asking = np.flatnonzero(probed[:, c])
+                scores[asking[:, None], at] = np.round(unit[asking] @ vectors[at].T, 9)
+            for row, q in enumerate(range(first, first + len(unit))):
                 top = best(scores[row], pools[q])
-                found["course"] += [key[0].as_py()["course"]] * len(top)
-                found["qid"] += [names[q]] * len(top)
-                found["chunk_id"] += ids[top].tolist()
-                found["score"] += scores[row][top].tolist()
-    return pa.table(found, pa.schema([("course", pa.string()), ("qid", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
-
-
-def candidates(index: InvertedFile, questions: DataFrame, k: int, probed: float = PROBED) -> DataFrame:
-    """``course, qid, chunk_id``: the pool of each question."""
-    place = F.struct("course", "cell").alias("course")
-    asked = materialise(probes(index, questions, probed).withColumn("pool", pool_size(k, F.col("n"))), "probes")
-    pools = asked.select("course", "qid", "pool").distinct()
-    asked = asked.select(place, "qid", "pool", "unit")
-    held = index.lists.select(place, "chunk_id", "code", "scale")
-    cells = cell_counts(held, asked)
+                top = top[scores[row][top] > -np.inf]
+                qids.append(names[q])
+                picks.append((top, scores[row][top]))
+    return hits_table(key[0].as_py(), qids, picks, ids)
+
+
+def candidates(
+    index: InvertedFile, questions: DataFrame, k: int, probed: float = PROBED,
+    chunk_block: int = CHUNK_BLOCK, question_block: int = QUESTION_BLOCK,
+) -> DataFrame:
+    """``course, qid, chunk_id``: the pool of each question.
+
+    A question meets each block of its course's codes once, whatever number of lists it probes there.
+    """
+    asked = materialise(probes(index, questions, probed).withColumn("pool", pool_size(k, F.col("n"))).drop("n"), "probes")
+    held = index.lists.select("course", "cell", "chunk_id", "code", "scale")
+    cells = cell_counts(held, asked, chunk_block, question_block)
     dealt = chunk_cells(held, cells).groupBy(*CELL).cogroup(question_cells(asked, cells).groupBy(*CELL))
-    scored = dealt.applyInArrow(_score_list, "course string, qid string, chunk_id long, score double")
+    scored = dealt.applyInArrow(_score_lists, HITS)
     order = Window.partitionBy("course", "qid").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("at", F.row_number().over(order)).join(pools, ["course", "qid"]).where("at <= pool").select("course", "qid", "chunk_id")
+    ranked = scored.withColumn("at", F.row_number().over(order))
+    return ranked.join(asked.select("course", "qid", "pool").distinct(), ["course", "qid"]).where("at <= pool").select("course", "qid", "chunk_id")
 
 
 def approximate_top_k(index: InvertedFile, chunks: DataFrame, questions: DataFrame, k: int, probed: float = PROBED) -> DataFrame:

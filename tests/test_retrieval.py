@@ -355,6 +355,16 @@ def test_approximate_search_falls_back_and_forgets_removed_vectors(spark, tmp_pa
     assert empty.count() == 0
 
 
+def test_approximate_search_makes_no_row_per_question_and_list(spark):
+    chunks = vectors(spark, [("a", 300), ("b", 120), ("c", 1)])
+    index = inverted_file.build(chunks)
+    assert index.centres.where("course = 'a'").count() > 4
+    assert inverted_file.probes(index, asking(chunks)).count() == 421
+    pool = lambda **size: sorted(tuple(r) for r in inverted_file.candidates(index, asking(chunks), 5, **size).collect())
+    # blocks of a few vectors and questions give the same pools
+    assert pool() == pool(chunk_block=40, question_block=70)
+
+
 def test_stems_of_arrays_keep_rows_apart(spark):
     from passagelake.functions.stemming import stem_terms
 
