@@ -458,3 +458,15 @@ def test_block_max_search_makes_no_row_per_question_and_posting(spark, tmp_path,
     assert rows(index.top_k(questions, 3, chunk_block=20, question_block=7)) == rows(lexical.bm25_top_k(chunks, questions, 3, stem=False))
     plan = dict(kept)["chosen"]
     assert "CoGroups" in plan and "HashAggregate" not in plan
+
+
+def test_block_max_search_scores_chosen_chunks_in_cells(spark, tmp_path):
+    chunks, questions = zipf_corpus(spark)
+    index = posting_blocks.PostingBlocks(spark, str(tmp_path / "index"), stem=False, block=8)
+    index.add(chunks, 0)
+    got = index.top_k(questions, 4, chunk_block=20, question_block=3)
+    # no join of a question's chunks with all their terms, no sum over a row per question, chunk and term
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "sum(" not in plan
+    rows = lambda df: sorted((r.course, r.qid, r.chunk_id, round(r.score, 8), r["rank"]) for r in df.collect())
+    assert rows(got) == rows(lexical.bm25_top_k(chunks, questions, 4, stem=False))
